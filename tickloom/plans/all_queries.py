@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_features  # noqa: F401
+from . import q_data, q_features  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 

@@ -20,14 +20,21 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         ORACLES[name] = sql
 
 
-def show(df: DataFrame, keys: Sequence[str], digits: int, columns: Sequence[str]) -> DataFrame:
-    """Keys as they are, doubles rounded like in the SQL."""
-    return df.select(*keys, *[F.round(F.col(c).cast("double"), digits).alias(c) for c in columns])
+def show(df: DataFrame, keys: Sequence[str], digits: int, columns: Sequence[str], raw: Sequence[str] = ()) -> DataFrame:
+    """Keys as they are, doubles rounded like in the SQL; ``raw`` columns (plain inputs) are left alone."""
 
+    def value(c: str):
+        x = F.col(c).cast("double")
+        return (x if c in raw else F.round(x, digits)).alias(c)
 
-def rr(digits: int, **exprs: str) -> str:
+    return df.select(*keys, *[value(c) for c in columns])
+
+
+def rr(digits: int, raw: Sequence[str] = (), **exprs: str) -> str:
     """SQL select list with every expression rounded."""
-    return ", ".join(f"round(CAST({e} AS DOUBLE), {digits}) AS {n}" for n, e in exprs.items())
+    return ", ".join(
+        f"CAST({e} AS DOUBLE) AS {n}" if n in raw else f"round(CAST({e} AS DOUBLE), {digits}) AS {n}" for n, e in exprs.items()
+    )
 
 
 # SQL spellings of the window vocabulary
@@ -71,11 +78,12 @@ def columns_query(
     source: str = "bars",
     keys: Sequence[str] = ("symbol", "ts"),
     recursive: bool = False,
+    raw: Sequence[str] = (),
 ) -> None:
     """A per-bar feature query: ``compute`` adds the columns, ``columns`` gives their SQL."""
     register(
         name,
-        lambda spark, sf: show(compute(bars(spark, sf)), keys, digits, list(columns)),
+        lambda spark, sf: show(compute(bars(spark, sf)), keys, digits, list(columns), raw),
         f"WITH {'RECURSIVE ' if recursive else ''}{', '.join([bars_sql, *ctes])} "
-        f"SELECT {', '.join(keys)}, {rr(digits, **columns)} FROM {source}",
+        f"SELECT {', '.join(keys)}, {rr(digits, raw, **columns)} FROM {source}",
     )

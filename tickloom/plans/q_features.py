@@ -247,14 +247,12 @@ recursive_query(
     ],
     "a",
 )
+# the first bar has no change: gain and loss count as 0
 _GAIN = f"d AS (SELECT *, greatest(close - {lag('close')}, 0) AS g, greatest({lag('close')} - close, 0) AS l, close - {lag('close')} AS dc FROM n)"
-_GAIN = _GAIN.replace("greatest(close -", "if(rn = 1, NULL, greatest(close -").replace(", 0) AS g", ", 0)) AS g").replace(
-    "greatest(lag", "if(rn = 1, NULL, greatest(lag"
-).replace(", 0) AS l", ", 0)) AS l")
 recursive_query(
     "f08_rsi",
     ["rsi_7", "rsi_14", "rsi_21"],
-    {f"rsi_{n}": after(n + 1, f"CASE WHEN l{n} = 0 THEN 100 ELSE 100 * g{n} / (g{n} + l{n}) END") for n in (7, 14, 21)},
+    {f"rsi_{n}": after(n, f"CASE WHEN l{n} = 0 THEN 100 ELSE 100 * g{n} / (g{n} + l{n}) END") for n in (7, 14, 21)},
     [_GAIN, *ewm_ctes("e", "d", {k: v for n in (7, 14, 21) for k, v in ((f"g{n}", ("s.g", 1.0 / n)), (f"l{n}", ("s.l", 1.0 / n)))})],
     "e",
 )
@@ -403,7 +401,7 @@ _FG_CTES = [
     f"f1 AS (SELECT *, {pct('close')} AS r1 FROM e)",
     f"f2 AS (SELECT *, {roll('stddev_samp', 'r1', 20)} AS v20, volume / nullif({roll('avg', 'volume', 50)}, 0) AS vr FROM f1)",
     f"f3 AS (SELECT *, ({roll('min', 'v20', 100)}) AS lo, ({roll('max', 'v20', 100)}) AS hi FROM f2)",
-    "f4 AS (SELECT *, coalesce(0.4 * CASE WHEN rn >= 15 THEN CASE WHEN l14 = 0 THEN 100 ELSE 100 * g14 / (g14 + l14) END END "
+    "f4 AS (SELECT *, coalesce(0.4 * CASE WHEN rn >= 14 THEN CASE WHEN l14 = 0 THEN 100 ELSE 100 * g14 / (g14 + l14) END END "
     "+ 0.3 * (100 - (v20 - lo) / nullif(hi - lo, 0) * 100) "
     "+ 0.3 * CASE WHEN vr IS NOT NULL THEN least(greatest(50 * vr, 0), 100) END, 50) AS fg FROM f3)",
 ]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import div
-from .metrics import PPY, RF, benchmark_metrics, drawdown_series, ratio_metrics, risk_metrics
+from .metrics import PPY, RF, benchmark_metrics, ratio_metrics, risk_metrics
 from .series import By, rolling, running
 
 
@@ -134,8 +134,7 @@ def portfolio_risk(
         F.abs("cvar_95").alias("portfolio_cvar"),
         F.col("annualized_volatility").alias("volatility"),
     )
-    value = rolling_value(d, by=by, ts=ts)
-    dd = drawdown_series(value, value="value", by=by, ts=ts).groupBy(key).agg(
+    dd = compounded_drawdown(d, by=by, ts=ts).groupBy(key).agg(
         F.min("drawdown").alias("max_drawdown"), F.max_by("drawdown", ts).alias("current_drawdown")
     )
     out = risk.join(dd, [key]).join(ratio_metrics(d, by=by, ppy=ppy, rf=rf).select(key, "sharpe_ratio"), [key])
@@ -145,12 +144,15 @@ def portfolio_risk(
     return out
 
 
-def rolling_value(returns: DataFrame, *, ret: str = "ret", by: By = ("symbol",), ts: str = "ts") -> DataFrame:
-    """Compounded value of 1."""
-    return running(returns, {"value": ("product", 1.0 + F.col(ret))}, by=by, ts=ts)
+def compounded_drawdown(returns: DataFrame, *, ret: str = "ret", by: By = ("symbol",), ts: str = "ts") -> DataFrame:
+    """Drawdown of the compounded value, on a log scale so that long histories neither overflow nor vanish.
 
-
-ALERTS = ("var", "drawdown", "concentration", "volatility", "sharpe")
+    A loss of everything counts as a very large negative step, after which the drawdown stays at -1.
+    """
+    step = F.when(F.col(ret) > -1, F.log1p(ret)).otherwise(-1e6)
+    d = running(returns, {"log_value": ("sum", step)}, by=by, ts=ts)
+    d = running(d, {"_peak": ("max", F.col("log_value"))}, by=by, ts=ts)
+    return d.withColumn("drawdown", F.exp(F.col("log_value") - F.col("_peak")) - 1.0).drop("_peak")
 
 
 def alerts(risk: DataFrame, limits: Limits = Limits(), *, concentration: float = 0.4, volatility: float = 0.4, near: float = 0.8) -> DataFrame:

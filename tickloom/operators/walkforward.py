@@ -65,7 +65,7 @@ def assign_windows(
     newest = last if expanding else F.least(last, F.floor(rn / step))
     oldest = F.greatest(F.lit(0), F.floor((rn - train - test) / step) + 1)
     ids = F.when((last >= 0) & (oldest <= newest), F.sequence(oldest.cast("long"), newest.cast("long")))
-    d = d.withColumn("window_id", F.explode(ids).cast("int"))
+    d = d.withColumn("window_id", F.explode(ids)).withColumn("window_id", F.col("window_id").cast("int"))
     start = F.lit(train) + F.col("window_id") * step
     begin = F.lit(0) if expanding else start - train
     role = F.when((rn >= start) & (rn < start + test), "test").when((rn >= begin) & (rn < start), "train")

@@ -254,7 +254,7 @@ bar_query(
     dirty_bars,
     DIRTY,
     lambda b: clean.interpolate(b, ["close"]),
-    {"close": "coalesce(close, pv + (nv - pv) * (rn - pi) / nullif(ni - pi, 0), pv)"},
+    {"close": "coalesce(close, pv + (nv - pv) * (CAST(rn - pi AS DOUBLE) / nullif(ni - pi, 0)), pv)"},
     ctes=[
         f"n AS (SELECT *, row_number() OVER ({KEY}) AS rn FROM bars)",
         "i AS (SELECT *, CASE WHEN close IS NOT NULL THEN rn END AS kn FROM n)",
@@ -263,7 +263,7 @@ bar_query(
         f"first_value(kn IGNORE NULLS) OVER ({KEY} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni FROM i)",
     ],
     source="m",
-    digits=7,
+    raw=["close"],
 )
 bar_query("c09_drop_missing", dirty_bars, DIRTY, clean.drop_missing, ctes=["m AS (SELECT * FROM bars WHERE close IS NOT NULL)"], source="m")
 bar_query("c10_fill_mean", dirty_bars, DIRTY, lambda b: clean.fill_mean(b, ["close"]), {"close": "coalesce(close, avg(close) OVER (PARTITION BY symbol))"}, digits=7)

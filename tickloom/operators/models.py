@@ -40,10 +40,11 @@ def estimator(name: str, kind: str, features: Sequence[str], label: str, **param
     if (name, kind) not in ESTIMATORS:
         raise ValueError(f"unknown model {name} for {kind}")
     columns = {"featuresCol": "features", "labelCol": label, "predictionCol": f"prediction_{name}"}
+    model = ESTIMATORS[name, kind](**params, **columns)
     if kind == "classification":
-        columns |= {"probabilityCol": f"probability_{name}", "rawPredictionCol": f"raw_{name}"}
+        model.setProbabilityCol(f"probability_{name}").setRawPredictionCol(f"raw_{name}")
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, ESTIMATORS[name, kind](**params, **columns)])
+    return Pipeline(stages=[assembler, model])
 
 
 def training_rows(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:

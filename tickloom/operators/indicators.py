@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import div, safe_sqrt
 from ..schema import OHLCV, require
+from ..session import cut
 from .series import Blocks, By, Frame, Step, ewm, affine, rolling, running
 
 
@@ -353,11 +354,13 @@ def add_recursive(
     by: By = ("symbol",),
     ts: str = "ts",
     blocks: Blocks | None = None,
+    stored: bool = False,
 ) -> DataFrame:
-    """EMA, MACD, ADX, RSI, force index, ATR; also ``ema_<n>`` / ``rsi_<n>`` for other n.
+    """EMA, MACD, ADX, RSI, force index, ATR, KAMA; also ``ema_<n>`` / ``rsi_<n>`` for other n.
 
     All first-order recurrences share one scan; MACD's signal line and ADX, which smooth a smoothed
-    series, share a second one. Only what ``columns`` needs is computed.
+    series, share a second one. Only what ``columns`` needs is computed. A scan reads its input on both
+    sides of the carry join; ``stored`` writes the input of the second one first.
     """
     want = set(columns)
     macd = bool(want & {"macd", "macd_signal", "macd_histogram"})
@@ -398,7 +401,13 @@ def add_recursive(
         d = rolling(
             d, lambda w: {f"in{n}": make(w) for n, make in lead.items()}, before=1, by=by, ts=ts, blocks=blocks
         )
-    d = ewm(d, first, by=by, ts=ts, blocks=blocks)
+    extra = None
+    if "kama" in want:
+        d, extra = _kama_input(d, by=by, ts=ts, blocks=blocks)
+    d = ewm(d, first, by=by, ts=ts, blocks=blocks, extra=extra)
+    if "kama" in want:
+        d = d.withColumn("kama", F.when(F.col("n_") > 0, F.col("kama")))
+        first["kama"] = (F.col("kama"), 0.0, 0)
     out: dict[str, Column] = {c: F.col(c) for c in columns if c in first}
     for c in columns:
         kind, _, n = c.rpartition("_")
@@ -418,26 +427,15 @@ def add_recursive(
     d = d.select(*base, *[x.alias(n) for n, x in out.items()])
     second = {n: v for n, v in second.items() if n in want or n == "macd_signal" and "macd_histogram" in want}
     if second:
-        d = ewm(d, second, by=by, ts=ts, blocks=blocks)
+        d = ewm(cut(d) if stored else d, second, by=by, ts=ts, blocks=blocks)
     if "macd_histogram" in want:
         d = d.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
     return d.select(*base, *columns)
 
 
-def add_kama(
-    bars: DataFrame,
-    *,
-    n: int = 10,
-    fast: int = 2,
-    slow: int = 30,
-    by: By = ("symbol",),
-    ts: str = "ts",
-    blocks: Blocks | None = None,
-) -> DataFrame:
-    """Kaufman's adaptive mean: a recurrence whose coefficient varies per bar but is known beforehand.
-
-    Starts with the close of bar n; a flat window (no path) has efficiency 0.
-    """
+def _kama_input(
+    bars: DataFrame, n: int = 10, fast: int = 2, slow: int = 30, *, by: By, ts: str, blocks: Blocks | None
+) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
     hi, lo = 2.0 / (fast + 1.0), 2.0 / (slow + 1.0)
     d = rolling(
         bars,
@@ -453,5 +451,23 @@ def add_kama(
     d = d.withColumn("sc_", sc * sc)
     d = running(d, {"n_": ("count", F.col("sc_"))}, by=by, ts=ts, blocks=blocks)
     b = C() * F.when(F.col("n_") == 1, 1.0).otherwise(F.col("sc_"))
-    d = affine(d, {"kama": (1.0 - F.col("sc_"), b)}, by=by, ts=ts, blocks=blocks)
+    return d, {"kama": (1.0 - F.col("sc_"), b)}
+
+
+def add_kama(
+    bars: DataFrame,
+    *,
+    n: int = 10,
+    fast: int = 2,
+    slow: int = 30,
+    by: By = ("symbol",),
+    ts: str = "ts",
+    blocks: Blocks | None = None,
+) -> DataFrame:
+    """Kaufman's adaptive mean: a recurrence whose coefficient varies per bar but is known beforehand.
+
+    Starts with the close of bar n; a flat window (no path) has efficiency 0.
+    """
+    d, item = _kama_input(bars, n, fast, slow, by=by, ts=ts, blocks=blocks)
+    d = affine(d, item, by=by, ts=ts, blocks=blocks)
     return d.withColumn("kama", F.when(F.col("n_") > 0, F.col("kama"))).drop("er_", "path_", "sc_", "n_")

@@ -202,7 +202,8 @@ def add_fear_greed(
     bars: DataFrame, *, by: By = ("symbol",), ts: str = "ts", blocks: Blocks | None = None
 ) -> DataFrame:
     """Index of momentum (RSI 14), calm (inverted volatility rank) and volume; 50 where not defined."""
-    d = add_recursive(bars, ["rsi_14"], by=by, ts=ts, blocks=blocks)
+    given = "rsi_14" in bars.columns
+    d = bars if given else add_recursive(bars, ["rsi_14"], by=by, ts=ts, blocks=blocks)
     d = rolling(
         d,
         _return_1d,
@@ -216,12 +217,12 @@ def add_fear_greed(
     )
     volume = F.least(F.greatest(50.0 * F.col("vr_"), F.lit(0.0)), F.lit(100.0))
     index = F.coalesce(0.4 * F.col("rsi_14") + 0.3 * F.col("calm_") + 0.3 * F.when(F.col("vr_").isNotNull(), volume), F.lit(50.0))
-    d = d.withColumn("fear_greed_index", index).drop("rsi_14", "vr_", "calm_")
+    d = d.withColumn("fear_greed_index", index).drop("vr_", "calm_", *([] if given else ["rsi_14"]))
     return d.withColumn("market_sentiment", sentiment_class(F.col("fear_greed_index")))
 
 
 def add_bull_bear_power(
     bars: DataFrame, *, by: By = ("symbol",), ts: str = "ts", blocks: Blocks | None = None
 ) -> DataFrame:
-    d = add_recursive(bars, ["ema_13"], by=by, ts=ts, blocks=blocks)
+    d = bars if "ema_13" in bars.columns else add_recursive(bars, ["ema_13"], by=by, ts=ts, blocks=blocks)
     return d.withColumns({"bull_power": H() - F.col("ema_13"), "bear_power": L() - F.col("ema_13")}).drop("ema_13")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..schema import OHLCV, finite_columns, numeric_columns
 from ..session import cut
 from . import market
-from .indicators import FEATURES, RECURSIVE, add_cumulative, add_kama, add_recursive, merge
+from .folds import add_psar
+from .indicators import FEATURES, RECURSIVE, add_cumulative, add_recursive, merge
 from .series import By, rolling
 
 SENTIMENT = ("advance_decline", "momentum_sentiment")
@@ -36,19 +37,25 @@ def feature_frame(
     unknown = set(kinds) - {"technical", "market", "sentiment"}
     if unknown:
         raise ValueError(f"unknown kinds {sorted(unknown)}")
-    d = cut(bars) if stored else bars
+    store = cut if stored else (lambda x: x)
+    d = bars
+    recursive: list[str] = []
     if "technical" in kinds:
-        d = add_recursive(d, RECURSIVE, by=by, ts=ts)
-        d = add_kama(d, by=by, ts=ts)
-        d = add_cumulative(d, by=by, ts=ts)
         if psar:
-            from .folds import add_psar
-
             d = add_psar(d, by=by, ts=ts)
+        recursive += [*RECURSIVE, "kama"]
+    if "sentiment" in kinds:
+        recursive += [c for c in ("rsi_14", "ema_13") if c not in recursive]
+    d = store(d)
+    if recursive:
+        d = add_recursive(d, recursive, by=by, ts=ts, stored=stored)
+    if "technical" in kinds:
+        d = add_cumulative(d, by=by, ts=ts)
     if "sentiment" in kinds:
         d = market.add_bull_bear_power(market.add_fear_greed(d, by=by, ts=ts), by=by, ts=ts)
-    if stored:
-        d = cut(d)
+        if "technical" not in kinds:
+            d = d.drop("rsi_14")
+    d = store(d)
     groups = []
     if "technical" in kinds:
         groups += [n for n in FEATURES if n not in MARKET and n not in SENTIMENT]

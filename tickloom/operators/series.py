@@ -327,31 +327,34 @@ def ewm(
     by: By = ("symbol",),
     ts: str | By = "ts",
     blocks: Blocks | None = None,
+    extra: dict[str, tuple[Column, Column]] | None = None,
 ) -> DataFrame:
     """Exponential means: name -> (input, alpha, warm-up).
 
-    Seeded with the first non-NULL input, NULL until ``warm-up`` inputs were seen. All items go
-    through one scan. Expects columns, not window expressions, as inputs.
+    Seeded with the first non-NULL input, NULL until ``warm-up`` inputs were seen. All items, and ``extra``
+    recurrences given as (a, b), go through one scan. Expects columns, not window expressions, as inputs.
     """
-    plain = {n: v for n, v in items.items() if v[1] < 1.0}
-    d = df.select("*", *[x.cast("double").alias(f"_in_{n}") for n, (x, _, _) in items.items()])
-    d = running(d, {f"_n_{n}": ("count", F.col(f"_in_{n}")) for n in items}, by=by, ts=ts, blocks=blocks)
-    if plain:
-        d = affine(
-            d,
-            {
-                f"_ew_{n}": (
-                    F.when(F.col(f"_in_{n}").isNotNull(), F.lit(1.0 - alpha)),
-                    F.col(f"_in_{n}") * F.when(F.col(f"_n_{n}") == 1, 1.0).otherwise(alpha),
-                )
-                for n, (_, alpha, _) in plain.items()
-            },
-            by=by,
-            ts=ts,
-            blocks=blocks,
+    # items over the same input share its column and its running count
+    inputs: dict[str, tuple[str, Column]] = {}
+    for x, _, _ in items.values():
+        inputs.setdefault(str(x), (f"_in_{len(inputs)}", x))
+    of = {n: inputs[str(x)][0] for n, (x, _, _) in items.items()}
+    d = df.select("*", *[x.cast("double").alias(c) for c, x in inputs.values()])
+    d = running(d, {f"_n{c}": ("count", F.col(c)) for c, _ in inputs.values()}, by=by, ts=ts, blocks=blocks)
+    scans = {
+        f"_ew_{n}": (
+            F.when(F.col(of[n]).isNotNull(), F.lit(1.0 - alpha)),
+            F.col(of[n]) * F.when(F.col(f"_n{of[n]}") == 1, 1.0).otherwise(alpha),
         )
-    value = {n: F.col(f"_ew_{n}") if n in plain else F.col(f"_in_{n}") for n in items}
+        for n, (_, alpha, _) in items.items()
+        if alpha < 1.0
+    }
+    scans |= {f"_ew_{n}": ab for n, ab in (extra or {}).items()}
+    if scans:
+        d = affine(d, scans, by=by, ts=ts, blocks=blocks)
+    value = {n: F.col(f"_ew_{n}") if f"_ew_{n}" in scans else F.col(of[n]) for n in items}
     return d.select(
-        *[c for c in df.columns if c not in items],
-        *[F.when(F.col(f"_n_{n}") >= warm, value[n]).alias(n) for n, (_, _, warm) in items.items()],
+        *[c for c in df.columns if c not in items and c not in (extra or {})],
+        *[F.when(F.col(f"_n{of[n]}") >= warm, value[n]).alias(n) for n, (_, _, warm) in items.items()],
+        *[F.col(f"_ew_{n}").alias(n) for n in extra or {}],
     )

@@ -1,2 +1,36 @@
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+"""Flagship: ticks -> bars -> features -> prediction -> signal -> position -> equity -> metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import indicators, ledger, metrics, signals
+from .fixtures import flag_bars, supp_bars
+
+
+def strategy(bars: DataFrame, *, capital: float = 10_000.0) -> DataFrame:
+    """Equity of a momentum strategy with its features. One exchange by series; every window runs behind it."""
+    d = indicators.add_features(bars, "returns", "volatility", "sma")
+    d = signals.sign_signal(signals.momentum_prediction(d, 5))
+    return ledger.equity_curve(ledger.positions(d), capital=capital, fraction=0.95, commission=0.001)
+
+
+def performance(equity: DataFrame) -> DataFrame:
+    known = equity.filter("ret is not null")
+    total = equity.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("bars"),
+        F.ln(F.max_by("equity", "ts") / F.min_by("equity", "ts")).alias("log_return"),
+        F.count("side").alias("trades"),
+        F.avg("volatility_20d").alias("mean_volatility"),
+    )
+    sharpe = metrics.ratio_metrics(known).select("symbol", "sharpe_ratio")
+    depth = metrics.drawdown_series(equity).groupBy("symbol").agg(F.min("drawdown").alias("max_drawdown"))
+    return total.join(sharpe, ["symbol"]).join(depth, ["symbol"])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return performance(strategy(flag_bars(spark, sf_dir)))
+
+
+def flagship_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return performance(strategy(supp_bars(spark, sf_dir)))

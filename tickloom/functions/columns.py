@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 div = F.try_divide
 
@@ -31,5 +31,6 @@ def share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
-def rounded(df, digits: int, *columns: str):
-    return df.select(*[F.round(c, digits).alias(c) if c in columns else F.col(c) for c in df.columns])
+def attach(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Put the columns of a global aggregate next to every row. ``totals`` has one row, because it has no keys."""
+    return df.crossJoin(F.broadcast(totals))

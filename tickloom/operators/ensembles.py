@@ -12,6 +12,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.columns import attach
 from .scale import split_two, time_folds
 from .series import By
 
@@ -76,7 +77,7 @@ def search_weights_mse(wide: DataFrame, models: Sequence[str], y: str = "y", *,
         for j in range(i + 1, k):
             mse = mse + 2.0 * w[i] * w[j] * F.col(f"_p{i}_{j}")
     grid = _grid_table(wide.sparkSession, k, step, min_weight)
-    return grid.crossJoin(F.broadcast(moments)).select("weight_id", "weights", mse.alias("mse"))  # moments: one row
+    return attach(grid, moments).select("weight_id", "weights", mse.alias("mse"))
 
 
 def search_weights_sharpe(

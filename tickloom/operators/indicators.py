@@ -354,13 +354,13 @@ def add_recursive(
     by: By = ("symbol",),
     ts: str = "ts",
     blocks: Blocks | None = None,
-    stored: bool = False,
+    stored: bool = True,
 ) -> DataFrame:
     """EMA, MACD, ADX, RSI, force index, ATR, KAMA; also ``ema_<n>`` / ``rsi_<n>`` for other n.
 
     All first-order recurrences share one scan; MACD's signal line and ADX, which smooth a smoothed
     series, share a second one. Only what ``columns`` needs is computed. A scan reads its input on both
-    sides of the carry join; ``stored`` writes the input of the second one first.
+    sides of the carry join; ``stored`` writes the input of the second one first (only where there is one).
     """
     want = set(columns)
     macd = bool(want & {"macd", "macd_signal", "macd_histogram"})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import div, share
-from .series import Blocks, By, affine, rolling, running
+from .series import Blocks, By, affine, prepared, rolling, running, staged
 
 FRACTION = 0.95
 
@@ -50,7 +50,7 @@ def equity_curve(
     A buy that costs more than the cash (f*(1+c) > 1) is never filled.
     """
     f, c = fraction, commission
-    d = bars
+    d = prepared(bars, by, ts, blocks)
     if f * (1.0 + c) > 1.0:
         d = d.withColumn("position", F.lit(0))
     d = rolling(d, lambda w: {"prev_": w.lag("position", 1, 0)}, before=1, by=by, ts=ts, blocks=blocks)
@@ -68,10 +68,11 @@ def equity_curve(
         ts=ts,
         blocks=blocks,
     )
+    d = staged(d, blocks)
     gain = F.when(
         F.col("side") == "sell", 1.0 - f * (1.0 + c) + f * (1.0 - c) * F.col("fill_price") / F.col("p0_")
     ).otherwise(1.0)
-    d = running(d, {"closed_": ("product", gain)}, by=by, ts=ts, blocks=blocks)
+    d = staged(running(d, {"closed_": ("product", gain)}, by=by, ts=ts, blocks=blocks), blocks)
     d = running(
         d,
         {"q_": ("last", F.when(F.col("side") == "buy", capital * F.col("closed_") * f / F.col("fill_price")))},
@@ -91,7 +92,7 @@ def equity_curve(
         }
     )
     d = rolling(d, lambda w: {"ret": w.change("equity")}, before=1, by=by, ts=ts, blocks=blocks)
-    return d.drop("prev_", "p0_", "closed_", "q_")
+    return d.drop("prev_", "p0_", "closed_", "q_", "_rn", "_blk")
 
 
 def trade_list(equity: DataFrame, *, by: By = ("symbol",), ts: str = "ts") -> DataFrame:
@@ -174,19 +175,22 @@ def trade_ledger(
     grows by each buy and shrinks in proportion at each sell, a recurrence with known coefficients, and
     restarts whenever the holdings were 0.
     """
-    sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
+    buy = F.col("side") == "buy"
+    sign = F.when(buy, 1.0).otherwise(-1.0)
     d = trades.withColumn("x_", sign * F.col("quantity"))
-    d = running(d, {"s_": ("sum", F.col("x_"))}, by=by, ts=ts, blocks=blocks)
+    d = d.withColumn("flow_", -F.col("x_") * F.col("price") - F.col("commission"))
+    d = prepared(d, by, ts, blocks)
+    d = staged(running(d, {"s_": ("sum", F.col("x_")), "cash": ("sum", F.col("flow_"))}, by=by, ts=ts, blocks=blocks), blocks)
     d = running(d, {"m_": ("min", F.col("s_"))}, by=by, ts=ts, blocks=blocks)
     d = d.withColumn("holding", F.col("s_") - F.least(F.col("m_"), F.lit(0.0)))
-    d = rolling(d, lambda w: {"held_": w.lag("holding", 1, 0.0)}, before=1, by=by, ts=ts, blocks=blocks)
+    d = staged(rolling(d, lambda w: {"held_": w.lag("holding", 1, 0.0)}, before=1, by=by, ts=ts, blocks=blocks), blocks)
     d = running(d, {"lot_": ("sum", (F.col("held_") == 0).cast("long"))}, by=by, ts=ts, blocks=blocks)
-    buy = F.col("side") == "buy"
+    d = staged(d.drop("_rn", "_blk"), blocks)
     open_ = F.col("holding") > 0
     keep = F.when(buy, 1.0).when(open_, div(F.col("holding"), F.col("held_"))).otherwise(1.0)
     add = F.when(buy, F.col("quantity") * F.col("price")).otherwise(0.0)
-    d = affine(d, {"cost_": (keep, add)}, by=(*by, "lot_"), ts=ts)
-    d = d.withColumn("cost_", F.when(open_, F.col("cost_")).otherwise(0.0))
+    d = affine(d, {"cost_": (keep, add)}, by=(*by, "lot_"), ts=ts, blocks=blocks)
+    d = staged(d.withColumn("cost_", F.when(open_, F.col("cost_")).otherwise(0.0)), blocks)
     d = rolling(d, lambda w: {"before_": w.lag("cost_", 1, 0.0)}, before=1, by=by, ts=ts, blocks=blocks)
     entry = F.coalesce(div(F.col("before_"), F.col("held_")), F.lit(0.0))
     sold = (F.col("price") - entry) * F.col("quantity") - F.col("commission")
@@ -194,11 +198,10 @@ def trade_ledger(
         {
             "avg_price": div(F.col("cost_"), F.col("holding")),
             "realised_pnl": F.when(~buy, sold).otherwise(0.0),
-            "flow_": -F.col("x_") * F.col("price") - F.col("commission"),
+            "cash": capital + F.col("cash"),
         }
     )
-    d = running(d, {"cash": ("sum", F.col("flow_"))}, by=by, ts=ts, blocks=blocks)
-    return d.withColumn("cash", capital + F.col("cash")).drop("x_", "s_", "m_", "held_", "lot_", "cost_", "before_", "flow_")
+    return d.drop("x_", "s_", "m_", "held_", "lot_", "cost_", "before_", "flow_")
 
 
 def mark_to_market(ledger: DataFrame, bars: DataFrame, *, by: By = ("symbol",), ts: str = "ts") -> DataFrame:

@@ -38,19 +38,20 @@ def return_metrics(df: DataFrame, *, ret: str = "ret", ppy: int = PPY, by: By =
 def risk_metrics(df: DataFrame, *, ret: str = "ret", ppy: int = PPY, by: By = ("symbol",), approx: bool = False) -> DataFrame:
     """Volatility, downside, VaR / CVaR, moments, semi-deviation. ``approx`` trades exact quantiles for sketches."""
     r, y = F.col(ret), math.sqrt(ppy)
-    q = (lambda p: F.percentile_approx(r, p, 10_000)) if approx else (lambda p: F.percentile(r, p))
+    # one aggregation buffer for both quantiles
+    tails = F.percentile_approx(r, [0.05, 0.01], 10_000) if approx else F.percentile(r, [0.05, 0.01])
     down = F.when(r < 0, r)
     first = df.groupBy(*by).agg(
         F.stddev_samp(r).alias("volatility"),
         (F.stddev_samp(r) * y).alias("annualized_volatility"),
         (F.stddev_samp(down) * y).alias("downside_deviation"),
         (F.var_samp(down) * ppy).alias("downside_variance"),
-        q(0.05).alias("var_95"),
-        q(0.01).alias("var_99"),
+        tails.alias("_tails"),
         _counted(F.skewness, skew_corrected, ret).alias("skewness"),
         _counted(F.kurtosis, kurt_corrected, ret).alias("kurtosis"),
         F.avg(r).alias("_mean"),
     )
+    first = first.withColumns({"var_95": F.col("_tails")[0], "var_99": F.col("_tails")[1]}).drop("_tails")
     below = r - F.col("_mean")
     second = (
         df.select(*by, ret)

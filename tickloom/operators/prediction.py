@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import div, share
+from ..functions.columns import attach, div, share
 from .series import By, rolling
 
 
@@ -40,17 +40,19 @@ def classification_metrics(df: DataFrame, y: str = "y", p: str = "prediction", *
 
     Works on confusion counts, at most classes x classes rows per key. A ratio with nothing below the line is 0.
     """
-    c = confusion(df, y, p, by=by)
-    classes = c.select(*by, F.explode(F.array(y, p)).alias("_k")).distinct()
-    joined = c.join(classes, [*by]) if by else c.crossJoin(F.broadcast(classes))  # few classes
-    hit, is_y, is_p = (F.col(y) == F.col(p)), F.col(y) == F.col("_k"), F.col(p) == F.col("_k")
     n = F.col("n")
-    per = joined.groupBy(*by, "_k").agg(
-        F.sum(F.when(hit & is_y, n).otherwise(0)).alias("_tp"),
-        F.sum(F.when(is_p, n).otherwise(0)).alias("_pp"),
-        F.sum(F.when(is_y, n).otherwise(0)).alias("_ap"),
-        F.sum(F.when(hit, n).otherwise(0)).alias("_hits"),
-        F.sum(n).alias("_n"),
+    hit = F.when(F.col(y) == F.col(p), n).otherwise(0)
+    none = F.lit(0).cast("long")
+    # a confusion cell adds to the class of its outcome and to the class of its prediction
+    sides = F.array(
+        F.struct(F.col(y).cast("double").alias("_k"), hit.cast("long").alias("tp"), none.alias("pp"), n.alias("ap")),
+        F.struct(F.col(p).cast("double").alias("_k"), none.alias("tp"), n.alias("pp"), none.alias("ap")),
+    )
+    per = (
+        confusion(df, y, p, by=by)
+        .select(*by, F.explode(sides).alias("_s"))
+        .groupBy(*by, F.col("_s._k").alias("_k"))
+        .agg(F.sum("_s.tp").alias("_tp"), F.sum("_s.pp").alias("_pp"), F.sum("_s.ap").alias("_ap"))
     )
     zero = F.lit(0.0)
     per = per.withColumns(
@@ -67,7 +69,7 @@ def classification_metrics(df: DataFrame, y: str = "y", p: str = "prediction", *
         return F.when(F.count_if(F.col("_ap") > 0) > 2, weighted).otherwise(F.coalesce(binary, zero))
 
     return per.groupBy(*by).agg(
-        (F.max("_hits") / F.max("_n")).alias("accuracy"),
+        (F.sum("_tp") / F.sum("_ap")).alias("accuracy"),
         chosen("_prec").alias("precision"),
         chosen("_rec").alias("recall"),
         chosen("_f1").alias("f1_score"),
@@ -84,7 +86,7 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score", *, by: By = (), r
         F.sum((F.col(y) == 1).cast("long")).alias("_p"), F.sum((F.col(y) == 0).cast("long")).alias("_q")
     )
     limits = s.groupBy(*by).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-    d = s.join(limits, [*by]) if by else s.crossJoin(F.broadcast(limits))
+    d = s.join(limits, [*by]) if by else attach(s, limits)
     cell = F.coalesce(F.floor(div(F.col("_s") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * ranges), F.lit(0))
     d = d.withColumn("_cell", cell.cast("int")).drop("_lo", "_hi")
     below = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

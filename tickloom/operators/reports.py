@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import div, share
 from .metrics import PPY, all_metrics, drawdown_runs, drawdown_series
-from .series import By, rolling, running
+from .series import Blocks, By, rolling, running
 
 
 def executive_summary(
@@ -122,8 +122,11 @@ def drawdown_episodes(equity: DataFrame, top: int | None = None, *, value: str =
     return e.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def trade_statistics(trades: DataFrame, *, by: By = ("symbol",), ts: str = "ts") -> DataFrame:
-    d = rolling(trades, lambda w: {"prev_": w.lag(ts)}, before=1, by=by, ts=ts)
+def trade_statistics(
+    trades: DataFrame, *, by: By = ("symbol",), ts: str = "ts", order: By = (), blocks: Blocks | None = None
+) -> DataFrame:
+    """``order`` breaks ties in time; ``blocks`` cuts accounts with very many trades."""
+    d = rolling(trades, lambda w: {"prev_": w.lag(ts)}, before=1, by=by, ts=(ts, *order), blocks=blocks)
     sec = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     gap = (sec(ts) - sec("prev_")) / 3_600.0
     days = F.floor((F.max(sec(ts)) - F.min(sec(ts))) / 86_400) + 1

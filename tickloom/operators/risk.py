@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import div
+from ..functions.columns import attach, div
 from .metrics import PPY, RF, benchmark_metrics, ratio_metrics, risk_metrics
 from .series import By, rolling, running
 
@@ -119,7 +119,7 @@ def portfolio_returns(bars: DataFrame, weights: DataFrame, *, by: By = ("symbol"
     d = d.filter(F.col("r_").isNotNull()).join(weights, [*by])
     n = weights.agg(F.count(F.lit(1)).alias("_m"))
     out = d.groupBy(ts).agg(F.sum(F.col("r_") * F.col("weight")).alias("ret"), F.count(F.lit(1)).alias("_c"))
-    return out.crossJoin(F.broadcast(n)).filter(F.col("_c") == F.col("_m")).select(ts, "ret")  # n: one row
+    return attach(out, n).filter(F.col("_c") == F.col("_m")).select(ts, "ret")
 
 
 def portfolio_risk(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.columns import attach
 from .series import Blocks, By, Frame, number_rows, rolling
 
 
@@ -30,7 +31,7 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], method: str = "standard",
 
 
 def _with_params(df: DataFrame, params: DataFrame, by: By) -> DataFrame:
-    return df.join(params, [*by]) if by else df.crossJoin(F.broadcast(params.limit(1)))
+    return df.join(params, [*by]) if by else attach(df, params)
 
 
 def scale(df: DataFrame, params: DataFrame, columns: Sequence[str], *, by: By = ("symbol",)) -> DataFrame:
@@ -79,7 +80,7 @@ def scale_sequences(df: DataFrame, method: str = "minmax", *, seq: str = "seq",
     fields = df.schema[seq].dataType.elementType.fieldNames()
     steps = df.filter(train).select(F.explode(seq).alias("_e")).select("_e.*")
     params = fit_scaler(steps, fields, method, by=())
-    d = df.crossJoin(F.broadcast(params))  # one row
+    d = attach(df, params)
     scaled = F.transform(
         seq, lambda e: F.struct(*[((e[f] - F.col(f"{f}__offset")) / F.col(f"{f}__scale")).alias(f) for f in fields])
     )

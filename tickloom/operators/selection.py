@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import attach
 from ..schema import OHLCV, finite_columns, numeric_columns
 from ..session import cut
 from . import market
@@ -104,7 +105,7 @@ def importance_mutual_information(df: DataFrame, target: str, features: Sequence
     """
     cols = [*features, target]
     limits = df.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
-    d = df.crossJoin(F.broadcast(limits))  # one row
+    d = attach(df, limits)
 
     def binned(c: str):
         lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import require
+from ..session import cut
 
 By = Sequence[str]
 Step = Callable[["Frame"], dict[str, Column]]
@@ -86,8 +87,11 @@ def number_rows(df: DataFrame, by: By, order: By, blocks: Blocks | None, name: s
     """0-based position of each row in its series.
 
     With ``blocks`` the position is (rows in earlier buckets) + (position in the bucket), so no task
-    sorts more than one bucket; the running count goes over one row per (series, bucket).
+    sorts more than one bucket; the running count goes over one row per (series, bucket). Rows that were
+    numbered before (``in_blocks``) are left as they are.
     """
+    if name in df.columns:
+        return df
     if blocks is None:
         w = Window.partitionBy(*by).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
@@ -107,6 +111,24 @@ def number_rows(df: DataFrame, by: By, order: By, blocks: Blocks | None, name: s
     )
 
 
+def in_blocks(df: DataFrame, by: By, order: By, blocks: Blocks) -> DataFrame:
+    """Number the rows and cut the series into blocks once, ahead of several blocked operators (``_rn``, ``_blk``)."""
+    if "_blk" in df.columns:
+        return df
+    d = number_rows(df, by, order, blocks)
+    return d.withColumn("_blk", F.floor(F.col("_rn") / blocks.rows).cast("long"))
+
+
+def prepared(df: DataFrame, by: By, ts: str | By, blocks: Blocks | None) -> DataFrame:
+    """Stored, numbered input of a chain of operators; the table itself where series are not cut."""
+    return df if blocks is None else cut(in_blocks(df, by, (ts,) if isinstance(ts, str) else tuple(ts), blocks))
+
+
+def staged(df: DataFrame, blocks: Blocks | None) -> DataFrame:
+    """Store the result of a blocked operator that the next one reads twice."""
+    return df if blocks is None else cut(df)
+
+
 def apply_steps(df: DataFrame, steps: Sequence[Step], frame: Frame) -> DataFrame:
     """Add the columns of each step; all columns of a step share one sort and one pass."""
     temporary: list[str] = []
@@ -139,15 +161,15 @@ def rolling(
     if max(before, after) > blocks.rows:
         raise ValueError("a block must be at least as long as the halo")
     size = blocks.rows
-    d = number_rows(df, by, order, blocks)
-    home = F.floor(F.col("_rn") / size).cast("long")
-    pos = F.col("_rn") % size
+    d = in_blocks(df, by, order, blocks)
+    home, pos = F.col("_blk"), F.col("_rn") % size
     homes = F.array_compact(
         F.array(home, F.when(pos >= size - before, home + 1), F.when((pos < after) & (home > 0), home - 1))
     )
     d = d.withColumn("_blk", F.explode(homes))
     out = apply_steps(d, steps, Frame((*by, "_blk"), ("_rn",)))
-    return out.filter(F.col("_blk") == F.floor(F.col("_rn") / size)).drop("_blk", "_rn")
+    out = out.filter(F.col("_blk") == F.floor(F.col("_rn") / size))
+    return out.drop(*[c for c in ("_blk", "_rn") if c not in df.columns])
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -185,7 +207,7 @@ def running(
     if blocks is None:
         frame = Frame(tuple(by), order)
         return df.select("*", *[_RUNNING[k][0](x).over(frame.so_far).alias(n) for n, (k, x) in items.items()])
-    d = number_rows(df, by, order, blocks).withColumn("_blk", F.floor(F.col("_rn") / blocks.rows).cast("long"))
+    d = in_blocks(df, by, order, blocks)
     d = d.select("*", *[x.alias(f"_x_{n}") for n, (_, x) in items.items()])
 
     def block_value(kind: str, x: str) -> Column:
@@ -265,7 +287,7 @@ def _carries(comp: DataFrame, by: By, names: Sequence[str], depth: int, fan: int
 
 def affine(
     df: DataFrame,
-    items: dict[str, tuple[Column, Column]],
+    items: dict[str, tuple],
     *,
     by: By = ("symbol",),
     ts: str | By = "ts",
@@ -276,47 +298,46 @@ def affine(
 
     Inside a tile of ``tile`` rows the recurrence is closed: with P the running product of a,
     y = P * (carry + running sum of b / P). That is two window passes; the carry of each tile comes from
-    folding one (p, s) pair per tile. ``df`` is read on both sides of the carry join, so pass a stored
-    table when it is costly to derive. NULL inputs leave y as it was.
+    folding one (p, s) pair per tile. Items are (a, b); for a constant a (a float), P is a power of the number
+    of known rows so far, and (a, b, column) names a column that is NULL just where b is, whose count is shared.
+    ``df`` is read on both sides of the carry join, so pass a stored table when it is costly to derive.
+    NULL inputs leave y as it was.
     """
-    d = number_rows(df, by, (ts,) if isinstance(ts, str) else tuple(ts), blocks)
-    d = d.withColumn("_tile", F.floor(F.col("_rn") / tile).cast("long"))
+    order = (ts,) if isinstance(ts, str) else tuple(ts)
     names = list(items)
-    ok = {n: a.isNotNull() & b.isNotNull() for n, (a, b) in items.items()}
+    d = number_rows(df, by, order, blocks)
+    const = {n: v[0] for n, v in items.items() if isinstance(v[0], float)}
+    varying = {n: v[0] for n, v in items.items() if n not in const}
+    known = {n: items[n][2] if len(items[n]) > 2 else f"_b_{n}" for n in const}
     d = d.select(
         "*",
-        *[
-            c
-            for n, (a, b) in items.items()
-            for c in (
-                F.when(ok[n], a).otherwise(1.0).alias(f"_a_{n}"),
-                F.when(ok[n], b).otherwise(0.0).alias(f"_b_{n}"),
-            )
-        ],
+        F.floor(F.col("_rn") / tile).cast("long").alias("_tile"),
+        *[v[1].alias(f"_b_{n}") for n, v in items.items()],
+        *[F.when(a.isNotNull() & items[n][1].isNotNull(), a).otherwise(1.0).alias(f"_a_{n}") for n, a in varying.items()],
     )
     w = Window.partitionBy(*by, "_tile").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.select("*", *[F.product(f"_a_{n}").over(w).alias(f"_P_{n}") for n in names])
+    counted = sorted(set(known.values()))
+    d = d.select(
+        "*",
+        *[F.count(c).over(w).alias(f"_k{c}") for c in counted],
+        *[F.product(f"_a_{n}").over(w).alias(f"_P_{n}") for n in varying],
+    )
+    power = {n: F.pow(F.lit(a), F.col(f"_k{known[n]}")) for n, a in const.items()} | {n: F.col(f"_P_{n}") for n in varying}
+    term = {n: F.coalesce(F.col(f"_b_{n}") / power[n], F.lit(0.0)) for n in names}
     comp = d.groupBy(*by, "_tile").agg(
-        *[
-            c
-            for n in names
-            for c in (
-                F.product(f"_a_{n}").alias(f"_p_{n}"),
-                F.sum(F.col(f"_b_{n}") / F.col(f"_P_{n}")).alias(f"_q_{n}"),
-            )
-        ]
+        *[F.count(c).alias(f"_k{c}") for c in counted],
+        *[F.product(f"_a_{n}").alias(f"_P_{n}") for n in varying],
+        *[F.sum(term[n]).alias(f"_q_{n}") for n in names],
     )
     comp = comp.select(
-        *by,
-        "_tile",
-        *[c for n in names for c in (F.col(f"_p_{n}"), (F.col(f"_p_{n}") * F.col(f"_q_{n}")).alias(f"_s_{n}"))],
+        *by, "_tile", *[c for n in names for c in (power[n].alias(f"_p_{n}"), (power[n] * F.col(f"_q_{n}")).alias(f"_s_{n}"))]
     )
     carry = _carries(comp, by, names, 0 if blocks is None else 2)
-    d = d.select("*", *[F.sum(F.col(f"_b_{n}") / F.col(f"_P_{n}")).over(w).alias(f"_Q_{n}") for n in names])
+    d = d.select("*", *[F.sum(term[n]).over(w).alias(f"_Q_{n}") for n in names])
     out = d.join(carry, [*by, "_tile"])
     return out.select(
         *[c for c in df.columns if c not in items],
-        *[(F.col(f"_P_{n}") * (F.col(f"_y_{n}") + F.col(f"_Q_{n}"))).alias(n) for n in names],
+        *[(power[n] * (F.col(f"_y_{n}") + F.col(f"_Q_{n}"))).alias(n) for n in names],
     )
 
 
@@ -343,8 +364,9 @@ def ewm(
     d = running(d, {f"_n{c}": ("count", F.col(c)) for c, _ in inputs.values()}, by=by, ts=ts, blocks=blocks)
     scans = {
         f"_ew_{n}": (
-            F.when(F.col(of[n]).isNotNull(), F.lit(1.0 - alpha)),
+            1.0 - alpha,
             F.col(of[n]) * F.when(F.col(f"_n{of[n]}") == 1, 1.0).otherwise(alpha),
+            of[n],
         )
         for n, (_, alpha, _) in items.items()
         if alpha < 1.0

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import div, share
+from ..functions.columns import attach, div, share
 from .series import Blocks, By, islands, rolling
 
 
@@ -154,7 +154,7 @@ def consensus(
         names = signals.select(name).distinct()
         total = names.agg(F.count(F.lit(1)).cast("double").alias("_t"))
         w = F.lit(1.0)
-        d = signals.crossJoin(F.broadcast(total))  # one row
+        d = attach(signals, total)
     else:
         table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
         w = F.coalesce(F.try_element_at(table, F.col(name)), F.lit(0.0))

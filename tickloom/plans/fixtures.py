@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.series import Blocks
 from ..sources.bars import pack_order, ticks_to_bars
 
 
@@ -22,6 +23,12 @@ def line_ticks(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
     )
 
 
+def line_blocks(rows: int = 100_000, day: str = "ts", part: str = "seq") -> Blocks:
+    """Blocks of line-item ticks: days, split further by ranges of 2**20 orders, so a bucket stays at task size."""
+    order_range = F.floor(F.col(part).cast("double") / (1e25 * 2**20)) if part == "seq" else F.floor(F.col(part) / 2**20)
+    return Blocks(rows, (F.col(day), order_range))
+
+
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"),

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import folds, indicators, metrics, reports, risk, selection, walkforward as wf
-from ..operators.series import Blocks, ewm, rolling, running
+from ..operators.series import ewm, rolling, running
 from ..session import cut
 from .catalog import KEY, columns_query, lag, pct, register, roll, rr, show, so_far
-from .fixtures import FLAG, SUPP, flag_bars, line_ticks, line_ticks_sql, supp_bars
+from .fixtures import FLAG, SUPP, flag_bars, line_blocks, line_ticks, line_ticks_sql, supp_bars
 from .q_features import ewm_ctes
 from .q_trading import CHAIN_SQL, DD, RETS, equity, known, returns
 
@@ -430,7 +430,7 @@ _TR = f"{line_ticks_sql('l_suppkey')}, t AS (SELECT *, CASE WHEN q > 25 THEN 'bu
 register(
     "s07_trade_statistics",
     lambda s, d: show(
-        reports.trade_statistics(_trade_rows(s, d)),
+        reports.trade_statistics(_trade_rows(s, d), order=["seq"], blocks=line_blocks(20_000)),
         ["symbol", "total_trades", "buy_trades", "sell_trades"],
         4,
         ["average_trade_size", "total_volume", "total_commission", "average_hours_between", "min_hours_between", "max_hours_between", "trades_per_day", "average_price", "std_price"],
@@ -606,7 +606,7 @@ def flag_ticks(s, d):
 
 
 def _blocks():
-    return Blocks(rows=2_000, bucket=(F.col("ts"),))
+    return line_blocks(2_000)
 
 
 _TK = line_ticks_sql("l_returnflag")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import costs, folds, ledger, metrics, prediction, signals
 from ..operators.series import rolling
 from .catalog import KEY, columns_query, lag, pct, register, roll, rr, show, so_far
-from .fixtures import FLAG, HOUR, SUPP, flag_bars, hour_bars, supp_bars, table
+from .fixtures import SUPP, line_blocks, supp_bars, table
 
 KEYS = ("symbol", "ts")
 Y = math.sqrt(252)
@@ -294,7 +294,8 @@ def account_trades(spark, sf):
 
 
 def _ledger(s, d):
-    return ledger.trade_ledger(account_trades(s, d), ts="at")
+    # an account can hold any share of all trades: cut long ones into blocks
+    return ledger.trade_ledger(account_trades(s, d), ts="at", blocks=line_blocks(20_000, "at.l_shipdate", "at.l_orderkey"))
 
 
 _ACCOUNT = (

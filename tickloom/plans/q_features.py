@@ -136,6 +136,7 @@ window_query(
     "f25_donchian",
     "donchian",
     {"dc_upper": "u", "dc_middle": "(u + l) / 2", "dc_lower": "l", "dc_width": "(u - l) / nullif((u + l) / 2, 0) * 100"},
+    raw=["dc_upper", "dc_middle", "dc_lower"],
     ctes=[f"a AS (SELECT *, {_U20} AS u, {_L20} AS l FROM bars)"],
     source="a",
 )
@@ -165,11 +166,13 @@ window_query(
     "f28_pivots",
     "pivots",
     {"pivot": TP, "r1": f"2 * {TP} - low", "s1": f"2 * {TP} - high", "r2": f"{TP} + (high - low)", "s2": f"{TP} - (high - low)"},
+    raw=["pivot", "r1", "s1", "r2", "s2"],
 )
 window_query(
     "f29_fibonacci",
     "fibonacci",
-    {"high_20": "u", "low_20": "l", **{n: f"l + {f} * (u - l)" for n, f in ind.FIB.items()}},
+    {"high_20": "u", "low_20": "l", **{n: f"l + {f}::DOUBLE * (u - l)" for n, f in ind.FIB.items()}},
+    raw=["high_20", "low_20", *ind.FIB],
     ctes=[f"a AS (SELECT *, {_U20} AS u, {_L20} AS l FROM bars)"],
     source="a",
 )

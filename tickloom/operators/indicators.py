@@ -140,14 +140,16 @@ feature("cci", ("cci",), 19, *_cci())
 
 
 def _stoch(n: int = 14, smooth: int = 3) -> tuple[Step, ...]:
+    def extremes(w: Frame):
+        return {"_min14": w.roll(F.min, "low", n), "_max14": w.roll(F.max, "high", n)}
+
     def k(w: Frame):
-        lo, hi = w.roll(F.min, "low", n), w.roll(F.max, "high", n)
-        return {"stoch_k": 100.0 * div(C() - lo, hi - lo)}
+        return {"stoch_k": 100.0 * div(C() - F.col("_min14"), F.col("_max14") - F.col("_min14"))}
 
     def d(w: Frame):
         return {"stoch_d": w.roll(F.avg, "stoch_k", smooth)}
 
-    return k, d
+    return extremes, k, d
 
 
 feature("stoch", ("stoch_k", "stoch_d"), 15, *_stoch())
@@ -155,9 +157,8 @@ feature(
     "williams_r",
     ("williams_r",),
     13,
-    lambda w: {
-        "williams_r": -100.0 * div(w.roll(F.max, "high", 14) - C(), w.roll(F.max, "high", 14) - w.roll(F.min, "low", 14))
-    },
+    _stoch()[0],
+    lambda w: {"williams_r": -100.0 * div(F.col("_max14") - C(), F.col("_max14") - F.col("_min14"))},
 )
 feature("roc", _each("roc_{}", (5, 10, 20)), 20, lambda w: {f"roc_{n}": 100.0 * w.change("close", n) for n in (5, 10, 20)})
 
@@ -170,11 +171,13 @@ def _mfi(n: int = 14) -> tuple[Step, ...]:
             "_nmf": F.when(d < 0, TP() * V()).otherwise(0.0),
         }
 
+    def sums(w: Frame):
+        return {"_psum": w.roll(F.sum, "_pmf", n), "_nsum": w.roll(F.sum, "_nmf", n)}
+
     def mfi(w: Frame):
-        p, q = w.roll(F.sum, "_pmf", n), w.roll(F.sum, "_nmf", n)
-        return {"mfi": 100.0 * div(p, p + q)}
+        return {"mfi": 100.0 * div(F.col("_psum"), F.col("_psum") + F.col("_nsum"))}
 
-    return flows, mfi
+    return flows, sums, mfi
 
 
 feature("mfi", ("mfi",), 14, *_mfi())
@@ -221,15 +224,18 @@ feature("eom", ("eom",), 14, *ease_of_movement())
 
 
 def _bollinger(n: int = 20, k: float = 2.0) -> tuple[Step, ...]:
+    def moments(w: Frame):
+        return {"bb_middle": w.roll(F.avg, "close", n), "_bbs": w.roll(F.stddev_pop, "close", n)}
+
     def bands(w: Frame):
-        m, s = w.roll(F.avg, "close", n), w.roll(F.stddev_pop, "close", n)
-        return {"bb_upper": m + k * s, "bb_middle": m, "bb_lower": m - k * s}
+        m, s = F.col("bb_middle"), F.col("_bbs")
+        return {"bb_upper": m + k * s, "bb_lower": m - k * s}
 
     def derived(w: Frame):
         u, m, lo = F.col("bb_upper"), F.col("bb_middle"), F.col("bb_lower")
         return {"bb_width": div(u - lo, m) * 100.0, "bb_percent": div(C() - lo, u - lo)}
 
-    return bands, derived
+    return moments, bands, derived
 
 
 feature("bollinger", ("bb_upper", "bb_middle", "bb_lower", "bb_width", "bb_percent"), 19, *_bollinger())
@@ -244,8 +250,11 @@ def _width(prefix: str) -> Step:
 
 
 def _donchian(w: Frame, n: int = 20):
-    u, lo = w.roll(F.max, "high", n), w.roll(F.min, "low", n)
-    return {"dc_upper": u, "dc_middle": (u + lo) / 2.0, "dc_lower": lo}
+    return {"dc_upper": w.roll(F.max, "high", n), "dc_lower": w.roll(F.min, "low", n)}
+
+
+def _donchian_middle(w: Frame):
+    return {"dc_middle": (F.col("dc_upper") + F.col("dc_lower")) / 2.0}
 
 
 def _keltner(w: Frame, n: int = 20):
@@ -256,7 +265,7 @@ def _keltner(w: Frame, n: int = 20):
     }
 
 
-feature("donchian", _each("dc_{}", ("upper", "middle", "lower", "width")), 19, _donchian, _width("dc"))
+feature("donchian", _each("dc_{}", ("upper", "middle", "lower", "width")), 19, _donchian, _donchian_middle, _width("dc"))
 feature("keltner", _each("kc_{}", ("upper", "middle", "lower", "width")), 19, _keltner, _width("kc"))
 feature(
     "ulcer_index",

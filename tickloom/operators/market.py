@@ -36,11 +36,15 @@ feature(
         "price_position": div(C() - L(), H() - L()),
     },
 )
+# A window expression that occurs twice in a column is evaluated twice, so each one gets a column of its own
+# (with a leading underscore) and later steps build on that.
+MA_WINDOWS = (5, 10, 20, 50)
 feature(
     "price_ma_distance",
-    _each("price_ma_distance_{}", (5, 10, 20, 50)),
+    _each("price_ma_distance_{}", MA_WINDOWS),
     49,
-    lambda w: {f"price_ma_distance_{n}": div(C() - w.roll(F.avg, "close", n), w.roll(F.avg, "close", n)) for n in (5, 10, 20, 50)},
+    lambda w: {f"_ma{n}": w.roll(F.avg, "close", n) for n in MA_WINDOWS},
+    lambda w: {f"price_ma_distance_{n}": div(C() - F.col(f"_ma{n}"), F.col(f"_ma{n}")) for n in MA_WINDOWS},
 )
 feature(
     "returns", _each("return_{}d", (1, 2, 3, 5, 10)), 10, lambda w: {f"return_{n}d": w.change("close", n) for n in (1, 2, 3, 5, 10)}
@@ -54,16 +58,6 @@ def _return_1d(w: Frame):
     return {"_r1": w.change("close")}
 
 
-def _sample_moment(f, correct, n):
-    count = F.count("_r1")
-
-    def at(w: Frame) -> Column:
-        m = count.over(w.back(n)).cast("double")
-        return F.when(m == n, correct(F.nullif(f("_r1").over(w.back(n)), F.lit(float("nan"))), m))
-
-    return at
-
-
 feature(
     "return_stats",
     [c for n in WINDOWS for c in (f"return_mean_{n}d", f"return_std_{n}d")],
@@ -87,13 +81,27 @@ feature(
         k: c
         for n in WINDOWS
         for k, c in (
-            (f"return_skew_{n}d", _sample_moment(F.skewness, skew_corrected, n)(w)),
-            (f"return_kurt_{n}d", _sample_moment(F.kurtosis, kurt_corrected, n)(w)),
+            (f"_known{n}", F.count("_r1").over(w.back(n))),
+            (f"_skew{n}", F.skewness("_r1").over(w.back(n))),
+            (f"_kurt{n}", F.kurtosis("_r1").over(w.back(n))),
+        )
+    },
+    lambda w: {
+        k: c
+        for n in WINDOWS
+        for k, c in (
+            (f"return_skew_{n}d", _full(n, skew_corrected, f"_skew{n}")),
+            (f"return_kurt_{n}d", _full(n, kurt_corrected, f"_kurt{n}")),
         )
     },
 )
 
 
+def _full(n: int, correct, moment: str) -> Column:
+    """Corrected moment of a full window; NULL where the returns do not vary."""
+    return F.when((F.col(f"_known{n}") == n) & ~F.isnan(moment), correct(F.col(moment), F.lit(float(n))))
+
+
 def volatility(windows=(5, 10, 20, 30), ppy: int = PPY):
     return (
         _return_1d,

@@ -53,14 +53,17 @@ def add_rolling_performance(
     """Rolling volatility, Sharpe (no risk-free rate) and mean return, annualised."""
     y = math.sqrt(ppy)
 
-    def step(w):
+    def moments(w):
+        return {k: c for n in windows for k, c in ((f"_m{n}", w.roll(F.avg, ret, n)), (f"_s{n}", w.roll(F.stddev_samp, ret, n)))}
+
+    def performance(w):
         out = {}
         for n in windows:
-            mean, std = w.roll(F.avg, ret, n), w.roll(F.stddev_samp, ret, n)
+            mean, std = F.col(f"_m{n}"), F.col(f"_s{n}")
             out |= {f"rolling_vol_{n}": std * y, f"rolling_sharpe_{n}": div(mean, std) * y, f"rolling_return_{n}": mean * ppy}
         return out
 
-    return rolling(df, step, before=max(windows) - 1, by=by, ts=ts)
+    return rolling(df, moments, performance, before=max(windows) - 1, by=by, ts=ts)
 
 
 def last_rolling(df: DataFrame, windows: Sequence[int] = (30, 90), *, by: By = ("symbol",), ts: str = "ts", **kw) -> DataFrame:

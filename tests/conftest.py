@@ -14,6 +14,9 @@ def spark():
 
     s = local_session(8, "tests")
     s.sparkContext.setLogLevel("ERROR")
+    # small frames: planning and code generation cost more than the rows (check.py runs with the defaults)
+    s.conf.set("spark.sql.shuffle.partitions", "2")
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
     yield s
     s.stop()
 

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import div, kurt_corrected, share, sharpe, skew_corrected
+from ..session import cut
 from .series import Blocks, By, islands, rolling, running
 
 PPY, RF = 252, 0.02
@@ -229,9 +230,15 @@ def value_summary(
 
 
 def all_metrics(
-    df: DataFrame, *, ret: str = "ret", value: str = "equity", ppy: int = PPY, rf: float = RF, by: By = ("symbol",), ts: str = "ts"
+    df: DataFrame, *, ret: str = "ret", value: str = "equity", ppy: int = PPY, rf: float = RF, by: By = ("symbol",), ts: str = "ts", stored: bool = True
 ) -> DataFrame:
-    """Every metric of returns and equity in one wide row per key."""
+    """Every metric of returns and equity in one wide row per key.
+
+    Six aggregates read the rows, so they are ``stored`` first (only the columns in use).
+    """
+    df = df.select(*by, ts, ret, value)
+    if stored:
+        df = cut(df)
     known = df.filter(F.col(ret).isNotNull())
     parts = [
         return_metrics(known, ret=ret, ppy=ppy, by=by),

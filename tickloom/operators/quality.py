@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import div
 from ..sources.combine import source_counts
+from ..session import cut
 from .series import Blocks, By, rolling
 
 
@@ -124,8 +125,14 @@ def issue_counts(
     max_age_hours: float = 48.0,
     by: By = ("symbol",),
     ts: str = "ts",
+    stored: bool = True,
 ) -> DataFrame:
-    """Findings per check, with a total row (check NULL). A fresh series is no finding."""
+    """Findings per check, with a total row (check NULL). A fresh series is no finding.
+
+    Five checks read the bars, so they are ``stored`` first.
+    """
+    if stored:
+        bars = cut(bars)
     checks = {
         "flash_crashes": price_jumps(bars, jump, by=by, ts=ts),
         "data_gaps": gaps(bars, interval_seconds, by=by, ts=ts),

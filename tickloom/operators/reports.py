@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import div, share
+from ..session import cut
 from .metrics import PPY, all_metrics, drawdown_runs, drawdown_series
 from .series import Blocks, By, rolling, running
 
@@ -16,13 +17,14 @@ def executive_summary(
     equity: DataFrame, benchmark: DataFrame | None = None, *, by: By = ("symbol",), ts: str = "ts", value: str = "equity"
 ) -> DataFrame:
     """Period, capital, key metrics; with a benchmark (by, benchmark_return) also the excess return."""
+    equity = cut(equity.select(*by, ts, "ret", value))  # read by the period and by each group of metrics
     period = equity.groupBy(*by).agg(
         F.min(ts).alias("start"),
         F.max(ts).alias("end"),
         F.min_by(value, ts).alias("initial_capital"),
         F.max_by(value, ts).alias("final_capital"),
     )
-    m = all_metrics(equity, value=value, by=by, ts=ts).select(
+    m = all_metrics(equity, value=value, by=by, ts=ts, stored=False).select(
         *by, "total_return", "annualized_return", F.col("annualized_volatility").alias("volatility"),
         "sharpe_ratio", "max_drawdown", "win_rate", "total_trades",
     )

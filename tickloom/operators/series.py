@@ -332,7 +332,7 @@ def affine(
     comp = comp.select(
         *by, "_tile", *[c for n in names for c in (power[n].alias(f"_p_{n}"), (power[n] * F.col(f"_q_{n}")).alias(f"_s_{n}"))]
     )
-    carry = _carries(comp, by, names, 0 if blocks is None else 2)
+    carry = _carries(staged(comp, blocks), by, names, 0 if blocks is None else 2)
     d = d.select("*", *[F.sum(term[n]).over(w).alias(f"_Q_{n}") for n in names])
     out = d.join(carry, [*by, "_tile"])
     return out.select(
@@ -360,8 +360,9 @@ def ewm(
     for x, _, _ in items.values():
         inputs.setdefault(str(x), (f"_in_{len(inputs)}", x))
     of = {n: inputs[str(x)][0] for n, (x, _, _) in items.items()}
-    d = df.select("*", *[x.cast("double").alias(c) for c, x in inputs.values()])
+    d = prepared(df.select("*", *[x.cast("double").alias(c) for c, x in inputs.values()]), by, ts, blocks)
     d = running(d, {f"_n{c}": ("count", F.col(c)) for c, _ in inputs.values()}, by=by, ts=ts, blocks=blocks)
+    d = staged(d, blocks)
     scans = {
         f"_ew_{n}": (
             1.0 - alpha,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.columns import sharpe
 from ..operators import indicators, ledger, metrics, signals
 from .fixtures import flag_bars, supp_bars
 
@@ -15,17 +16,16 @@ def strategy(bars: DataFrame, *, capital: float = 10_000.0) -> DataFrame:
     return ledger.equity_curve(ledger.positions(d), capital=capital, fraction=0.95, commission=0.001)
 
 
-def performance(equity: DataFrame) -> DataFrame:
-    known = equity.filter("ret is not null")
-    total = equity.groupBy("symbol").agg(
+def performance(equity: DataFrame, *, ppy: int = 252, rf: float = 0.02) -> DataFrame:
+    """One more window pass for the peaks, then one aggregate."""
+    return metrics.drawdown_series(equity).groupBy("symbol").agg(
         F.count(F.lit(1)).alias("bars"),
         F.ln(F.max_by("equity", "ts") / F.min_by("equity", "ts")).alias("log_return"),
         F.count("side").alias("trades"),
         F.avg("volatility_20d").alias("mean_volatility"),
+        sharpe(F.avg("ret"), F.stddev_samp("ret"), ppy, rf).alias("sharpe_ratio"),
+        F.min("drawdown").alias("max_drawdown"),
     )
-    sharpe = metrics.ratio_metrics(known).select("symbol", "sharpe_ratio")
-    depth = metrics.drawdown_series(equity).groupBy("symbol").agg(F.min("drawdown").alias("max_drawdown"))
-    return total.join(sharpe, ["symbol"]).join(depth, ["symbol"])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

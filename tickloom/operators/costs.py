@@ -24,14 +24,14 @@ def unpivot_predictions(df: DataFrame, keys: Sequence[str] = ("symbol", "ts"), p
 def paid_bars(
     df: DataFrame,
     *,
-    rule: str = "reference",
+    rule: str = "once",
     by: By = ("model", "symbol"),
     ts: str = "ts",
     blocks: Blocks | None = None,
 ) -> DataFrame:
     """Adds ``held`` (bars with a position), ``n_paid`` (cost units due on the bar) and ``turn`` (position change).
 
-    ``reference``: a held bar pays one unit when it opens the position (except on the very first bar) or else when
+    ``once``: a held bar pays one unit when it opens the position (except on the very first bar) or else when
     it is the last before the exit, so a one-bar position pays once. ``both_sides``: every entry and every exit
     pays one unit.
     """
@@ -46,7 +46,7 @@ def paid_bars(
     )
     held = F.col("signal") == 1
     opens, closes = F.coalesce(F.col("pv_") == 0, F.lit(False)), F.coalesce(F.col("nx_") == 0, F.lit(False))
-    if rule == "reference":
+    if rule == "once":
         paid = (held & (opens | closes)).cast("int")
     elif rule == "both_sides":
         first, last = F.col("pv_").isNull(), F.col("nx_").isNull()

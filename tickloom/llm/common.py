@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # fixed values: the white space that separates words, as characters and as a pattern
@@ -58,3 +60,45 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 def record(schema: pa.Schema, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+
+
+class WordHashes:
+    """64-bit hashes of the words of many texts; remembers the hashes of distinct words, a bounded number of them."""
+
+    def __init__(self, remembered: int = 500_000) -> None:
+        self.known: dict[bytes, int] = {}
+        self.remembered = remembered
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words in a row, where each text's words begin and the last ends).
+
+        bytes.split() parts at the six ASCII white space characters, which are SPACE_CHARS.
+        """
+        known, get, digest = self.known, self.known.__getitem__, xxhash.xxh64_intdigest
+        out, ends = [], [0]
+        for t in texts:
+            own = t.split()
+            for w in set(own).difference(known):
+                known[w] = digest(w)
+            out.append(np.fromiter(map(get, own), dtype=np.uint64, count=len(own)))
+            ends.append(ends[-1] + len(own))
+            if len(known) > self.remembered:
+                known.clear()
+        return np.concatenate([*out, np.zeros(0, dtype=np.uint64)]), np.array(ends)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values: every bit of the result depends on all bits."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` neighbours, in order of their starts."""
+    size = max(0, len(hashes) - n + 1)
+    out = np.zeros(size, dtype=np.uint64)
+    for k in range(n):
+        out = (out ^ hashes[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return mix64(out)

@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, line_dedup, mixing, packing, quality_rules, token_counts
+from . import byte_bpe, line_dedup, mixing, packing, quality_rules, repeated_phrases, token_counts
 from .common import documents, record, sha
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+SQL_REPEATS = (
+    f"d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),"
+    " windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),"
+    " firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),"
+    " gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (s) WHERE doc_id > first),"
+    " each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),"
+    " kept AS (SELECT e.doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY e.p) FILTER (g.p IS NULL) AS text"
+    " FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p GROUP BY e.doc_id)"
+)
+
+
+@query(
+    "op10_repeated_phrases",
+    f"WITH {SQL_REPEATS} SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256"
+    " FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeated_phrases.remove_repeats(documents(spark, sf_dir), n=13)
+    return kept.select("doc_id", "n_words", "n_removed", sha256("kept").alias("kept_sha256"))

@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, line_dedup, mixing, packing, quality_rules, repeated_phrases, token_counts
+from . import byte_bpe, jaccard_join, line_dedup, mixing, packing, quality_rules, repeated_phrases, token_counts
 from .common import documents, record, sha
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", sha256("text").alias("kept_sha256"))
 
 
+@query("op2_jaccard_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(documents(spark, sf_dir), jaccard_join.Rule(words=4, percent=85))
+
+
 @query("op3_mix_sources")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), max_repeat=3)

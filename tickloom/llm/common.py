@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

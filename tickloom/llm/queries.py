@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, jaccard_join, line_dedup, mixing, packing, quality_rules, repeated_phrases, token_counts
+from . import byte_bpe, class_lm, jaccard_join, line_dedup, mixing, nn_graph, packing, quality_rules, repeated_phrases, token_counts
 from .common import documents, record, sha
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op8_nn_graph")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_graph.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
+
+
+@query("op9_class_lm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(documents(spark, sf_dir))
+
+
 SQL_REPEATS = (
     f"d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),"
     " windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),"

@@ -94,18 +94,26 @@ def kept_lines(lines: Column, keep: Column) -> Column:
     return F.when(keep.isNull(), lines).otherwise(let(full, pick))
 
 
+def _with_kept(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    b = bitmaps.select(F.col("doc_id").alias("b_id_"), F.col("tag").alias("b_tag_"), F.col("keep").alias("keep_"))
+    d = docs.join(b, F.col("doc_id").eqNullSafe(F.col("b_id_")) & (text_tag(F.col("text")) == F.col("b_tag_")), "left")
+    d = d.withColumn("lines_", split_lines(F.col("text")))
+    return d.withColumn("kept_", kept_lines(F.col("lines_"), F.col("keep_")))
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): every row of ``docs`` with its text less the removed lines."""
-    d = docs.select("doc_id", "text", text_tag(F.col("text")).alias("tag"))
-    b = bitmaps.select(F.col("doc_id").alias("b_id"), F.col("tag").alias("b_tag"), "keep")
-    d = d.join(b, d["doc_id"].eqNullSafe(b["b_id"]) & (d["tag"] == b["b_tag"]), "left")
-    d = d.withColumn("lines", split_lines(F.col("text")))
-    d = d.withColumn("kept", kept_lines(F.col("lines"), F.col("keep")))
-    return d.select(
-        "doc_id", F.array_join("kept", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+    return _with_kept(docs.select("doc_id", "text"), bitmaps).select(
+        "doc_id", F.array_join("kept_", "\n").alias("text"), F.size("lines_").cast("long").alias("n_lines"),
+        (F.size("lines_") - F.size("kept_")).cast("long").alias("n_dropped"),
     )
 
 
+def filter_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` less the removed lines; a null text stays null."""
+    text = F.when(F.col("text").isNotNull(), F.array_join("kept_", "\n"))
+    return _with_kept(docs, bitmaps).withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def dedup_lines(docs: DataFrame, **rule) -> DataFrame:
     return apply_bitmaps(docs, line_keep_bitmaps(docs, **rule))

@@ -6,6 +6,7 @@ Everything is a column expression on one row: no shuffle, no Python on the data.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -87,20 +88,30 @@ def repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(windows, of))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, *MEASURES): one row per row; a null or empty text measures 0 everywhere but n_lines (1 empty line)."""
+def measured(docs: DataFrame) -> DataFrame:
+    """``docs`` with a struct column ``measures_``; a null or empty text measures 0 everywhere but n_lines (1 empty line)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
     with_word = F.filter(lines, lambda x: F.regexp_replace(x, SPACE, "") != "")
     bare = F.regexp_replace(text, SPACE, "")
     chars = lambda pattern: F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
-    w = words(F.col("text"))
-    d = docs.select(
-        "doc_id", let(w, lambda x: F.struct(F.size(x).alias("n_words"), repeat_words(x).alias("n_repeat_words"))).alias("w"), F.char_length(bare).alias("word_chars"), chars(SYMBOLS).alias("n_symbols"),
-        let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"), F.size(lines).alias("n_lines"),
-        chars("[0-9]").alias("n_digits"),
-    )
-    return d.select("doc_id", *[(F.col(f"w.{m}") if m in ("n_words", "n_repeat_words") else F.col(m)).cast(t).alias(m) for m, t in MEASURES.items()])
+    of_words = let(words(F.col("text")), lambda x: F.struct(F.size(x).alias("n"), repeat_words(x).alias("repeat")))
+    dup_lines = let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    pair = F.struct(of_words.alias("w"), F.char_length(bare).alias("word_chars"), chars(SYMBOLS).alias("n_symbols"), dup_lines.alias("n_dup_lines"),
+                    F.size(lines).alias("n_lines"), chars("[0-9]").alias("n_digits"))
+    own = {"n_words": "w.n", "n_repeat_words": "w.repeat"}
+    values = [F.col(f"measures_.{own.get(m, m)}").cast(t).alias(m) for m, t in MEASURES.items()]
+    return docs.withColumn("measures_", pair).withColumn("measures_", F.struct(*values))
+
+
+def failed_bits(prefix: str = "") -> Column:
+    """One bit for each rule that the measures fail."""
+    failed = F.lit(0).cast("long")
+    for name, rule in RULES.items():
+        for m in MEASURES:
+            rule = re.sub(rf"\b{m}\b", f"{prefix}{m}", rule)
+        failed = failed.bitwiseOR(F.when(F.expr(rule), F.lit(BIT[name])).otherwise(0).cast("long"))
+    return failed
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -109,11 +120,13 @@ def ledger(docs: DataFrame) -> DataFrame:
     Rows are judged one by one, so repeated rows and ids get equal results and null ids stay; an empty table gives no
     rows. Measures count the whole text, however long.
     """
-    bits = [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(0) for name, rule in RULES.items()]
-    failed = bits[0]
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b)
-    return measure(docs).withColumn("failed", failed.cast("long"))
+    return measured(docs.select("doc_id", "text")).select("doc_id", "measures_.*").withColumn("failed", failed_bits())
+
+
+def filter_documents(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
+    """The rows of ``docs`` that pass the policy, unchanged."""
+    judged = measured(docs)
+    return judged.filter(failed_bits("measures_.").bitwiseAND(policy.mask) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def passes(policy: Policy = CURRENT) -> Column:

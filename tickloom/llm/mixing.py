@@ -2,7 +2,7 @@
 
 Documents are counted by exact size; a source's budget is whole rounds over all its documents plus a rest. The rest
 is spread over the sizes in proportion to their counts, then filled from the largest size down, and what is left,
-less than the largest size, is closed by a bounded-knapsack dynamic programme over the counts still free. Only then are
+less than the largest size, is closed by a bounded-knapsack dynamic programme over the counts still free, to the nearest sum on either side. Only then are
 documents named: in each size, those with the smallest seeded hash.
 """
 
@@ -46,7 +46,7 @@ def source_targets(sizes: dict[str | None, int], weights: Sequence[float] = (5,
 
 
 def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many documents of each size to take so that their sizes add up to ``budget`` or, failing that, as near below as possible.
+    """How many documents of each size to take so that their sizes add up to ``budget`` or, failing that, come near it.
 
     Work and memory follow the number of distinct sizes and the largest size, not the number of documents.
     """
@@ -70,11 +70,11 @@ def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list
 
 
 def _knapsack(sizes: Sequence[int], counts: Sequence[int], take: list[int], left: int) -> list[int]:
-    """Bounded knapsack over a bit set of reachable sums up to ``left``; bit s of an int stands for the sum s."""
-    mask = (1 << (left + 1)) - 1
+    """Bounded knapsack over a bit set of reachable sums up to twice ``left``; bit s of an int stands for the sum s."""
+    mask = (1 << (2 * left + 1)) - 1
     reach, steps = 1, []
     for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
-        free, chunk = min(counts[i] - take[i], left // sizes[i]), 1
+        free, chunk = min(counts[i] - take[i], 2 * left // sizes[i]), 1
         while free > 0 and not reach >> left & 1:
             k = min(chunk, free)
             grown = (reach | reach << (k * sizes[i])) & mask
@@ -82,7 +82,10 @@ def _knapsack(sizes: Sequence[int], counts: Sequence[int], take: list[int], left
                 steps.append((i, k, reach))
                 reach = grown
             free, chunk = free - k, chunk * 2
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = reach >> left
+    over = (above & -above).bit_length() - 1 if above else left + 1
+    at = left + over if over < left - below else below
     for i, k, before in reversed(steps):
         if not before >> at & 1:
             take[i] += k

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import record
+from .common import int_lists, record
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 DECODED = pa.schema([*ENCODED, ("decoded", pa.binary())])
@@ -261,7 +261,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -
 def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     token = load(path).token
     for batch in batches:
-        decoded = [b"".join([token[i] for i in ids]) if ids else b"" for ids in batch.column("ids").to_pylist()]
+        decoded = [b"".join(map(token.__getitem__, ids)) for ids in int_lists(batch.column("ids"))]
         yield record(DECODED, batch.column("doc_id"), batch.column("ids"), decoded)
 
 

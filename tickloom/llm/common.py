@@ -59,6 +59,13 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b or b"" for b in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def int_lists(column: pa.ListArray) -> list[list[int]]:
+    """The rows of a list column; a null row is empty. Much faster than to_pylist() on lists."""
+    values = column.flatten().to_numpy().tolist()
+    ends = np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()]).tolist()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def record(schema: pa.Schema, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import byte_bpe, class_lm, jaccard_join, line_dedup, mixing, nn_graph, packing, quality_rules, repeated_phrases, token_counts
-from .common import documents, record, sha
+from .common import documents, int_lists, record, sha
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,7 +97,7 @@ def id_digests(batches):
     """Digests of the decimal ids and of the decoded bytes."""
     decimal = [str(i) for i in range(1 << 16)]
     for b in batches:
-        ids = b.column("ids").to_pylist()
+        ids = int_lists(b.column("ids"))
         joined = [sha(",".join(map(decimal.__getitem__, x)).encode()) for x in ids]
         yield record(DIGESTS, b.column("doc_id"), list(map(len, ids)), joined, list(map(sha, b.column("decoded").to_pylist())))
 

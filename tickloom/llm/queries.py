@@ -147,5 +147,5 @@ SQL_REPEATS = (
     " FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id",
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = repeated_phrases.remove_repeats(documents(spark, sf_dir), n=13)
-    return kept.select("doc_id", "n_words", "n_removed", sha256("kept").alias("kept_sha256"))
+    digests = repeated_phrases.remove_repeats(documents(spark, sf_dir), n=13, finish=lambda kept: sha(kept).encode())
+    return digests.withColumnRenamed("kept", "kept_sha256")

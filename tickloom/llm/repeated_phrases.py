@@ -13,7 +13,7 @@ Two rows with the same doc_id are one document and never repeat each other. A nu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -25,6 +25,8 @@ from tickloom.session import stage
 
 from .common import WordHashes, grams, record, shuffle_tasks, text_tag, texts
 
+Finish = Callable[[bytes], bytes]
+
 GRAM = 4
 SLICE = 256  # documents with an anchor beyond which its shard is dealt out
 BLOCK = 200_000  # windows in one automaton
@@ -32,7 +34,10 @@ NULL_ID = -(1 << 63)
 
 ANCHORS = pa.schema([("anchor", pa.int64()), ("id", pa.int64())])
 RUN = pa.struct([("start", pa.int32()), ("windows", pa.int32()), ("first", pa.int64()), ("bits", pa.int32())])
-MARKED = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("text", pa.string()), ("runs", pa.list_(RUN))])
+MARKED = pa.schema([
+    ("id", pa.int64()), ("tag", pa.int32()), ("text", pa.string()), ("runs", pa.list_(RUN)), ("n_words", pa.int64()), ("kept", pa.binary()),
+])
+KEPT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 PASSAGES = pa.schema([
     ("first", pa.int64()), ("bits", pa.int32()), ("slice", pa.int32()), ("follows", pa.bool_()), ("id", pa.int64()), ("tag", pa.int32()),
     ("start", pa.int32()), ("words", pa.binary()),
@@ -71,31 +76,32 @@ def anchor_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Rec
         yield record(ANCHORS, anchors[keep].view(np.int64), batch.column("id").to_numpy()[row[keep]])
 
 
-def mark_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows with a recurring anchor of one first document."""
+def mark_batches(batches: Iterator[pa.RecordBatch], n: int, finish: Finish) -> Iterator[pa.RecordBatch]:
+    """Runs of windows with a recurring anchor of one first document; a text without any is finished here."""
     hashes = WordHashes()
     for batch in batches:
-        runs = []
+        out = []
         own_anchors = batch.column("anchors")
-        for i, text in enumerate(texts(batch)):
-            if not own_anchors[i].is_valid:
-                runs.append(None)
-                continue
-            own = own_anchors[i].values
-            anchor, first, bits = (own.field(k).to_numpy() for k in range(3))
-            order = np.argsort(anchor)
-            anchor, first, bits = anchor[order], first[order], bits[order]
-            mine = window_anchors(hashes.of([text])[0], n).view(np.int64)
-            at = np.minimum(np.searchsorted(anchor, mine), len(anchor) - 1)
-            hit = anchor[at] == mine
-            f, b = np.where(hit, first[at], 0), np.where(hit, bits[at], -1)
-            cut = np.flatnonzero((f[1:] != f[:-1]) | (b[1:] != b[:-1])) + 1
-            starts = np.concatenate(([0], cut))
-            stops = np.concatenate((cut, [len(mine)]))
-            runs.append([
-                {"start": s, "windows": e - s, "first": int(f[s]), "bits": int(b[s])} for s, e in zip(starts.tolist(), stops.tolist(), strict=True) if b[s] >= 0
-            ])
-        yield record(MARKED, batch.column("id"), batch.column("tag"), batch.column("text"), runs)
+        for i, (d, tag, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("tag").to_pylist(), texts(batch), strict=True)):
+            runs = _runs(own_anchors[i].values, hashes.of([text])[0], n) if own_anchors[i].is_valid else []
+            own = text.split() if not runs else []
+            out.append((d, tag, text.decode(), runs, None, None) if runs else (d, tag, None, None, len(own), finish(b" ".join(own))))
+        if out:
+            yield record(MARKED, *zip(*out, strict=True))
+
+
+def _runs(anchors: pa.StructArray, words: np.ndarray, n: int) -> list[dict]:
+    anchor, first, bits = (anchors.field(k).to_numpy() for k in range(3))
+    order = np.argsort(anchor)
+    anchor, first, bits = anchor[order], first[order], bits[order]
+    mine = window_anchors(words, n).view(np.int64)
+    at = np.minimum(np.searchsorted(anchor, mine), len(anchor) - 1)
+    hit = anchor[at] == mine
+    f, b = np.where(hit, first[at], 0), np.where(hit, bits[at], -1)
+    cut = np.flatnonzero((f[1:] != f[:-1]) | (b[1:] != b[:-1])) + 1
+    starts, stops = np.concatenate(([0], cut)), np.concatenate((cut, [len(mine)]))
+    spans = zip(starts.tolist(), stops.tolist(), strict=True)
+    return [{"start": s, "windows": e - s, "first": int(f[s]), "bits": int(b[s])} for s, e in spans if e > s and b[s] >= 0]
 
 
 def passage_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -169,8 +175,8 @@ def locate_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Rec
             yield record(FOUND, *zip(*rows, strict=True))
 
 
-def removed_batches(batches: Iterator[pa.RecordBatch], n: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(id, n_words, n_removed, kept): ``kept`` is the words outside the found windows, joined by a space."""
+def removed_batches(batches: Iterator[pa.RecordBatch], n: int, finish: Finish) -> Iterator[pa.RecordBatch]:
+    """``kept`` is the words outside the found windows, joined by a space."""
     for batch in batches:
         out = []
         for d, text, spans in zip(batch.column("id").to_pylist(), texts(batch), batch.column("spans").to_pylist(), strict=True):
@@ -183,12 +189,13 @@ def removed_batches(batches: Iterator[pa.RecordBatch], n: int, schema: pa.Schema
                     gone[s["start"] + s["windows"] + n - 1] -= 1
                 gone = np.cumsum(gone[:-1]) > 0
                 own = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
-            out.append((d, n_words, n_words - len(own), b" ".join(own)))
-        yield record(schema, *zip(*out, strict=True)) if out else record(schema, [], [], [], [])
+            out.append((d, n_words, n_words - len(own), finish(b" ".join(own))))
+        if out:
+            yield record(KEPT, *zip(*out, strict=True))
 
 
-def repeated_windows(docs: DataFrame, *, n: int = 13) -> tuple[DataFrame, DataFrame]:
-    """(marked, spans): all rows as (id, tag, text, runs), and (id, tag, start, windows), the windows that an earlier document holds."""
+def repeated_windows(docs: DataFrame, *, n: int = 13, finish: Finish = bytes) -> tuple[DataFrame, DataFrame]:
+    """(marked, spans): every row, finished or with its text and runs; (id, tag, start, windows), the windows that an earlier document holds."""
     spark = docs.sparkSession
     tasks = shuffle_tasks(spark)
     d = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), text_tag(F.col("text")).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
@@ -200,8 +207,8 @@ def repeated_windows(docs: DataFrame, *, n: int = 13) -> tuple[DataFrame, DataFr
     )
     per_doc = anchors.join(recurring, "anchor").groupBy(F.col("id").alias("a_id")).agg(F.collect_set(F.struct("anchor", "first", "bits")).alias("anchors"))
     joined = d.join(per_doc, F.col("id") == F.col("a_id"), "left").select("id", "tag", "text", "anchors")
-    marked = stage(joined.mapInArrow(lambda it: mark_batches(it, n), ddl(MARKED)), "marked")
-    passages = marked.filter("size(runs) > 0").mapInArrow(lambda it: passage_batches(it, n), ddl(PASSAGES))
+    marked = stage(joined.mapInArrow(lambda it: mark_batches(it, n, finish), ddl(MARKED)), "marked")
+    passages = marked.filter("runs IS NOT NULL").select("id", "tag", "text", "runs").mapInArrow(lambda it: passage_batches(it, n), ddl(PASSAGES))
     dealt = passages.repartition(tasks, "first", "bits", "slice").sortWithinPartitions("first", "bits", "slice", "follows")
     found = stage(dealt.mapInArrow(lambda it: locate_batches(it, n), ddl(FOUND)), "located")
     other = found.filter("h1 IS NOT NULL")
@@ -211,17 +218,16 @@ def repeated_windows(docs: DataFrame, *, n: int = 13) -> tuple[DataFrame, DataFr
     return marked, spans
 
 
-def remove_repeats(docs: DataFrame, *, n: int = 13) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, n: int = 13, finish: Finish = bytes) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every row; ``kept`` is the text's words without those of repeated windows.
 
     A word goes if a window of ``n`` consecutive words over it also starts in a document with a smaller doc_id. Null and
     empty texts have no words. An empty table gives no rows; other columns are not read.
     """
-    marked, spans = repeated_windows(docs, n=n)
+    marked, spans = repeated_windows(docs, n=n, finish=finish)
     per_doc = spans.groupBy(F.col("id").alias("s_id"), F.col("tag").alias("s_tag")).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    some = marked.filter("size(runs) > 0")
+    some = marked.filter("runs IS NOT NULL").select("id", "tag", "text")
     joined = some.join(per_doc, (F.col("id") == F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left").select("id", "text", "spans")
-    none = marked.filter("runs IS NULL OR size(runs) = 0").select("id", "text", F.lit(None).cast("array<struct<start:int,windows:int>>").alias("spans"))
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
-    out = joined.unionByName(none).mapInArrow(lambda it: removed_batches(it, n, schema), "id long, n_words long, n_removed long, kept binary")
-    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    out = joined.mapInArrow(lambda it: removed_batches(it, n, finish), ddl(KEPT))
+    none = marked.filter("runs IS NULL").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
+    return out.unionByName(none).select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))

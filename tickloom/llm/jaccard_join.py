@@ -34,8 +34,7 @@ LEAF, FAN = 32, 8
 SLICE = 256  # comparisons of one class beyond which they are dealt out
 BLOCK = 2048  # classes of a subtree that one task joins with as many others
 
-SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
-KEYS = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 POINTS = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("point", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -143,15 +142,10 @@ def _set_batches(batches, rule: Rule):
     for batch in batches:
         own = shingle_sets(batch, rule, hashes)
         s1, s2 = ([int(mix64(x ^ salt).sum().view(np.int64)) for x in own] for salt in (np.uint64(0), other))
-        yield record(SETS, batch.column("id"), list(map(len, own)), s1, s2)
-
-
-def _key_batches(batches, rule: Rule):
-    hashes = WordHashes()
-    for batch in batches:
-        keys = [subtree_keys(x, rule) for x in shingle_sets(batch, rule, hashes)]
-        ids = np.repeat(batch.column("id").to_numpy(), list(map(len, keys)))
-        yield record(KEYS, np.concatenate([*keys, np.zeros(0, dtype=np.uint64)]).view(np.int64), ids)
+        keys = [subtree_keys(x, rule).view(np.int64) for x in own]
+        ends = np.cumsum([0, *map(len, keys)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.int64)])))
+        yield record(SETS, batch.column("id"), list(map(len, own)), s1, s2, lists)
 
 
 def _point_batches(batches, rule: Rule):
@@ -256,18 +250,19 @@ def similar_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     tasks = shuffle_tasks(docs.sparkSession)
     d = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = stage(d.mapInArrow(lambda it: _set_batches(it, rule), "id long, n long, s1 long, s2 long"), "sets")
+    sets = stage(d.mapInArrow(lambda it: _set_batches(it, rule), "id long, n long, s1 long, s2 long, keys array<long>"), "sets")
     classes = sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     members = stage(sets.join(classes, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
-    keys = d.mapInArrow(lambda it: _key_batches(it, rule), "key long, id long")
+    keys = sets.select(F.explode("keys").alias("key"), "id")
     shared = keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("key")
-    found = keys.join(shared, "key").join(members.select("id", "rep").distinct(), "id").select("key", "rep").distinct()
+    # sort-merge: neither side has a size bound, and skewed partitions can be split
+    found = keys.join(shared.hint("merge"), "key").join(members.select("id", "rep").distinct(), "id").select("key", "rep").distinct()
     buckets = stage(found, "subtrees")
     centres = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count(F.lit(1)).alias("m")).filter("a < z").drop("z")
     star = buckets.join(centres, "key").filter("rep > a")
     pairs = stage(star.select("a", F.col("rep").alias("b")).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    held = stage(d.join(ends, "id", "left_semi").distinct(), "texts")
+    held = stage(d.join(ends.hint("merge"), "id", "left_semi").distinct(), "texts")
     links = stage(_verify(pairs, held, rule), "links")
     comps = stage(components(links), "components")
     # subtrees of three or more classes that are not one component yet

@@ -43,7 +43,7 @@ def estimator(name: str, kind: str, features: Sequence[str], label: str, **param
     model = ESTIMATORS[name, kind](**params, **columns)
     if kind == "classification":
         model.setProbabilityCol(f"probability_{name}").setRawPredictionCol(f"raw_{name}")
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     return Pipeline(stages=[assembler, model])
 
 
@@ -63,31 +63,41 @@ def train_models(
     *,
     parallel: int = 2,
 ) -> dict[str, PipelineModel]:
-    """Fit the named models (name -> parameters) on prepared rows; one that fails is logged and left out."""
+    """Fit the named models (name -> parameters) on prepared rows. If some fail, the others are still fitted and then all failures raised."""
+    failed: dict[str, Exception] = {}
 
     def fit(item):
         name, params = item
         try:
             return name, estimator(name, kind, features, label, **params).fit(df)
-        except Exception:  # a failing model must not take the others down
+        except Exception as e:  # told below, with the others
             log.exception("model %s failed", name)
+            failed[name] = e
             return name, None
 
     with ThreadPoolExecutor(parallel) as pool:
         fitted = dict(pool.map(fit, models.items()))
-    return {n: m for n, m in fitted.items() if m is not None}
+    if failed:
+        raise RuntimeError(f"models that could not be fitted: {', '.join(failed)}") from next(iter(failed.values()))
+    return fitted
 
 
 def score(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
-    """All models over one scan: ``pred_<model>`` and, for classifiers, ``prob_<model>`` columns."""
+    """All models over one scan: ``pred_<model>`` and, for classifiers, ``prob_<model>`` columns.
+
+    Every row stays; one with a missing (NULL or NaN) feature has NULL scores.
+    """
     d = df
     for n, m in models.items():
         d = m.transform(d).drop("features", f"raw_{n}")
     out = []
-    for n in models:
-        out.append(F.col(f"prediction_{n}").alias(f"pred_{n}"))
+    for n, m in models.items():
+        known = F.lit(True)
+        for c in m.stages[0].getInputCols():
+            known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        out.append(F.when(known, F.col(f"prediction_{n}")).alias(f"pred_{n}"))
         if f"probability_{n}" in d.columns:
-            out.append(vector_to_array(f"probability_{n}")[1].alias(f"prob_{n}"))
+            out.append(F.when(known, vector_to_array(f"probability_{n}")[1]).alias(f"prob_{n}"))
     return d.select(*df.columns, *out)
 
 

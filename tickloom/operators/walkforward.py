@@ -91,14 +91,20 @@ def window_baseline(assigned: DataFrame, *, by: By = ("symbol",), ts: str = "ts"
 
 
 def aggregate_windows(results: DataFrame, *, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Over the windows of each model: mean, population deviation, median, compounded return and counts."""
+    """Over the windows of each model: mean, population deviation, median, compounded return and counts.
+
+    Returns compound as a sum of logarithms, ``compound_log_return``, which stays finite over any number of windows; a window
+    that loses all makes it negative infinity. ``compound_return`` is infinite once the logarithm passes 709.
+    """
     r = F.col("total_return")
+    logs = F.sum(F.when(r > -1, F.log1p(r)).when(r <= -1, F.lit(float("-inf"))))
     extra = [F.avg(c).alias(f"mean_{c}") for c in ("sharpe_ratio", "accuracy", "f1_score") if c in results.columns]
     return results.groupBy(*by).agg(
         F.avg(r).alias("mean_return"),
         F.stddev_pop(r).alias("std_return"),
         F.percentile(r, 0.5).alias("median_return"),
-        (F.product(1.0 + r) - 1.0).alias("compound_return"),
+        F.expm1(logs).alias("compound_return"),
+        logs.alias("compound_log_return"),
         F.count_if(r > 0).alias("positive_windows"),
         F.count_if(r < 0).alias("negative_windows"),
         F.count(r).alias("total_windows"),

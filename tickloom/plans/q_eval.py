@@ -129,7 +129,7 @@ _AGG = (
 def aggregated(s, d):
     a = wf.aggregate_windows(window_results(s, d), by=("horizon", "model"))
     # hundreds of windows compound to huge numbers: compare on a log scale
-    return a.withColumn("compound_return", F.ln(1.0 + F.col("compound_return")))
+    return a.withColumn("compound_return", F.col("compound_log_return"))
 
 
 register(

@@ -6,8 +6,9 @@ so the tree's upper level is exact routing: sets within reach of each other diff
 filled ranges of hash space at least one has the same content in both. Each such content is a subtree.
 
 1. Equal sets are one class, named by its smallest doc_id.
-2. In each subtree every class is compared with the subtree's smallest, pruned by the bound and verified on the texts.
-3. Subtrees that still hold several components are joined by R-tree, between components only; survivors are verified.
+2. Every class is compared with the smallest class that it shares a subtree with, pruned by the bound and verified on the texts.
+3. In subtrees that hold several components yet, the others are compared with the subtree's smallest.
+4. Subtrees that still hold several components are joined by R-tree, between components only; survivors are verified.
 
 No pair within a component is needed beyond its links, so a group of copies costs one row per document and subtree, not a row
 per pair, and its rows are dealt out in slices. Links are exact; nothing is sampled or capped.
@@ -166,7 +167,8 @@ def _verify_batches(batches, rule: Rule):
             if at != (a, part):
                 at, own = (a, part), []
             if b is None:
-                own.append((x, count_vector(x)))
+                if not any(np.array_equal(x, y) for y, _ in own):
+                    own.append((x, count_vector(x)))
                 continue
             v = count_vector(x)
             for y, w in own:
@@ -209,14 +211,16 @@ def _tree_batches(batches, rule: Rule):
 
 
 def _verify(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link; ``held`` has (id, text) of all classes in them."""
+    """The pairs (a, b) that link; ``held`` has (id, text) of all classes in them. Texts are fetched in one join for both sides."""
     tasks = shuffle_tasks(pairs.sparkSession)
     slices = F.pow(2, F.greatest(F.lit(0), F.ceil(F.log2(F.col("c") / SLICE)))).cast("int").alias("slices")
     hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).select("a", slices)
-    held_a, held_b = held.select(F.col("id").alias("a"), "text"), held.select(F.col("id").alias("b"), "text")
-    lead = hubs.join(held_a, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("long").alias("b"), "text")
-    follow = pairs.join(hubs, "a").join(held_b, "b").select("a", F.pmod(F.xxhash64("b"), "slices").cast("int").alias("slice"), "b", "text")
-    dealt = lead.unionByName(follow).repartition(tasks, "a", "slice").sortWithinPartitions("a", "slice", F.col("b").isNotNull())
+    lead = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("long").alias("b"))
+    follow = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), "slices").cast("int").alias("slice"), "b")
+    asked = lead.unionByName(follow).withColumn("id", F.coalesce("b", "a"))
+    # sort-merge: the pairs have no size bound
+    dealt = held.join(asked.hint("merge"), "id").select("a", "slice", "b", "text")
+    dealt = dealt.repartition(tasks, "a", "slice").sortWithinPartitions("a", "slice", F.col("b").isNotNull())
     return dealt.mapInArrow(lambda it: _verify_batches(it, rule), "a long, b long")
 
 
@@ -240,6 +244,23 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return side(0, "p").unionByName(side(1, "q"))
 
 
+def _apart(found: DataFrame, comps: DataFrame, name: str) -> DataFrame:
+    """(key, id, comp, centre, centre_id, m): the rows of subtrees (key, id) with several components, the component and id of the smallest class, and the subtree's size."""
+    d = found.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    d = stage(d, name)
+    least = F.min(F.struct("id", "comp")).alias("least")
+    several = d.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), least, F.count(F.lit(1)).alias("m")).filter("x < y")
+    several = several.select("key", F.col("least.comp").alias("centre"), F.col("least.id").alias("centre_id"), "m")
+    return stage(d.join(several, "key"), name)
+
+
+def _united(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links; each component stands for its nodes as a star."""
+    if links.isEmpty():
+        return comps
+    return stage(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
+
+
 def similar_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, n_shingles, component_id): every row, its set's size and the smallest doc_id that links lead to, itself included.
 
@@ -258,26 +279,23 @@ def similar_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # sort-merge: neither side has a size bound, and skewed partitions can be split
     found = keys.join(shared.hint("merge"), "key").join(members.select("id", "rep").distinct(), "id").select("key", "rep").distinct()
     buckets = stage(found, "subtrees")
-    centres = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count(F.lit(1)).alias("m")).filter("a < z").drop("z")
-    star = buckets.join(centres, "key").filter("rep > a")
-    pairs = stage(star.select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    held = stage(d.join(ends.hint("merge"), "id", "left_semi").distinct(), "texts")
-    links = stage(_verify(pairs, held, rule), "links")
-    comps = stage(components(links), "components")
-    # subtrees of three or more classes that are not one component yet
-    crowd = buckets.join(centres.filter("m > 2").select("key"), "key").withColumnRenamed("rep", "id")
-    crowd = crowd.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    crowd = stage(crowd, "crowd")
-    open_ = crowd.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    points = held.mapInArrow(lambda it: _point_batches(it, rule), "id long, n int, point binary")
-    rows = crowd.join(open_, "key").join(points, "id")
+    centres = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("key", "a")
+    star = stage(buckets.join(centres, "key").select("key", F.col("rep").alias("id"), "a"), "stars")
+    nearest = stage(star.filter("id > a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    held = stage(d.join(star.select("id").distinct().hint("merge"), "id", "left_semi").distinct(), "texts")
+    comps = stage(components(stage(_verify(nearest, held, rule), "links")), "components")
+    # subtrees that are not one component yet
+    crowd = _apart(star.select("key", "id"), comps, "crowd")
+    others = crowd.filter("comp <> centre").select(F.col("centre_id").alias("a"), F.col("id").alias("b")).distinct()
+    others = stage(others.join(nearest, ["a", "b"], "left_anti"), "pairs")
+    comps = _united(comps, stage(_verify(others, held, rule), "links"))
+    crowd = _apart(crowd.filter("m > 2").select("key", "id"), comps, "open")
+    points = held.join(crowd.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(lambda it: _point_batches(it, rule), "id long, n int, point binary")
+    rows = crowd.select("key", "id", "comp").join(points, "id")
     dealt = _block_pairs(rows).repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q")
-    survivors = dealt.mapInArrow(lambda it: _tree_batches(it, rule), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    survivors = stage(survivors, "survivors")
-    more = stage(_verify(survivors, held, rule), "links")
-    if not more.isEmpty():
-        comps = stage(components(links.unionByName(more)), "components")
+    survivors = dealt.mapInArrow(lambda it: _tree_batches(it, rule), "a long, b long").distinct()
+    survivors = stage(survivors.join(nearest.unionByName(others), ["a", "b"], "left_anti"), "survivors")
+    comps = _united(comps, stage(_verify(survivors, held, rule), "links"))
     out = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))

@@ -117,6 +117,21 @@ def test_ewm_equals_pandas(hot):
             assert math.isclose(g[1], y, rel_tol=1e-9) and g[2] == c
 
 
+def test_strong_forgetting_stays_in_range(hot):
+    d = table(ewm(hot, {"e": (F.col("close"), 0.95, 1), "f": (F.col("close"), 0.999999, 1)}), "e", "f")
+    for s, p in hot.toPandas().sort_values("ts").groupby("symbol"):
+        for ts, x, y in zip(p.ts, p.close.ewm(alpha=0.95, adjust=False).mean(), p.close.ewm(alpha=0.999999, adjust=False).mean()):
+            assert math.isclose(d[s, ts][0], x, rel_tol=1e-9) and math.isclose(d[s, ts][1], y, rel_tol=1e-9)
+
+
+def test_psar_skips_bars_without_prices(hot):
+    gap = F.col("volume") == 13
+    known = table(folds.add_psar(hot.filter(~gap)), "psar")
+    got = table(folds.add_psar(hot.withColumns({c: F.when(~gap, F.col(c)) for c in ("high", "low", "close")})), "psar")
+    for k, v in got.items():
+        assert v == known.get(k, (None,)) or math.isclose(v[0], known[k][0], rel_tol=1e-12)
+
+
 def test_blocked_ewm(hot):
     items = {"e": (F.col("close"), 2 / 51.0, 50)}
     close(table(ewm(hot, items), "e"), table(ewm(hot, items, blocks=blocks()), "e"))

@@ -88,6 +88,8 @@ def _psar(step: float, limit: float) -> Fold:
         seen, trend, sar, ep, af, h1, h2, l1, l2 = state if state else (0, 1, 0, 0, step, 0, 0, 0, 0)
         for i in range(len(close)):
             h, lo = high[i], low[i]
+            if np.isnan(h) or np.isnan(lo):  # a bar without prices leaves the state as it was
+                continue
             if seen == 0:
                 sar, ep = lo, h
             elif seen > 1:

@@ -232,5 +232,7 @@ def add_fear_greed(
 def add_bull_bear_power(
     bars: DataFrame, *, by: By = ("symbol",), ts: str = "ts", blocks: Blocks | None = None
 ) -> DataFrame:
-    d = bars if "ema_13" in bars.columns else add_recursive(bars, ["ema_13"], by=by, ts=ts, blocks=blocks)
-    return d.withColumns({"bull_power": H() - F.col("ema_13"), "bear_power": L() - F.col("ema_13")}).drop("ema_13")
+    given = "ema_13" in bars.columns
+    d = bars if given else add_recursive(bars, ["ema_13"], by=by, ts=ts, blocks=blocks)
+    d = d.withColumns({"bull_power": H() - F.col("ema_13"), "bear_power": L() - F.col("ema_13")})
+    return d if given else d.drop("ema_13")

@@ -18,13 +18,13 @@ def exact_quantiles(
     by: By = ("symbol",),
     cells: int = 4096,
     leaf: int = 100_000,
-    max_passes: int = 40,
 ) -> DataFrame:
     """Linear-interpolated quantiles (by..., prob, value), without ever holding a group in one task.
 
     Each pass counts the values of a group in ``cells`` equal cells (combined map-side), finds the cells
     that hold the wanted ranks, and narrows the range to them; it stops when the cells left hold at most
-    ``leaf`` rows each or a single value. The driver only learns whether another pass is needed.
+    ``leaf`` rows each or a single value. The driver only learns how many rows are still open. A range's ends never
+    share a cell, so every pass narrows it; should one not (infinite values), this raises.
     """
     rows = cut(df.select(*by, F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull()))
     sizes = rows.groupBy(*by).agg(F.count("_x").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
@@ -42,13 +42,15 @@ def exact_quantiles(
     )
     todo = cut(todo.withColumn("rank", F.least("rank", F.col("_n") - 1)))
     done = (F.col("_in") <= leaf) | (F.col("_lo") == F.col("_hi"))
-    for _ in range(max_passes):
-        if todo.filter(~done).isEmpty():
-            break
+    before = None
+    while (left := todo.filter(~done).agg(F.sum(F.col("_in").cast("double"))).first()[0]) is not None:
+        if before is not None and left >= before:
+            raise RuntimeError(f"quantiles of {x}: the ranges don't narrow; are all values finite?")
+        before = left
         # ranks of one group often share a range: count each range once
         ranges = todo.filter(~done).select(*by, "_lo", "_hi").distinct()
         cell = F.least(
-            F.floor((F.col("_x") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / cells)), F.lit(cells - 1)
+            F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells), F.lit(cells - 1)
         ).cast("long")
         counted = (
             rows.join(ranges, [*by])

@@ -45,17 +45,15 @@ def feature_frame(
         if psar:
             d = add_psar(d, by=by, ts=ts)
         recursive += [*RECURSIVE, "kama"]
-    if "sentiment" in kinds:
-        recursive += [c for c in ("rsi_14", "ema_13") if c not in recursive]
+    helpers = [c for c in ("rsi_14", "ema_13") if "sentiment" in kinds and c not in recursive]
+    recursive += helpers
     d = store(d)
     if recursive:
         d = add_recursive(d, recursive, by=by, ts=ts, stored=stored)
     if "technical" in kinds:
         d = add_cumulative(d, by=by, ts=ts)
     if "sentiment" in kinds:
-        d = market.add_bull_bear_power(market.add_fear_greed(d, by=by, ts=ts), by=by, ts=ts)
-        if "technical" not in kinds:
-            d = d.drop("rsi_14")
+        d = market.add_bull_bear_power(market.add_fear_greed(d, by=by, ts=ts), by=by, ts=ts).drop(*helpers)
     d = store(d)
     groups = []
     if "technical" in kinds:

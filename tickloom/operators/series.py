@@ -14,6 +14,7 @@ operator comes in two physical forms with the same result:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ from ..session import cut
 
 By = Sequence[str]
 Step = Callable[["Frame"], dict[str, Column]]
+MAX_LOG_POWER = 460.0  # 1e-200: room for what is divided by it
 
 
 @dataclass(frozen=True)
@@ -298,7 +300,7 @@ def affine(
 
     Inside a tile of ``tile`` rows the recurrence is closed: with P the running product of a,
     y = P * (carry + running sum of b / P). That is two window passes; the carry of each tile comes from
-    folding one (p, s) pair per tile. Items are (a, b); for a constant a (a float), P is a power of the number
+    folding one (p, s) pair per tile. Tiles are shorter where a power of a constant a would leave the range of doubles. Items are (a, b); for a constant a (a float), P is a power of the number
     of known rows so far, and (a, b, column) names a column that is NULL just where b is, whose count is shared.
     ``df`` is read on both sides of the carry join, so pass a stored table when it is costly to derive.
     NULL inputs leave y as it was.
@@ -307,6 +309,7 @@ def affine(
     names = list(items)
     d = number_rows(df, by, order, blocks)
     const = {n: v[0] for n, v in items.items() if isinstance(v[0], float)}
+    tile = max(1, min([tile, *(int(-MAX_LOG_POWER / math.log(a)) for a in const.values() if a < 1.0)]))
     varying = {n: v[0] for n, v in items.items() if n not in const}
     known = {n: items[n][2] if len(items[n]) > 2 else f"_b_{n}" for n in const}
     d = d.select(

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import byte_bpe, class_lm, graph, jaccard_join, line_dedup, mixing, nn_graph, packing, quality_rules, repeated_phrases, token_counts
+from tickloom.llm import byte_bpe, class_lm, common, graph, jaccard_join, line_dedup, mixing, nn_graph, packing, quality_rules, repeated_phrases, token_counts
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CLASH = ("id", "tag", "key", "h1", "pos", "rep", "n", "word", "component", "copies", "line", "size", "w", "lines_", "failed")
@@ -120,6 +121,18 @@ def test_jaccard_join(docs, empty, k, p):
     assert jaccard_join.similar_components(empty, jaccard_join.Rule(k, p)).count() == 0
 
 
+def test_word_hashes():
+    hashes = common.WordHashes()
+    texts = [b"", b" a bb  ccc\n", b"\x0b", b"ccc a", b"x" * 300_000 + b" a", "\u00a0\u2003 b\u00e9".encode(), b"", b"ab ba abab"]
+    flat, ends = hashes.of(texts)
+    assert np.diff(ends).tolist() == [len(t.split()) for t in texts]
+    known = dict(zip((w for t in texts for w in t.split()), flat.tolist()))
+    assert all(known[w] == h for w, h in zip((w for t in texts for w in t.split()), flat.tolist()))
+    every = [bytes(x) for k in (1, 2, 3) for x in itertools.product(range(97, 123), repeat=k)]
+    assert len({*hashes.of([b" ".join(every)])[0].tolist()}) == len(every)
+    assert hashes.of([])[1].tolist() == [0]
+
+
 def test_subtrees_meet_and_bounds_hold():
     rng, rule = np.random.default_rng(1), jaccard_join.Rule(4, 85)
     for _ in range(3000):

@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # fixed values: the white space that separates words, as characters and as a pattern
@@ -71,28 +70,48 @@ def record(schema: pa.Schema, *arrays) -> pa.RecordBatch:
 
 
 class WordHashes:
-    """64-bit hashes of the words of many texts; remembers the hashes of distinct words, a bounded number of them."""
+    """64-bit hashes of the words of many texts, without a Python object for each word.
 
-    def __init__(self, remembered: int = 500_000) -> None:
-        self.known: dict[bytes, int] = {}
-        self.remembered = remembered
+    A word of bytes b0 b1 ... is the sum of value(bj) * BASE**j, then mixed. Sums from the start of a block to each byte give all its
+    words at once; a power of the inverse of BASE takes a word back to position 0.
+    """
+
+    BASE, BLOCK = 0x9E3779B97F4A7C15, 1 << 17
+
+    def __init__(self) -> None:
+        self.value = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        self.space = np.zeros(256, dtype=bool)
+        self.space[list(SPACE_CHARS.encode())] = True
+        self._powers(self.BLOCK)
+
+    def _powers(self, n: int) -> None:
+        """Powers of BASE and of its inverse, modulo 2**64, for blocks of ``n`` bytes."""
+        base = [np.full(n + 1, x, dtype=np.uint64) for x in (self.BASE, pow(self.BASE, -1, 1 << 64))]
+        for b in base:
+            b[0] = 1
+        self.up, self.down = map(np.cumprod, base)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes of all words in a row, where each text's words begin and the last ends).
-
-        bytes.split() parts at the six ASCII white space characters, which are SPACE_CHARS.
-        """
-        known, get, digest = self.known, self.known.__getitem__, xxhash.xxh64_intdigest
-        out, ends = [], [0]
-        for t in texts:
-            own = t.split()
-            for w in set(own).difference(known):
-                known[w] = digest(w)
-            out.append(np.fromiter(map(get, own), dtype=np.uint64, count=len(own)))
-            ends.append(ends[-1] + len(own))
-            if len(known) > self.remembered:
-                known.clear()
-        return np.concatenate([*out, np.zeros(0, dtype=np.uint64)]), np.array(ends)
+        """(hashes of all words in a row, where each text's words begin and the last ends)."""
+        data = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
+        space = self.space[data]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts, stops = edges[::2], edges[1::2]
+        out = np.empty(len(starts), dtype=np.uint64)
+        i = 0
+        while i < len(starts):
+            at = starts[i]
+            j = max(i + 1, int(np.searchsorted(stops, at + self.BLOCK, side="right")))
+            size = int(stops[j - 1] - at)
+            if size >= len(self.up):
+                self._powers(size)
+            sums = np.zeros(size + 1, dtype=np.uint64)
+            np.cumsum(self.value[data[at : at + size]] * self.up[:size], out=sums[1:])
+            s = starts[i:j] - at
+            out[i:j] = (sums[stops[i:j] - at] - sums[s]) * self.down[s]
+            i = j
+        begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        return mix64(out), np.searchsorted(starts, begins)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -206,3 +206,14 @@ def test_stale_alert(spark):
     with online.rocksdb_state(spark):
         out = st.run(online.online_alerts(st.file_stream(spark, path, schema, files_per_trigger=1)), "alerts")
     assert [(r.symbol, r.alert) for r in out.collect()] == [("quiet", "stale")]
+
+
+def test_simplex_equals_the_filtered_product():
+    import itertools
+
+    from tickloom.operators.ensembles import simplex
+
+    for n, least in ((1, 0.0), (2, 0.2), (3, 0.0), (3, 0.25), (3, 0.5)):
+        every = [tuple(round(x * 0.1, 10) for x in c) for c in itertools.product(range(11), repeat=n) if sum(c) == 10]
+        assert simplex(n, 0.1, least) == [v for v in every if min(v) >= least - 1e-9]
+    assert len(simplex(10)) == 92_378

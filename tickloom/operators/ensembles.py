@@ -47,9 +47,14 @@ def vote_long(long: DataFrame, weights: dict[str, float] | None = None, *, keys:
 
 def simplex(n: int, step: float = 0.1, min_weight: float = 0.0) -> list[tuple[float, ...]]:
     """All weight vectors on a grid that sum to 1 and keep to the least weight."""
-    parts = round(1.0 / step)
-    grid = (c for c in itertools.product(range(parts + 1), repeat=n) if sum(c) == parts)
-    return [v for c in grid for v in [tuple(round(x * step, 10) for x in c)] if min(v) >= min_weight - 1e-9]
+    parts, least = round(1.0 / step), max(0, math.ceil(min_weight / step - 1e-9))
+    free = parts - n * least
+    if free < 0:
+        return []
+    # where n - 1 dividers stand among the free parts: only sums of 1 are made
+    cuts = itertools.combinations(range(free + n - 1), n - 1)
+    edges = ((-1, *c, free + n - 1) for c in cuts)
+    return [tuple(round((b - a - 1 + least) * step, 10) for a, b in zip(e, e[1:])) for e in edges]
 
 
 def _grid_table(spark: SparkSession, n: int, step: float, min_weight: float) -> DataFrame:

@@ -29,7 +29,7 @@ _DAY = f"{EVENT_TICKS_SQL}, bars AS (SELECT symbol, date_trunc('day', ts)::TIMES
 _CLOSED = " WHERE ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 register(
     "t01_stream_bars",
-    lambda s, d: show(ntz(st.run(st.stream_bars(events_stream(s, d)), "bars")), KEYS, 6, _OHLC, _OHLC),
+    lambda s, d: show(ntz(st.run(st.stream_bars(events_stream(s, d), order=["event_id"]), "bars")), KEYS, 6, _OHLC, _OHLC),
     f"WITH {_DAY} SELECT symbol, ts, {rr(6, _OHLC, **{c: c for c in _OHLC})} FROM bars{_CLOSED}",
 )
 _SLIDE = (
@@ -39,7 +39,7 @@ _SLIDE = (
 )
 register(
     "t01_stream_sliding_bars",
-    lambda s, d: show(ntz(st.run(st.stream_bars(events_stream(s, d), slide="12 hours"), "bars")), KEYS, 6, _OHLC, _OHLC),
+    lambda s, d: show(ntz(st.run(st.stream_bars(events_stream(s, d), slide="12 hours", order=["event_id"]), "bars")), KEYS, 6, _OHLC, _OHLC),
     f"WITH {_SLIDE} SELECT symbol, ts, {rr(6, _OHLC, **{c: c for c in _OHLC})} FROM bars{_CLOSED}",
 )
 register(

@@ -33,18 +33,21 @@ def stream_bars(
     ts: str = "ts",
     price: str = "price",
     size: str = "size",
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """OHLCV bars of a tick stream, in event time. Ticks later than ``delay`` are dropped; in append mode a bar
-    comes out once the watermark has passed its end. State is one row per open (series, bar)."""
+    comes out once the watermark has passed its end, so the newest bars of a stream that stops stay in its state. State is one
+    row per open (series, bar). Ticks of equal time are ordered by ``order``, then by price."""
     window = F.window(ts, interval, slide) if slide else F.window(ts, interval)
+    place = F.struct(ts, *order, price)
     out = (
         ticks.withWatermark(ts, delay)
         .groupBy(*by, window.alias("_w"))
         .agg(
-            F.min_by(price, ts).alias("open"),
+            F.min_by(price, place).alias("open"),
             F.max(price).alias("high"),
             F.min(price).alias("low"),
-            F.max_by(price, ts).alias("close"),
+            F.max_by(price, place).alias("close"),
             F.sum(size).alias("volume"),
         )
     )

@@ -403,3 +403,40 @@ def test_digests_of_the_queries_are_those_of_the_texts(spark, sf):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     for r in queries.QUERIES["op4_byte_bpe"](spark, sf).collect():
         assert r.decoded_sha256 == hashlib.sha256((text[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_class_lm_moves_raise_the_likelihood_most():
+    rng = np.random.default_rng(3)
+    v, k = 30, 7
+    pairs = rng.integers(0, 4, (v, v)) * rng.integers(0, 2, (v, v))
+    at = rng.integers(0, k, v)
+
+    def counted(at):
+        m = np.zeros((k, k))
+        np.add.at(m, (np.repeat(at, v), np.tile(at, v)), pairs.ravel())
+        return m
+
+    for w in range(v):
+        near = [(1, at[x], pairs[w, x]) for x in range(v) if x != w] + [(0, at[x], pairs[x, w]) for x in range(v) if x != w] + [(2, at[w], pairs[w, w])]
+        to = class_lm.best_class(int(at[w]), *np.array(near).T, counted(at), k)
+        values = [class_lm.likelihood(counted(np.where(np.arange(v) == w, b, at))) for b in range(k)]
+        assert values[to] == pytest.approx(max(values), abs=1e-5)
+
+
+def test_class_lm_clusters_words_below_the_share(spark):
+    """No noun or verb reaches the share for the first classes, and only the exchange can tell them apart: all end alike."""
+    rng = random.Random(2)
+    nouns, verbs = ([f"{x}{i}zz" for i in range(40)] for x in "nv")
+    texts = [" ".join(rng.choice(verbs if j % 2 else nouns) for j in range(30)) for _ in range(150)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    settings = class_lm.Settings(classes=4, tails=2, cluster=20, lookup=50, rounds=1)
+    model, counts = class_lm.train(d.filter(~class_lm.held_out(F.col("doc_id"))), settings)
+    kinds = {bytes(w): model.class_of(bytes(w)) for w, _ in counts.collect()}
+    assert len(set(kinds.values())) > 2  # all 80 words shared one tail class
+    # the score is the sum over all neighbours, though every class comes by the join
+    n = {bytes(w): k for w, k in counts.collect()}
+    for r in class_lm.score(d, settings).limit(5).collect():
+        own = [b"", *texts[r.doc_id].encode().split(), b""]
+        c = [model.class_of(w) for w in own]
+        want = sum(model.step[a, b] for a, b in zip(c, c[1:])) + sum(math.log10(n.get(w, 0) + 1) - model.mass[x] for w, x in zip(own[1:], c[1:]))
+        assert r.score == pytest.approx(want)

@@ -1,13 +1,15 @@
 """Class-based bigram language model: words in classes found by exchange, P(word | before) = P(class | class before) * P(word | class).
 
-Counts of all words and of all neighbouring pairs come from all training documents. Words above a share of all tokens, a number
-bounded by the share, are clustered by exchange: each round counts every word's neighbours by class, and words move to the class
-that raises the likelihood most. All other words fall into classes by their last bytes. Scoring resolves the words above a
-smaller share by a broadcast dictionary, bounded likewise; the others' counts come by a join.
+Counts of all words and of all neighbouring pairs come from all training documents. All words seen ``least`` times are clustered
+by exchange: each round counts every word's neighbours by class, and words move to the class that raises the likelihood most.
+Words above a share of all tokens make the first classes by themselves; then the others, begun in classes by their last bytes, take
+part and all go on until few move. Classes are a table, joined to the pairs each round. Words seen less often stay in the class of their last bytes.
+Scoring resolves the words above a smaller share by a broadcast dictionary, bounded by it; the others' counts and classes come by a join.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -15,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,18 +27,22 @@ from .common import LOWER_BYTES, record, texts
 
 END = b""  # closes every text; no word is empty
 COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-PAIRS = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
-RARE = pa.struct([("word", pa.binary()), ("tf", pa.int64())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+MOVES = pa.schema([("w", pa.int64()), ("to", pa.int32())])
+RARE = pa.struct([("word", pa.binary()), ("at", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
 SCORED = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
     ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(RARE)),
 ])
+FOUND = pa.schema([("row", pa.int64()), ("known", pa.int64()), ("counted", pa.float64()), ("more", pa.float64())])
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``classes`` by exchange and ``tails`` by last bytes; words with at least one token in ``cluster`` are clustered, with
-    one in ``lookup`` resolved without a join: at most that many words. ``pull`` is the weight of a class's own share in its transitions."""
+    """``classes`` by exchange and ``tails`` by last bytes; words seen ``least`` times or with one token in ``cluster`` are clustered. The
+    latter make the first classes in ``rounds`` rounds; then all move between all classes, the others from their tail class, until under
+    ``delta`` of them do in three rounds or the likelihood no longer rises. Words with one token in ``lookup``, at most that many, are resolved without a join. ``pull`` is the weight of a
+    class's own share in its transitions."""
 
     classes: int = 64
     tails: int = 32
@@ -45,6 +50,8 @@ class Settings:
     lookup: int = 1 << 17
     rounds: int = 9
     pull: float = 10.0
+    least: int = 5
+    delta: float = 0.02
 
 
 @dataclass
@@ -53,13 +60,40 @@ class Model:
     tokens: int
     distinct: int
     count: dict[bytes, int]  # words above the lookup share
-    of: dict[bytes, int]  # class of the clustered words
+    of: dict[bytes, int]  # their classes
     step: np.ndarray = field(default=None)  # log10 P(class | class before)
     mass: np.ndarray = field(default=None)  # log10 of a class's tokens + distinct words + 1
+    lexicon: DataFrame = field(default=None)  # (word, n, c) of all words; stays on the driver
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lexicon": None, "rest_": None}
 
     def class_of(self, word: bytes) -> int:
+        """For a look at the model on the driver, where the first word below the lookup share fetches their classes; scoring joins them."""
         c = self.of.get(word)
-        return self.settings.classes + zlib.crc32(word[-2:]) % self.settings.tails if c is None else c
+        if c is None and word not in self.count and self.lexicon is not None:
+            if self.__dict__.get("rest_") is None:
+                self.rest_ = {bytes(w): c for w, c in self.lexicon.filter(F.col("c") != tail_column(self.settings)).select("word", "c").toLocalIterator()}
+            c = self.rest_.get(word)
+        return tail_class(word, self.settings) if c is None else c
+
+
+def tail_class(word: bytes, settings: Settings) -> int:
+    return settings.classes + zlib.crc32(word[-2:]) % settings.tails
+
+
+def tail_column(settings: Settings) -> Column:
+    return F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(settings.tails)).cast("int") + settings.classes
+
+
+def symbol(word: bytes, settings: Settings) -> int:
+    """Number of a word below the lookup share: past those above it, 56 bits of a hash and the tail class."""
+    return settings.lookup + 2 + (int.from_bytes(hashlib.md5(word).digest()[:7], "big") * settings.tails + zlib.crc32(word[-2:]) % settings.tails)
+
+
+def symbol_column(settings: Settings) -> Column:
+    bits = F.conv(F.substring(F.md5("word"), 1, 14), 16, 10).cast("long")
+    return bits * settings.tails + (tail_column(settings) - settings.classes) + (settings.lookup + 2)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -79,22 +113,20 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield record(COUNTS, list(own.keys()), list(own.values()))
 
 
-def pair_batches(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], tails: int) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring symbols: a clustered word's number, or len(number) + its tail class."""
+def pair_batches(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], settings: Settings) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbouring symbols: the number of a word in ``number``, or its ``symbol``."""
     known = dict(number)
-    base = len(number)
-    size = base + tails
     for batch in batches:
         ids: list[int] = [number[END]]
         for t in texts(batch):
             own = words_of(t)
             for w in set(own).difference(known):
-                known[w] = base + zlib.crc32(w[-2:]) % tails
+                known[w] = symbol(w, settings)
             ids += map(known.__getitem__, own)
             ids.append(number[END])
-        flat = np.array(ids, dtype=np.int64)
-        code, n = np.unique(flat[:-1] * size + flat[1:], return_counts=True)
-        yield record(PAIRS, (code // size).astype(np.int32), (code % size).astype(np.int32), n)
+        names, flat = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
+        code, n = np.unique(flat[:-1] * len(names) + flat[1:], return_counts=True)
+        yield record(PAIRS, names[code // len(names)], names[code % len(names)], n)
         if len(known) > 500_000:
             known = dict(number)
 
@@ -104,42 +136,48 @@ def xlogx(x: np.ndarray) -> np.ndarray:
 
 
 def mover(matrix: np.ndarray, classes: int):
-    def moves(pdf):
-        return best_classes(pdf, matrix, classes)
+    """For each word (w, own, its neighbours) the class that raises the likelihood most."""
+
+    def moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = batch.column("near")
+                side, c, n = (near.flatten().field(k).to_numpy() for k in range(3))
+                ends = np.cumsum([0, *near.value_lengths().to_pylist()]).tolist()
+                ws, owns = batch.column("w").to_pylist(), batch.column("own").to_pylist()
+                to = [best_class(own, side[a:b], c[a:b], n[a:b], matrix, classes) for own, a, b in zip(owns, ends, ends[1:])]
+                yield record(MOVES, ws, to)
 
     return moves
 
 
-def best_classes(pdf: pd.DataFrame, matrix: np.ndarray, classes: int) -> pd.DataFrame:
-    """For each word of ``pdf`` (w, own, side, c, n; side 2: pairs of the word with itself) the class that raises the likelihood most."""
-    rows, cols = matrix.sum(axis=1), matrix.sum(axis=0)
-    out = []
-    for (w, own), g in pdf.groupby(["w", "own"]):
-        right, left = np.zeros(len(matrix)), np.zeros(len(matrix))
-        np.add.at(right, g["c"][g["side"] == 1].to_numpy(), g["n"][g["side"] == 1].to_numpy())
-        np.add.at(left, g["c"][g["side"] == 0].to_numpy(), g["n"][g["side"] == 0].to_numpy())
-        self_ = float(g["n"][g["side"] == 2].sum())
-        m = matrix.copy()
-        m[own] -= right
-        m[:, own] -= left
-        m[own, own] -= self_
-        n_right, n_left = right.sum() + self_, left.sum() + self_
-        r, c = rows.copy(), cols.copy()
-        r[own] -= n_right
-        c[own] -= n_left
-        some_r, some_l, b = np.flatnonzero(right), np.flatnonzero(left), np.arange(classes)
-        gain = (xlogx(m[:classes, some_r] + right[some_r]) - xlogx(m[:classes, some_r])).sum(axis=1)
-        gain += (xlogx(m[some_l, :classes] + left[some_l, None]) - xlogx(m[some_l, :classes])).sum(axis=0)
-        d = m[b, b]
-        gain += xlogx(d + right[b] + left[b] + self_) - xlogx(d + right[b]) - xlogx(d + left[b]) + xlogx(d)
-        gain -= xlogx(r[b] + n_right) - xlogx(r[b]) + xlogx(c[b] + n_left) - xlogx(c[b])
-        to = int(np.argmax(gain))
-        out.append((w, to if gain[to] > gain[own] + 1e-6 else own))
-    return pd.DataFrame(out, columns=["w", "to"], dtype="int32")
-
-
-def exchange(pairs: DataFrame, classes: list[int], settings: Settings) -> tuple[list[int], np.ndarray]:
-    """(class of each clustered word, counts of neighbouring classes). ``pairs`` has (a, b, n); symbols past ``classes`` are tail classes.
+def best_class(own: int, side: np.ndarray, c: np.ndarray, n: np.ndarray, matrix: np.ndarray, classes: int) -> int:
+    """The class that raises the likelihood most, of a word with ``n`` neighbours in ``c`` after (side 1) or before it (0); side 2: pairs
+    of the word with itself."""
+    size = len(matrix)
+    right, left = (np.bincount(c[side == s], n[side == s], size) for s in (1, 0))
+    self_ = float(n[side == 2].sum())
+    m = matrix.copy()
+    m[own] -= right
+    m[:, own] -= left
+    m[own, own] -= self_
+    n_right, n_left = right.sum() + self_, left.sum() + self_
+    r, k = matrix.sum(axis=1), matrix.sum(axis=0)
+    # what leaves the word's class leaves its row and column, and no other's sums
+    r[own] -= n_right
+    k[own] -= n_left
+    some_r, some_l, b = np.flatnonzero(right), np.flatnonzero(left), np.arange(classes)
+    gain = (xlogx(m[:classes, some_r] + right[some_r]) - xlogx(m[:classes, some_r])).sum(axis=1)
+    gain += (xlogx(m[some_l, :classes] + left[some_l, None]) - xlogx(m[some_l, :classes])).sum(axis=0)
+    d = m[b, b]
+    gain += xlogx(d + right[b] + left[b] + self_) - xlogx(d + right[b]) - xlogx(d + left[b]) + xlogx(d)
+    gain -= xlogx(r[b] + n_right) - xlogx(r[b]) + xlogx(k[b] + n_left) - xlogx(k[b])
+    to = int(np.argmax(gain))
+    return to if gain[to] > gain[own] + 1e-6 else own
+
+
+def exchange(pairs: DataFrame, classes: list[int], settings: Settings) -> list[int]:
+    """The class of each word above the first share. ``pairs`` has (a, b, n); symbols past ``classes`` are tail classes.
 
     Word 0 is the end of a text and keeps class 0 to itself. A third of the words may move in a round, so neighbours seldom move at once.
     """
@@ -168,10 +206,68 @@ def exchange(pairs: DataFrame, classes: list[int], settings: Settings) -> tuple[
         )
         self_ = pairs.filter("a = b").select(F.col("a").alias("w"), "n").join(F.broadcast(own), "w").select("w", "own", F.lit(2).alias("side"), F.col("own").alias("c"), "n")
         context = side("a", "b", 1).unionByName(side("b", "a", 0)).unionByName(self_)
-        moved = context.groupBy(F.pmod("w", F.lit(64)).alias("part")).applyInPandas(mover(now, k), "w int, to int")
-        for w, to in moved.collect():
+        for w, to in moved(context, now, k).collect():
             at[w] = to
-    return at, matrix()
+    return at
+
+
+def moved(context: DataFrame, matrix: np.ndarray, classes: int) -> DataFrame:
+    """(w, to) of all words in ``context`` (w, own, side, c, n), a row for each class beside a word."""
+    near = context.groupBy("w", "own").agg(F.collect_list(F.struct(F.col("side").cast("int"), F.col("c").cast("int"), "n")).alias("near"))
+    return near.select(F.col("w").cast("long"), "own", "near").mapInArrow(mover(matrix, classes), "w long, to int")
+
+
+def likelihood(m: np.ndarray) -> float:
+    return float(xlogx(m).sum() - xlogx(m.sum(axis=1)).sum() - xlogx(m.sum(axis=0)).sum())
+
+
+def settle(pairs: DataFrame, at: DataFrame, settings: Settings) -> tuple[DataFrame, np.ndarray]:
+    """(class of each word, counts of neighbouring classes), moved until few words move. ``at`` has (w, c), with tail classes at first for words outside
+    the first classes, ``pairs`` has (a, b, n); a negative symbol stands for a tail class. Word 0 is the end of a text and keeps its class.
+
+    A third of the words may move in a round. Words above the lookup share are joined by broadcast, the others by a sort-merge join.
+    """
+    size = settings.classes + settings.tails
+
+    def classed(d: DataFrame, v: str) -> DataFrame:
+        """``d`` with the class c of the word ``v``."""
+        of = at.withColumnRenamed("w", "v_")
+        first = d.filter(F.col(v).between(0, settings.lookup + 1)).join(F.broadcast(of.filter(F.col("v_") <= settings.lookup + 1)), F.col(v) == F.col("v_"))
+        rest = d.filter(F.col(v) > settings.lookup + 1).join(of.filter(F.col("v_") > settings.lookup + 1).hint("merge"), F.col(v) == F.col("v_"))
+        tail = d.filter(F.col(v) < 0).withColumn("c", (settings.classes - 1 - F.col(v)).cast("int"))
+        return first.drop("v_").unionByName(rest.drop("v_")).unionByName(tail)
+
+    def counted(turn: int) -> tuple[DataFrame, np.ndarray]:
+        right = classed(pairs, "b").groupBy("a", "c").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("own_n"))
+        right = stage(right.withColumnRenamed("c", "cb"), f"right-{turn}")
+        m = np.zeros((size, size))
+        for x, y, n in classed(right, "a").groupBy("c", "cb").agg(F.sum("n")).collect():
+            m[x, y] = n
+        return right, m
+
+    turn, changes, before, words = 0, [], [], at.count()
+    while True:
+        right, m = counted(turn)
+        before.append(likelihood(m))
+        full = turn >= 6 and turn % 3 == 0
+        if words < 2 or full and (sum(changes[-3:]) <= settings.delta * words or before[-1] <= before[-4]):
+            return at, m
+        third = lambda w: (F.col(w) > 0) & (F.pmod(F.xxhash64(w), F.lit(3)) == turn % 3)
+        r = right.filter(third("a"))
+        left = classed(pairs.filter(third("b") & (F.col("a") != F.col("b"))), "a").groupBy("b", "c").agg(F.sum("n").alias("n"))
+        near = (
+            r.select(F.col("a").alias("w"), F.lit(1).alias("side"), F.col("cb").alias("c"), (F.col("n") - F.col("own_n")).alias("n"))
+            .unionByName(r.select(F.col("a").alias("w"), F.lit(2).alias("side"), F.col("cb").alias("c"), F.col("own_n").alias("n")))
+            .filter("n > 0")
+            .unionByName(left.select(F.col("b").alias("w"), F.lit(0).alias("side"), "c", "n"))
+        )
+        context = near.join(at.select("w", F.col("c").alias("own")).hint("merge"), "w")
+        to = stage(moved(context, m, size), f"moves-{turn}")
+        at = at.join(to.hint("merge"), "w", "left").select("w", "c", F.coalesce("to", "c").alias("to"))
+        at = stage(at.select("w", F.col("to").alias("c"), (F.col("c") != F.col("to")).alias("moved")), f"classes-{turn}")
+        changes.append(at.filter("moved").count())
+        at = at.select("w", "c")
+        turn += 1
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, DataFrame]:
@@ -182,59 +278,100 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     tokens, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     # bounded: no more than ``lookup`` words can have one token in ``lookup``
     often = counts.filter(F.col("n") * settings.lookup >= tokens).collect()
-    ranked = sorted(((bytes(w), n) for w, n in often if n * settings.cluster >= tokens and w != END), key=lambda x: (-x[1], x[0]))
-    number = {END: 0} | {w: i + 1 for i, (w, _) in enumerate(ranked)}
-    first = [0, *(1 + i % (settings.classes - 1) for i in range(len(ranked)))]
-    pairs = docs.select("text").mapInArrow(lambda it: pair_batches(it, number, settings.tails), "a int, b int, n long")
-    pairs = stage(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
-    classes, m = exchange(pairs, first, settings)
-    model = Model(settings, tokens, distinct, {bytes(w): n for w, n in often}, {w: classes[i] for w, i in number.items()})
+    k, tails = settings.classes, settings.tails
+    clustered = lambda n: n >= settings.least or n * settings.cluster >= tokens
+    ranked = sorted(((bytes(w), n) for w, n in often if w != END), key=lambda x: (-x[1], x[0]))
+    number = {END: 0} | {w: i + 1 if clustered(n) else k - 1 - tail_class(w, settings) for i, (w, n) in enumerate(ranked)}
+    n_first = 1 + sum(n * settings.cluster >= tokens for _, n in ranked)
+    # words by number; null for those that stay in tail classes
+    named = spark.createDataFrame([(w, i) for w, i in number.items()], "word binary, w long")
+    enough = (F.col("n") >= settings.least) | (F.col("n") * settings.cluster >= tokens)
+    lexicon = counts.join(F.broadcast(named), "word", "left").withColumn("w", F.when(enough | (F.col("w") == 0), F.coalesce("w", symbol_column(settings))))
+    lexicon = stage(lexicon.withColumn("tail", tail_column(settings)), "lexicon")
+    pairs = docs.select("text").mapInArrow(lambda it: pair_batches(it, number, settings), "a long, b long, n long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    enrolled = lexicon.filter(F.col("w") > settings.lookup + 1).select(F.col("w").alias("e")).distinct()
+    for x in ("a", "b"):
+        # words seen too seldom become their tail class
+        above = pairs.filter(F.col(x) > settings.lookup + 1).join(enrolled.hint("merge"), F.col(x) == F.col("e"), "left")
+        tail = -1 - F.pmod(F.col(x) - (settings.lookup + 2), F.lit(tails))
+        above = above.withColumn(x, F.when(F.col("e").isNotNull(), F.col(x)).otherwise(tail)).drop("e")
+        pairs = stage(pairs.filter(F.col(x) <= settings.lookup + 1).unionByName(above).groupBy("a", "b").agg(F.sum("n").alias("n")), f"pairs-{x}")
+    first = [0, *(1 + i % (k - 1) for i in range(n_first - 1))]
+    tail_of = lexicon.filter(F.col("w") >= n_first).groupBy("w").agg(F.min("tail").alias("tail"))
+    near = pairs
+    for x in ("a", "b"):
+        # for the first classes all other words are their tail class
+        inside = near.filter(F.col(x).between(0, n_first - 1)).withColumn(x, F.col(x).cast("int"))
+        ranked_ = near.filter(F.col(x).between(n_first, settings.lookup + 1)).join(F.broadcast(tail_of.filter(F.col("w") <= settings.lookup + 1)), F.col(x) == F.col("w"))
+        ranked_ = ranked_.withColumn(x, (F.col("tail") - k + n_first).cast("int")).drop("w", "tail")
+        rest = near.filter((F.col(x) < 0) | (F.col(x) > settings.lookup + 1))
+        symbol_ = F.when(F.col(x) < 0, -1 - F.col(x)).otherwise(F.pmod(F.col(x) - (settings.lookup + 2), F.lit(tails)))
+        near = inside.unionByName(ranked_).unionByName(rest.withColumn(x, (symbol_ + n_first).cast("int"))).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    near = stage(near, "first-pairs")
+    classes = exchange(near, first, settings)
+    begun = spark.createDataFrame(list(enumerate(classes)), "w long, c int").unionByName(tail_of.select("w", F.col("tail").alias("c")))
+    at, m = settle(pairs, stage(begun, "classes"), settings)
+    lexicon = lexicon.join(at.hint("merge"), "w", "left").select("word", "n", F.coalesce("c", "tail").alias("c"))
+    lexicon = stage(lexicon, "word-classes")
+    heavy = lexicon.filter(F.col("n") * settings.lookup >= tokens).select("word", "c").collect()
+    model = Model(settings, tokens, distinct, {bytes(w): n for w, n in often}, {END: 0} | {bytes(w): c for w, c in heavy}, lexicon=lexicon)
     into = m.sum(axis=0)
     own = (into + 1) / (into.sum() + len(into))
     model.step = np.log10((m + settings.pull * own[None]) / (m.sum(axis=1, keepdims=True) + settings.pull))
-    named = spark.createDataFrame([(w, c) for w, c in model.of.items()], "word binary, c int")
-    tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(settings.tails)).cast("int") + settings.classes
     kinds = np.zeros(len(into))
     total = np.zeros(len(into))
-    for c, kind, n in (
-        counts.join(F.broadcast(named), "word", "left").groupBy(F.coalesce("c", tail).alias("c")).agg(F.count(F.lit(1)), F.sum("n")).collect()
-    ):
+    for c, kind, n in lexicon.groupBy("c").agg(F.count(F.lit(1)), F.sum("n")).collect():
         kinds[c], total[c] = kind, n
     model.mass = np.log10(total + kinds + 1)
     return model, counts
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """All of a text's score but the counts of words below the lookup share, which are listed."""
+    """All of a text's score but what words below the lookup share add; each is listed with its place and the classes beside it, -1 for such a word."""
     row = TaskContext.get().partitionId() << 40
     unit = math.log10(model.tokens + model.distinct + 1)
     step, mass, class_of = model.step, model.mass, model.class_of
     often = {w: (class_of(w), math.log10(n + 1)) for w, n in model.count.items()}
-    known = dict(often)
     end_class = class_of(END)
     end = (end_class, math.log10(model.count.get(END, 0) + 1))
+    unknown = (-1, 0.0)
     for batch in batches:
         out = []
         ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
         for d, h, t in zip(ids, held, texts(batch), strict=True):
             own = words_of(t)
-            for w in set(own).difference(known):
-                known[w] = (class_of(w), 0.0)
-            pairs = [*map(known.__getitem__, own), end]
+            pairs = [*(often.get(w, unknown) for w in own), end]
             c = np.array([end_class, *(x for x, _ in pairs)])
             counted = math.fsum(x for _, x in pairs)
-            rare = Counter(w for w in own if w not in often)
-            n, n_rare = len(pairs), rare.total()
-            score = counted + float(step[c[:-1], c[1:]].sum()) - float(mass[c[1:]].sum())
-            n_known = n - n_rare - (END not in often)
-            out.append((row, d, h, n, n_known, counted - n * unit, score, [{"word": w, "tf": k} for w, k in rare.items()]))
+            n, rare = len(pairs), np.flatnonzero(c[1:] < 0).tolist()
+            both = (c[:-1] >= 0) & (c[1:] >= 0)
+            score = counted + float(step[c[:-1][both], c[1:][both]].sum()) - float(mass[c[1:][c[1:] >= 0]].sum())
+            n_known = n - len(rare) - (END not in often)
+            listed = [{"word": own[i], "at": i, "left": l, "right": r} for i, l, r in zip(rare, c[:-2][rare].tolist(), c[2:][rare].tolist())] if rare else []
+            out.append((row, d, h, n, n_known, counted - n * unit, score, listed))
             row += 1
-            if len(known) > 500_000 + len(often):
-                known = dict(often)
         if out:
             yield record(SCORED, *zip(*out, strict=True))
 
 
+def rare_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """What the listed words of each row (row, rare: at, left, right, c, n) add to its score."""
+    step, mass = model.step, model.mass
+    for batch in batches:
+        if batch.num_rows:
+            rare = batch.column("rare")
+            at, left, right, c, n = (rare.flatten().field(k).to_numpy() for k in range(5))
+            of = np.repeat(np.arange(batch.num_rows), rare.value_lengths().to_numpy())
+            order = np.lexsort((at, of))
+            left, right, c, n, of = left[order], right[order], c[order], n[order], of[order]
+            # a word without a class beside it follows the word listed before
+            before = np.where(left < 0, np.roll(c, 1), left)
+            more = step[before, c] + np.where(right < 0, 0.0, step[c, np.maximum(right, 0)]) - mass[c]
+            total = lambda x: np.bincount(of, x, batch.num_rows)
+            yield record(FOUND, batch.column("row"), total(n > 0).astype(np.int64), total(np.log10(n + 1.0)), total(more))
+
+
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     """crc32 of the id's decimal text; a null id is in the training part."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -251,16 +388,18 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     model, counts = train(d.filter(~F.col("held_out")), settings)
     shared = d.sparkSession.sparkContext.broadcast(model)
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,tf:long>>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,at:int,left:int,right:int>>"
     part = stage(d.mapInArrow(lambda it: score_batches(it, shared.value), schema), "scored")
-    rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
-    below = counts.filter(F.col("n") * settings.lookup < model.tokens)
+    rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.*")
+    below = model.lexicon.filter(F.col("n") * settings.lookup < model.tokens)
     # sort-merge: neither side has a size bound
-    seen = rare.join(below.hint("merge"), "word").groupBy("row").agg(
-        F.sum("tf").alias("known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("counted")
+    rare = rare.join(below.hint("merge"), "word", "left").select(
+        "row", F.struct("at", "left", "right", F.coalesce("c", tail_column(settings)).alias("c"), F.coalesce("n", F.lit(0)).alias("n")).alias("r")
     )
+    rare = rare.groupBy("row").agg(F.collect_list("r").alias("rare"))
+    seen = rare.mapInArrow(lambda it: rare_batches(it, shared.value), "row long, known long, counted double, more double")
     more = lambda c: F.coalesce(F.col(c), F.lit(0))
     return part.drop("rare").join(seen, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + more("known")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more("counted")).alias("base_score"), (F.col("score") + more("counted")).alias("score"),
+        (F.col("base") + more("counted")).alias("base_score"), (F.col("score") + more("counted") + more("more")).alias("score"),
     )

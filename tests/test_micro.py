@@ -217,3 +217,35 @@ def test_simplex_equals_the_filtered_product():
         every = [tuple(round(x * 0.1, 10) for x in c) for c in itertools.product(range(11), repeat=n) if sum(c) == 10]
         assert simplex(n, 0.1, least) == [v for v in every if min(v) >= least - 1e-9]
     assert len(simplex(10)) == 92_378
+
+
+def test_all_online_alerts_are_returned(spark, sf):
+    """t06_online_all_alerts next to timers worked out by hand over the three batches."""
+    import datetime as dt
+    from collections import defaultdict
+
+    import __spark_entry__ as entry
+    from tickloom.plans.fixtures import hour_bars
+
+    hour, ms = dt.timedelta(hours=1), dt.timedelta(milliseconds=1)
+    rows = sorted((r.ts.replace(tzinfo=None), r.symbol, r.close) for r in hour_bars(spark, sf).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "close").collect())
+    t0, t1 = rows[0][0], rows[-1][0]
+    batches = [[r for r in rows if min(int((r[0] - t0) / ((t1 - t0) / 3)), 2) == i] for i in range(3)] + [[]]
+    mark, timer, last, want = dt.datetime(1970, 1, 1), {}, {}, defaultdict(set)
+    for batch in batches:
+        for t, symbol, close in batch:
+            if symbol in last:
+                before, price = last[symbol]
+                if abs(close / price - 1) > 2.0:
+                    want["jump"].add((symbol, t))
+                if t - before > 2 * hour:
+                    want["gap"].add((symbol, t))
+            last[symbol] = t, close
+        timer |= {s: max(last[s][0] + 6 * hour, mark + ms) for _, s, _ in batch}
+        due = [s for s in timer if timer[s] <= mark]
+        want["stale"] |= {(s, timer.pop(s)) for s in due}
+        mark = max([mark, *(t - hour for t, _, _ in batch)])
+    got = defaultdict(set)
+    for r in entry.queries()["t06_online_all_alerts"](spark, sf).collect():
+        got[r.alert].add((r.symbol, r.ts))
+    assert got == want and want["stale"]

@@ -440,3 +440,11 @@ def test_class_lm_clusters_words_below_the_share(spark):
         c = [model.class_of(w) for w in own]
         want = sum(model.step[a, b] for a, b in zip(c, c[1:])) + sum(math.log10(n.get(w, 0) + 1) - model.mass[x] for w, x in zip(own[1:], c[1:]))
         assert r.score == pytest.approx(want)
+
+
+def test_class_lm_knows_the_end_of_very_long_texts(spark):
+    d = spark.createDataFrame([(None, "a b " * 50)], "doc_id long, text string")
+    settings = class_lm.Settings(classes=3, tails=2, cluster=1, lookup=20, least=1000)  # the end is one of 101 tokens
+    (r,) = class_lm.score(d, settings).collect()
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (101, 101, 101)
+    assert r.base_score == pytest.approx(100 * math.log10(51 / 105) + math.log10(2 / 105))

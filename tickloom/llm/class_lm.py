@@ -276,8 +276,8 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     counts = docs.select("text").mapInArrow(count_batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stage(counts, "word-counts")
     tokens, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
-    # bounded: no more than ``lookup`` words can have one token in ``lookup``
-    often = counts.filter(F.col("n") * settings.lookup >= tokens).collect()
+    # bounded: no more than ``lookup`` words can have one token in ``lookup``; the end of a text is among them always
+    often = counts.filter((F.col("n") * settings.lookup >= tokens) | (F.col("word") == F.lit(bytearray(END)))).collect()
     k, tails = settings.classes, settings.tails
     clustered = lambda n: n >= settings.least or n * settings.cluster >= tokens
     ranked = sorted(((bytes(w), n) for w, n in often if w != END), key=lambda x: (-x[1], x[0]))

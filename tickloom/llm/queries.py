@@ -1,4 +1,4 @@
-"""The registered queries op1_ to op10_ and the SQL that checks them; the operators are in the modules beside this one."""
+"""The registered queries op1_ to op13_ and the SQL that checks them; the operators are in the modules beside this one."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, class_lm, jaccard_join, line_dedup, mixing, nn_graph, packing, quality_rules, repeated_phrases, token_counts
+from . import (
+    byte_bpe, class_lm, jaccard_join, line_dedup, mixing, nn_graph, packing, prefix_trie, quality_rules, ranked_search, repeated_phrases, simhash, token_counts,
+)
 from .common import documents, int_lists, record, sha
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +151,61 @@ SQL_REPEATS = (
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = repeated_phrases.remove_repeats(documents(spark, sf_dir), n=13, finish=lambda kept: sha(kept).encode())
     return digests.withColumnRenamed("kept", "kept_sha256")
+
+
+@query("op11_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), radius=4, words=4, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+SQL_TERMS = "unnest(regexp_extract_all(" + SQL_LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+
+
+@query(
+    "op12_ranked_search",
+    f"WITH terms AS (SELECT doc_id, {SQL_TERMS} FROM documents), total AS (SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_terms FROM terms),"
+    " sized AS (SELECT doc_id, 50 + (50 * count(*) * any_value(n_docs)) // any_value(n_terms) AS m FROM terms, total GROUP BY doc_id),"
+    " tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),"
+    " weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),"
+    f" asked AS (SELECT DISTINCT item_id, {SQL_TERMS} FROM benchmark),"
+    " scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score"
+    " FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN sized USING (doc_id) GROUP BY ALL),"
+    " ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)"
+    " SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(documents(spark, sf_dir))
+    return ranked_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+SQL_CRC32 = (
+    "xor(list_reduce([4294967295] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c)] || [-1, -1, -1, -1, -1, -1, -1, -1])),"
+    " lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END), 4294967295)"
+)
+
+
+@query(
+    "op13_prefix_trie",
+    "WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations),"
+    f" ids AS (SELECT conv_id, {SQL_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),"
+    " rebuilt AS (SELECT i.conv_id, pos, role, text FROM ids i JOIN t ON t.conv_id = i.conv_id - i.conv_id % 100 AND pos <= h"
+    " UNION ALL SELECT conv_id, pos, role, text FROM ids JOIN t USING (conv_id) WHERE pos > h),"
+    " seqs AS (SELECT i.conv_id, coalesce(list({'r': role, 't': text} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS s FROM ids i LEFT JOIN rebuilt r ON r.conv_id = i.conv_id GROUP BY i.conv_id),"
+    " prefixes AS (SELECT conv_id, d, s[1:d] AS p, len(s) = d AS done FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seqs)),"
+    " nodes AS (SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN length(p[d].t) ELSE 0 END AS chars,"
+    " sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (done), '')) AS ends_sha256 FROM prefixes GROUP BY p, d),"
+    " children AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),"
+    " own AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.p = n.p),"
+    " sums AS (SELECT p[1:k] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved"
+    " FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM own) GROUP BY 1)"
+    " SELECT o.conv_id, o.depth, up.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, o.ends_sha256"
+    " FROM own o JOIN sums s ON s.p = o.p LEFT JOIN own up ON o.depth > 0 AND up.p = o.p[1:o.depth - 1]",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.coded_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    trie = prefix_trie.prefix_trie(prefix_trie.rebuilt(turns, every=100, heads=6))
+    none = F.sha2(F.lit(b""), 256)
+    nodes = trie.nodes.filter("end_id IS NULL").withColumn("ends_sha256", none)
+    nodes = nodes.unionByName(trie.nodes.filter("end_id IS NOT NULL").join(prefix_trie.end_digests(trie.ends), "end_id"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")

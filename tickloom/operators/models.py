@@ -16,9 +16,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import finite
-from ..session import cut
+from ..session import cut, stage
 from .labels import flatten_sequence
 from .scale import time_folds
+from .selection import correlated_features, correlation_matrix
 
 log = logging.getLogger(__name__)
 
@@ -50,8 +51,9 @@ def estimator(name: str, kind: str, features: Sequence[str], label: str, **param
 def training_rows(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Rows with every feature and the label, stored once since each fit reads them many times."""
     keep = [c for c in df.columns if c not in features and c != label]
-    d = df.select(*keep, *[finite(F.col(c)).alias(c) for c in features], F.col(label).cast("double").alias(label))
-    return cut(d.dropna(subset=[*features, label]))
+    # one condition over the raw columns: conditions on the computed ones make the optimizer try all their combinations
+    known = F.forall(F.array(*[F.col(c).cast("double") for c in (*features, label)]), lambda x: finite(x).isNotNull())
+    return cut(df.filter(known).select(*keep, *[F.col(c).cast("double").alias(c) for c in (*features, label)]))
 
 
 def train_models(
@@ -131,6 +133,31 @@ def select_by_forest(
     return all_rows.select(F.col("_e.feature").alias("feature"), imp.alias("importance"), (F.col("_p") + 1).alias("rank"), reason.alias("decision"))
 
 
+def select_features(
+    df: DataFrame, features: Sequence[str], label: str, *, threshold: float = 0.95, min_importance: float = 0.001, max_features: int = 30, **params
+) -> DataFrame:
+    """The log of a selection, one row per feature: (feature, decision, value, correlated_with, rank).
+
+    Features that an earlier column explains (absolute correlation above ``threshold``) go first, ``value`` is that correlation; a forest
+    on the rest ranks by importance and keeps the best. Pass training rows only. Correlations are over the rows that have both
+    columns, the forest takes the rows that have all that are left.
+    """
+    matrix = stage(correlation_matrix(df, features), "correlations")
+    removed = stage(correlated_features(matrix, threshold), "correlated")
+    gone = {r["feature"] for r in removed.select("feature").collect()}  # one row per removed feature
+    left = [f for f in features if f not in gone]
+    ranked = select_by_forest(training_rows(df, left, label), left, label, min_importance=min_importance, max_features=max_features, **params)
+    log_of = removed.select(
+        "feature", F.lit("correlated").alias("decision"), F.col("correlation").alias("value"), "correlated_with", F.lit(None).cast("int").alias("rank")
+    )
+    return log_of.unionByName(ranked.select("feature", "decision", F.col("importance").alias("value"), F.lit(None).cast("string").alias("correlated_with"), "rank"))
+
+
+def selected(log_of: DataFrame) -> list[str]:
+    """The kept features of a selection's log, best first."""
+    return [r["feature"] for r in log_of.filter("decision = 'kept'").orderBy("rank").select("feature").collect()]
+
+
 def tune(
     df: DataFrame,
     name: str,
@@ -143,13 +170,13 @@ def tune(
     search: str = "grid",
     n_iter: int = 10,
     seed: int = 42,
-    by: Sequence[str] = ("symbol",),
+    by: Sequence[str] = (),
     ts: str = "ts",
     parallel: int = 2,
 ) -> DataFrame:
     """(params, fold, score) over time-ordered folds: each fold trains on the past of what it tests.
 
-    Score: accuracy, or negative mean squared error.
+    One model is fitted to all series, so by default the folds are cut at common times. Score: accuracy, or negative mean squared error.
     """
     combos = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
     if search == "random" and n_iter < len(combos):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import attach
-from .series import Blocks, By, Frame, number_rows, rolling
+from .series import Blocks, By, Frame, number_rows, number_times, rolling
 
 
 def _params(method: str, c: str) -> tuple[Column, Column]:
@@ -75,6 +75,17 @@ def split_two(df: DataFrame, test_size: float = 0.2, *, by: By = ("symbol",), ts
     return split(df, (1.0 - test_size, test_size), ("train", "test"), by=by, ts=ts, **kw)
 
 
+def split_times(df: DataFrame, test_size: float = 0.2, *, ts: str = "ts") -> DataFrame:
+    """Label rows train or test at one time for all series, so that a model of several series never trains on what comes after its test begins.
+
+    The cut is a place in the sorted times, which the calendar bounds.
+    """
+    d = number_times(df, ts, "pos_")
+    return attach(d, d.agg((F.max("pos_") + 1).alias("n_"))).select(
+        *df.columns, F.when(F.col("pos_") < F.floor(F.col("n_") * (1.0 - test_size)), "train").otherwise("test").alias("split")
+    )
+
+
 def scale_sequences(df: DataFrame, method: str = "minmax", *, seq: str = "seq", train: Column) -> DataFrame:
     """Scale arrays of bar structs per field; parameters come from all steps of the training rows."""
     fields = df.schema[seq].dataType.elementType.fieldNames()
@@ -142,8 +153,15 @@ def add_rolling(
 
 
 def time_folds(df: DataFrame, k: int = 3, *, by: By = ("symbol",), ts: str = "ts") -> DataFrame:
-    """Expanding folds: (row, fold, role). Fold i tests the i-th of k equal tail pieces and trains on all rows before it."""
-    d = number_rows(df, by, (ts,), None).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    """Expanding folds: (row, fold, role). Fold i tests the i-th of k equal tail pieces and trains on all rows before it.
+
+    Pieces are cut by the rows of each series, or, with ``by=()``, at the times that all series share: what a pooled model needs.
+    """
+    if by:
+        d = number_rows(df, by, (ts,), None).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    else:
+        d = number_times(df, ts, "_rn")
+        d = attach(d, d.agg((F.max("_rn") + 1).alias("_n")))
     size = F.floor(F.col("_n") / (k + 1))
     d = d.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
     start = F.col("_n") - (k + 1 - F.col("fold")) * size

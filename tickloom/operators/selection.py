@@ -12,6 +12,7 @@ from ..session import cut
 from . import market
 from .folds import add_psar
 from .indicators import FEATURES, RECURSIVE, add_cumulative, add_recursive, merge
+from .moments import pair_moments
 from .series import By, rolling
 
 SENTIMENT = ("advance_decline", "momentum_sentiment")
@@ -140,31 +141,29 @@ def top_features(ranked: DataFrame, n: int = 50) -> DataFrame:
     return ranked.filter("importance is not null").orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(i, a, j, b, r) for all column pairs i < j: one aggregate pass over the rows, k*(k-1)/2 correlations."""
-    pairs = [(i, a, j, b) for i, a in enumerate(features) for j, b in enumerate(features) if i < j]
-    one = df.agg(*[F.abs(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias(f"r{i}_{j}") for i, a, j, b in pairs])
-    rows = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(j).alias("j"), F.lit(b).alias("b"), F.col(f"r{i}_{j}").alias("r"))
-            for i, a, j, b in pairs
-        ]
-    )
-    return one.select(F.explode(rows).alias("_p")).select("_p.*")
+def correlation_matrix(df: DataFrame, features: Sequence[str], *, by: By = ()) -> DataFrame:
+    """(by, i, a, j, b, n, r) for all column pairs i < j: absolute Pearson correlation over the ``n`` rows that have both.
+
+    One pass: the tasks sum products with matrix operations, so neither the plan nor the shuffle grows with the square of the columns
+    times the rows. A constant column has no correlation.
+    """
+    d = pair_moments(df, features, by=by)
+    names = F.array(*[F.lit(c) for c in features])
+    return d.select(*by, "i", names[F.col("i")].alias("a"), "j", names[F.col("j")].alias("b"), "n", F.abs("r").alias("r"))
 
 
-def correlated_features(matrix: DataFrame, threshold: float = 0.95) -> DataFrame:
+def correlated_features(matrix: DataFrame, threshold: float = 0.95, *, by: By = ()) -> DataFrame:
     """Features to remove: those with an earlier column correlated above the threshold, with the first such column."""
     hit = matrix.filter(F.col("r") > threshold)
-    return hit.groupBy(F.col("b").alias("feature")).agg(
+    return hit.groupBy(*by, F.col("b").alias("feature")).agg(
         F.min_by("a", "i").alias("correlated_with"), F.min_by("r", "i").alias("correlation"), F.count(F.lit(1)).alias("n")
     )
 
 
-def mean_correlation(matrix: DataFrame) -> DataFrame:
+def mean_correlation(matrix: DataFrame, *, by: By = ()) -> DataFrame:
     """Mean |r| of every feature with all others."""
-    both = matrix.select(F.col("a").alias("feature"), "r").unionByName(matrix.select(F.col("b").alias("feature"), "r"))
-    return both.groupBy("feature").agg(F.avg("r").alias("mean_abs_corr"))
+    both = matrix.select(*by, F.col("a").alias("feature"), "r").unionByName(matrix.select(*by, F.col("b").alias("feature"), "r"))
+    return both.groupBy(*by, "feature").agg(F.avg("r").alias("mean_abs_corr"))
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:

@@ -113,6 +113,12 @@ def number_rows(df: DataFrame, by: By, order: By, blocks: Blocks | None, name: s
     )
 
 
+def number_times(df: DataFrame, ts: str = "ts", name: str = "pos_") -> DataFrame:
+    """0-based place of each row's time among all times of the table. Times are bounded by the calendar, so one sort of them is small."""
+    times = df.select(ts).distinct().select(ts, (F.row_number().over(Window.orderBy(ts)) - 1).cast("long").alias(name))
+    return df.join(times, ts).select(*df.columns, name)
+
+
 def in_blocks(df: DataFrame, by: By, order: By, blocks: Blocks) -> DataFrame:
     """Number the rows and cut the series into blocks once, ahead of several blocked operators (``_rn``, ``_blk``)."""
     if "_blk" in df.columns:

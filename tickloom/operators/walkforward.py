@@ -10,6 +10,8 @@ from ..functions.columns import div, share
 from .scale import fit_scaler, scale
 from .series import Blocks, By, number_rows
 
+MAX_LOG = 709.0  # beyond, the exponential leaves the range of doubles
+
 
 def windows(
     df: DataFrame,
@@ -93,17 +95,18 @@ def window_baseline(assigned: DataFrame, *, by: By = ("symbol",), ts: str = "ts"
 def aggregate_windows(results: DataFrame, *, by: Sequence[str] = ("model",)) -> DataFrame:
     """Over the windows of each model: mean, population deviation, median, compounded return and counts.
 
-    Returns compound as a sum of logarithms, ``compound_log_return``, which stays finite over any number of windows; a window
-    that loses all makes it negative infinity. ``compound_return`` is infinite once the logarithm passes 709.
+    Returns compound as a sum of logarithms, ``compound_log_return``, which stays finite over any number of windows and is NULL if a
+    window lost all. ``compound_return`` is -1 then, and NULL where it is beyond the range of a double.
     """
     r = F.col("total_return")
-    logs = F.sum(F.when(r > -1, F.log1p(r)).when(r <= -1, F.lit(float("-inf"))))
+    lost = F.count_if(r <= -1) > 0
+    logs = F.when(~lost, F.sum(F.when(r > -1, F.log1p(r))))
     extra = [F.avg(c).alias(f"mean_{c}") for c in ("sharpe_ratio", "accuracy", "f1_score") if c in results.columns]
     return results.groupBy(*by).agg(
         F.avg(r).alias("mean_return"),
         F.stddev_pop(r).alias("std_return"),
         F.percentile(r, 0.5).alias("median_return"),
-        F.expm1(logs).alias("compound_return"),
+        F.when(lost, -1.0).when(logs < MAX_LOG, F.expm1(logs)).alias("compound_return"),
         logs.alias("compound_log_return"),
         F.count_if(r > 0).alias("positive_windows"),
         F.count_if(r < 0).alias("negative_windows"),
@@ -118,28 +121,37 @@ def stability(results: DataFrame, metrics: Sequence[str], *, by: Sequence[str] =
     return d.groupBy(*by, "metric").agg(F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.count("_v").alias("n"))
 
 
-def horizon_report(aggregated: DataFrame) -> DataFrame:
-    """Horizon (as a number) ascending, compounded return descending, in percent."""
+def horizon_report(aggregated: DataFrame, *, by: By = ()) -> DataFrame:
+    """Horizon (as a number) ascending, compounded return descending, in percent; for each of ``by`` if given.
+
+    Ordered by the logarithm, which is known where the return itself is out of range; a model that lost all comes last.
+    """
     d = aggregated.select(
+        *by,
         F.col("horizon").cast("int").alias("horizon"),
         "model",
         *[(F.col(c) * 100.0).alias(f"{c}_pct") for c in ("mean_return", "compound_return", "std_return", "median_return")],
+        "compound_log_return",
         *[c for c in ("mean_sharpe_ratio", "positive_windows", "negative_windows", "total_windows") if c in aggregated.columns],
     )
-    return d.orderBy("horizon", F.desc("compound_return_pct"), "model")
+    return d.orderBy(*by, "horizon", F.col("compound_log_return").desc_nulls_last(), "model")
 
 
-def best_per_horizon(aggregated: DataFrame, baseline: str = "buy_hold") -> DataFrame:
-    """Best model of each horizon and its gap to the baseline."""
+def best_per_horizon(aggregated: DataFrame, baseline: str = "buy_hold", *, by: By = ()) -> DataFrame:
+    """Best model of each horizon by the logarithm of its return, and its gap to the baseline: in returns, and in logarithms."""
     model = F.col("model") != baseline
-    best = aggregated.groupBy("horizon").agg(
-        F.max(F.when(model, F.struct("compound_return", "model"))).alias("_b"),
-        F.max(F.when(~model, F.col("compound_return"))).alias("baseline_return"),
+    best = aggregated.groupBy(*by, "horizon").agg(
+        F.max(F.when(model, F.struct("compound_log_return", "model", "compound_return"))).alias("_b"),
+        F.max(F.when(~model, F.struct("compound_log_return", "compound_return"))).alias("_h"),
     )
     return best.select(
+        *by,
         F.col("horizon").cast("int").alias("horizon"),
         F.col("_b.model").alias("model"),
         F.col("_b.compound_return").alias("compound_return"),
-        "baseline_return",
-        (F.col("_b.compound_return") - F.col("baseline_return")).alias("gap"),
+        F.col("_h.compound_return").alias("baseline_return"),
+        (F.col("_b.compound_return") - F.col("_h.compound_return")).alias("gap"),
+        F.col("_b.compound_log_return").alias("compound_log_return"),
+        F.col("_h.compound_log_return").alias("baseline_log_return"),
+        (F.col("_b.compound_log_return") - F.col("_h.compound_log_return")).alias("log_gap"),
     )

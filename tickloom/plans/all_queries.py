@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_data, q_eval, q_features, q_flagship, q_models, q_stream, q_trading  # noqa: F401
+from . import q_data, q_eval, q_features, q_flagship, q_models, q_stream, q_trading, q_windows  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 

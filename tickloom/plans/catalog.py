@@ -10,6 +10,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Of each per-bar query: column -> digits (None: not rounded), and its SQL for given bars, so that other queries can ask for the same columns.
+COLUMNS: dict[str, tuple[dict[str, int | None], Callable[..., str]]] = {}
 
 
 def register(name: str, query: Query, sql: str | None = None) -> None:
@@ -81,9 +83,10 @@ def columns_query(
     raw: Sequence[str] = (),
 ) -> None:
     """A per-bar feature query: ``compute`` adds the columns, ``columns`` gives their SQL."""
-    register(
-        name,
-        lambda spark, sf: show(compute(bars(spark, sf)), keys, digits, list(columns), raw),
-        f"WITH {'RECURSIVE ' if recursive else ''}{', '.join([bars_sql, *ctes])} "
-        f"SELECT {', '.join(keys)}, {rr(digits, raw, **columns)} FROM {source}",
-    )
+
+    def sql(of_bars: str, nudge: float = 0.0) -> str:
+        nudged = {c: f"({e}) + {nudge!r}" if nudge and c not in raw else e for c, e in columns.items()}
+        return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join([of_bars, *ctes])} SELECT {', '.join(keys)}, {rr(digits, raw, **nudged)} FROM {source}"
+
+    COLUMNS[name] = {c: None if c in raw else digits for c in columns}, sql
+    register(name, lambda spark, sf: show(compute(bars(spark, sf)), keys, digits, list(columns), raw), sql(bars_sql))

@@ -6,10 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import folds, indicators, metrics, reports, risk, selection, walkforward as wf
+from ..operators import folds, indicators, metrics, reports, risk, selection, walkforward as wf, windowruns
 from ..operators.series import ewm, rolling, running
 from ..session import cut
-from .catalog import KEY, columns_query, lag, pct, register, roll, rr, show, so_far
+from .catalog import COLUMNS, KEY, columns_query, lag, pct, register, roll, rr, show, so_far
 from .fixtures import FLAG, SUPP, flag_bars, line_blocks, line_ticks, line_ticks_sql, supp_bars
 from .q_features import ewm_ctes
 from .q_trading import CHAIN_SQL, DD, RETS, equity, known, returns
@@ -59,7 +59,7 @@ for _mode, _exp in (("expanding", True), ("rolling", False)):
 register(
     "p04_window_scaling",
     lambda s, d: show(
-        wf.window_scaling(wf.assign_windows(supp_bars(s, d), 200, 50, 100), ["close", "volume"]).filter("role = 'test'"),
+        windowruns.scaled_tests(supp_bars(s, d), ["close", "volume"], windowruns.Plan(200, 50, 100)),
         [*KEYS, "window_id"],
         6,
         ["close", "volume"],
@@ -71,7 +71,7 @@ register(
 register(
     "p04_window_baseline",
     lambda s, d: show(
-        wf.window_baseline(wf.assign_windows(supp_bars(s, d), 200, 50, 100)), ["symbol", "window_id"], 6, ["total_return", "sharpe_ratio", "win_rate"]
+        windowruns.baseline_results(windowruns.tested_rows(windowruns.positions(supp_bars(s, d)), windowruns.Plan(200, 50, 100))), ["symbol", "window_id"], 6, ["total_return", "sharpe_ratio", "win_rate"]
     ),
     _assign_sql(200, 50, 100, True)
     + ", t AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol, window_id ORDER BY ts) - 1 AS x FROM a WHERE role = 'test') SELECT symbol, window_id, "
@@ -126,23 +126,25 @@ _AGG = (
 )
 
 
-def aggregated(s, d):
-    a = wf.aggregate_windows(window_results(s, d), by=("horizon", "model"))
-    # hundreds of windows compound to huge numbers: compare on a log scale
-    return a.withColumn("compound_return", F.col("compound_log_return"))
+def aggregated(s, d, by=("symbol", "horizon", "model")):
+    return wf.aggregate_windows(window_results(s, d), by=by)
 
 
+_BY_SERIES = _AGG.replace("SELECT horizon, model, avg", "SELECT symbol, horizon, model, avg").replace("GROUP BY 1, 2)", "GROUP BY 1, 2, 3)")
+_AGGREGATES = ["mean_return", "std_return", "median_return", "compound_log_return", "mean_sharpe_ratio", "mean_accuracy"]
+_AGGREGATES_SQL = dict(mean_return="mr", std_return="sr", median_return="md", compound_log_return="lc", mean_sharpe_ratio="ms", mean_accuracy="ma")
 register(
     "p05_aggregate_windows",
+    lambda s, d: show(aggregated(s, d, ("horizon", "model")), ["horizon", "model", "positive_windows", "negative_windows", "total_windows"], 6, _AGGREGATES),
+    _RESULTS + _AGG + f" SELECT horizon, model, pos AS positive_windows, neg AS negative_windows, n AS total_windows, {rr(6, **_AGGREGATES_SQL)} FROM ag",
+)
+register(
+    "p05_aggregate_series",
     lambda s, d: show(
-        aggregated(s, d),
-        ["horizon", "model", "positive_windows", "negative_windows", "total_windows"],
-        6,
-        ["mean_return", "std_return", "median_return", "compound_return", "mean_sharpe_ratio", "mean_accuracy"],
+        aggregated(s, d), ["symbol", "horizon", "model", "positive_windows", "negative_windows", "total_windows"], 6, [*_AGGREGATES, "compound_return"]
     ),
-    _RESULTS + _AGG + " SELECT horizon, model, pos AS positive_windows, neg AS negative_windows, n AS total_windows, "
-    + rr(6, mean_return="mr", std_return="sr", median_return="md", compound_return="lc", mean_sharpe_ratio="ms", mean_accuracy="ma")
-    + " FROM ag",
+    _RESULTS + _BY_SERIES + " SELECT symbol, horizon, model, pos AS positive_windows, neg AS negative_windows, n AS total_windows, "
+    + rr(6, **_AGGREGATES_SQL, compound_return="exp(lc) - 1") + " FROM ag",
 )
 register(
     "p06_stability",
@@ -155,22 +157,45 @@ register(
 register(
     "p07_horizon_report",
     lambda s, d: show(
-        wf.horizon_report(aggregated(s, d)),
+        wf.horizon_report(aggregated(s, d), by=("symbol",)),
+        ["symbol", "horizon", "model", "positive_windows", "negative_windows", "total_windows"],
+        4,
+        ["mean_return_pct", "compound_return_pct", "std_return_pct", "median_return_pct", "compound_log_return", "mean_sharpe_ratio"],
+    ),
+    _RESULTS + _BY_SERIES + " SELECT symbol, horizon, model, pos AS positive_windows, neg AS negative_windows, n AS total_windows, "
+    + rr(4, mean_return_pct="mr * 100", compound_return_pct="(exp(lc) - 1) * 100", std_return_pct="sr * 100", median_return_pct="md * 100",
+         compound_log_return="lc", mean_sharpe_ratio="ms")
+    + " FROM ag ORDER BY symbol, horizon, lc DESC, model",
+)
+# over all series together: the returns of thousands of windows are known by their logarithms
+register(
+    "p07_horizon_report_all",
+    lambda s, d: show(
+        wf.horizon_report(aggregated(s, d, ("horizon", "model"))),
         ["horizon", "model", "positive_windows", "negative_windows", "total_windows"],
         4,
-        ["mean_return_pct", "compound_return_pct", "std_return_pct", "median_return_pct", "mean_sharpe_ratio"],
+        ["mean_return_pct", "std_return_pct", "median_return_pct", "compound_log_return", "mean_sharpe_ratio"],
     ),
     _RESULTS + _AGG + " SELECT horizon, model, pos AS positive_windows, neg AS negative_windows, n AS total_windows, "
-    + rr(4, mean_return_pct="mr * 100", compound_return_pct="lc * 100", std_return_pct="sr * 100", median_return_pct="md * 100", mean_sharpe_ratio="ms")
+    + rr(4, mean_return_pct="mr * 100", std_return_pct="sr * 100", median_return_pct="md * 100", compound_log_return="lc", mean_sharpe_ratio="ms")
     + " FROM ag ORDER BY horizon, lc DESC, model",
 )
+_BEST = (
+    ", b AS (SELECT {by}horizon, max(lc) FILTER (model <> 'buy_hold') AS c, arg_max(model, lc) FILTER (model <> 'buy_hold') AS m, "
+    "max(lc) FILTER (model = 'buy_hold') AS h FROM ag GROUP BY ALL) SELECT {by}horizon, m AS model, "
+)
+_LOGS = {"compound_log_return": "c", "baseline_log_return": "h", "log_gap": "c - h"}
 register(
     "p08_best_per_horizon",
-    lambda s, d: show(wf.best_per_horizon(aggregated(s, d)), ["horizon", "model"], 6, ["compound_return", "baseline_return", "gap"]),
-    _RESULTS + _AGG + ", b AS (SELECT horizon, max(lc) FILTER (model <> 'buy_hold') AS c, arg_max(model, lc) FILTER (model <> 'buy_hold') AS m, "
-    "max(lc) FILTER (model = 'buy_hold') AS h FROM ag GROUP BY 1) SELECT horizon, m AS model, "
-    + rr(6, compound_return="c", baseline_return="h", gap="c - h")
-    + " FROM b",
+    lambda s, d: show(
+        wf.best_per_horizon(aggregated(s, d), by=("symbol",)), ["symbol", "horizon", "model"], 6, ["compound_return", "baseline_return", "gap", *_LOGS]
+    ),
+    _RESULTS + _BY_SERIES + _BEST.format(by="symbol, ") + rr(6, compound_return="exp(c) - 1", baseline_return="exp(h) - 1", gap="exp(c) - exp(h)", **_LOGS) + " FROM b",
+)
+register(
+    "p08_best_per_horizon_all",
+    lambda s, d: show(wf.best_per_horizon(aggregated(s, d, ("horizon", "model"))), ["horizon", "model"], 6, list(_LOGS)),
+    _RESULTS + _AGG + _BEST.format(by="") + rr(6, **_LOGS) + " FROM b",
 )
 
 # --- R: risk
@@ -508,12 +533,6 @@ _FE = (
 )
 
 
-def _frame(s, d):
-    f = selection.feature_frame(flag_bars(s, d))
-    return f.select(*KEYS, *[F.round(F.col(c).cast("double"), 3).alias(c) for c in selection.feature_columns(f)])
-
-
-register("i01_feature_frame", _frame)
 columns_query(
     "i02_finite",
     supp_bars,
@@ -676,3 +695,66 @@ register(
     + ", ".join(ewm_ctes("e", "n", {"a": ("s.p", 2.0 / 21.0), "b": ("s.p", 2.0 / 201.0)}))
     + f" SELECT symbol, ts, seq, {rr(5, ema_20='CASE WHEN rn >= 20 THEN a END', ema_200='CASE WHEN rn >= 200 THEN b END')} FROM e",
 )
+
+# --- I: the whole feature frame, next to the SQL of each of its columns
+
+NUDGE = 1e-8  # the engines round halves differently: off the halves before rounding
+FRAME_COLUMNS: dict[str, tuple[str, int | None]] = {}  # column -> (query that checks it, its digits)
+for _query, (_digits, _) in COLUMNS.items():
+    if _query[0] in "fgh" and _query != "g15_intraday":
+        for _c, _n in _digits.items():
+            FRAME_COLUMNS.setdefault(_c, (_query, _n))
+
+
+def frame(s, d):
+    """The feature frame of the long series, rounded like its SQL."""
+    f = selection.feature_frame(flag_bars(s, d)).withColumn("log_nvi", F.ln("nvi")).drop("nvi")
+    columns = selection.feature_columns(f)
+
+    def shown(c: str):
+        x, digits = F.col(c).cast("double"), FRAME_COLUMNS[c][1]
+        return (x if digits is None else F.round(x + NUDGE, digits)).alias(c)
+
+    return f.select(*KEYS, *[shown(c) for c in columns])
+
+
+def _quoted(column: str) -> str:
+    return '"pivot"' if column == "pivot" else column  # the only one that is a word of SQL
+
+
+def _frame_sql() -> str:
+    parts = [f"(SELECT symbol, ts, {', '.join(_quoted(c) for c, (q, _) in FRAME_COLUMNS.items() if q == name)} FROM ({COLUMNS[name][1](FLAG, NUDGE)}))" for name in dict.fromkeys(q for q, _ in FRAME_COLUMNS.values())]
+    return "SELECT * FROM " + " JOIN ".join(p if i == 0 else f"{p} USING (symbol, ts)" for i, p in enumerate(parts))
+
+
+register("i01_feature_frame", frame, _frame_sql())
+
+
+def _frame_correlations(s, d):
+    f = cut(frame(s, d))
+    return selection.correlation_matrix(f, sorted(selection.feature_columns(f)))
+
+
+_NAMES = sorted(FRAME_COLUMNS)
+_CORRELATIONS = ", ".join(f"corr({_quoted(a)}, {_quoted(b)})" for i, a in enumerate(_NAMES) for b in _NAMES[i + 1 :])
+_ALL_PAIRS = (
+    f"fr AS MATERIALIZED ({_frame_sql()}), one AS (SELECT [{_CORRELATIONS}] AS p FROM fr), "
+    "k AS (SELECT unnest(p) AS r, generate_subscripts(p, 1) AS k FROM one), "
+    f"nm AS (SELECT {_NAMES!r} AS names), ij AS (SELECT i, j, row_number() OVER (ORDER BY i, j) AS k FROM range({len(_NAMES)}) a(i), range({len(_NAMES)}) b(j) WHERE i < j), "
+    "m AS (SELECT CAST(i AS INTEGER) AS i, names[i + 1] AS a, names[j + 1] AS b, abs(CASE WHEN NOT isnan(r) THEN r END) AS r FROM ij JOIN k USING (k), nm)"
+)
+register(
+    "i07_frame_correlations",
+    lambda s, d: show(_frame_correlations(s, d), ["a", "b"], 4, ["r"]),
+    f"WITH {_ALL_PAIRS} SELECT a, b, round(r, 4) AS r FROM m",
+)
+register(
+    "i08_frame_correlated",
+    lambda s, d: show(selection.correlated_features(_frame_correlations(s, d), 0.95), ["feature", "correlated_with", "n"], 4, ["correlation"]),
+    f"WITH {_ALL_PAIRS} SELECT b AS feature, arg_min(a, i) AS correlated_with, round(arg_min(r, i), 4) AS correlation, count(*) AS n FROM m WHERE r > 0.95 GROUP BY 1",
+)
+register(
+    "i11_frame_mean_correlation",
+    lambda s, d: show(selection.mean_correlation(_frame_correlations(s, d)), ["feature"], 4, ["mean_abs_corr"]),
+    f"WITH {_ALL_PAIRS}, u AS (SELECT a AS feature, r FROM m UNION ALL SELECT b, r FROM m) SELECT feature, round(avg(r), 4) AS mean_abs_corr FROM u GROUP BY 1",
+)

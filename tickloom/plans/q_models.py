@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ensembles, indicators, labels, models, prediction, scale, selection, walkforward as wf
+from ..operators import ensembles, indicators, labels, models, prediction, scale, selection
 from ..session import cut
 from ..sources.files import scratch
 from .catalog import register, show
-from .fixtures import SUPP, hour_bars, supp_bars
+from .fixtures import SUPP, flag_bars, hour_bars, supp_bars
 from .q_trading import long_predictions, wide_predictions
 
 FEATURES = ("return_1d", "return_5d", "price_ma_distance_5", "price_ma_distance_20", "volatility_5d", "daily_range")
@@ -17,11 +17,11 @@ BOOSTED = {"maxIter": 5, "maxDepth": 4}
 
 
 def dataset(s, d):
-    """Features and next-bar direction of all suppliers, split in time."""
+    """Features and next-bar direction of all suppliers, split at one time."""
     b = indicators.add_features(supp_bars(s, d), "returns", "price_ma_distance", "volatility", "bar_shape")
     b = labels.add_labels(b, 1).withColumn("ret", F.col("future_return_1d"))
     b = b.select("symbol", "ts", "ret", "direction", *FEATURES)
-    return models.training_rows(scale.split_two(b, 0.2), FEATURES, "direction")
+    return models.training_rows(scale.split_times(b, 0.2), FEATURES, "direction")
 
 
 def train(rows, names=None, kind="classification", label="direction"):
@@ -164,40 +164,11 @@ register(
 
 
 def _select(s, d):
-    rows = dataset(s, d).filter("split = 'train'")
-    dropped = selection.correlated_features(selection.correlation_matrix(rows, FEATURES), 0.6)
-    gone = [r["feature"] for r in dropped.select("feature").collect()]  # one row per dropped feature
-    ranked = models.select_by_forest(rows, [f for f in FEATURES if f not in gone], "direction", **FOREST)
-    log = dropped.select("feature", F.col("correlation").alias("value"), F.concat(F.lit("correlated with "), "correlated_with").alias("decision"))
-    return log.unionByName(ranked.select("feature", F.col("importance").alias("value"), "decision"))
+    """The whole feature frame of the first four fifths of the time; the default forest."""
+    f = cut(labels.add_labels(selection.feature_frame(flag_bars(s, d)), 1).drop("future_return_1d", "profitable_trade"))
+    rows = scale.split_times(f, 0.2).filter("split = 'train'")
+    dense = [c for c in selection.dense_columns(rows) if c in selection.feature_columns(rows, exclude=("direction",))]
+    return models.select_features(rows, dense, "direction")
 
 
 register("i10_selection", _select)
-
-
-def _walk(s, d):
-    """Two models over rolling windows: fit on each window's training rows, score its test rows, aggregate."""
-    b = indicators.add_features(supp_bars(s, d), "returns", "price_ma_distance", "volatility", "bar_shape")
-    b = labels.add_labels(b, 1).withColumn("ret", F.col("future_return_1d")).select("symbol", "ts", "ret", "direction", *FEATURES)
-    a = wf.window_scaling(wf.assign_windows(b, 250, 100, 100, expanding=False), FEATURES)
-    rows = models.training_rows(a, FEATURES, "direction")
-    ids = [r[0] for r in rows.select("window_id").distinct().orderBy("window_id").collect()]  # one row per window
-    specs = {"random_forest": FOREST, "linear": {"maxIter": 20}}
-    out = None
-    for i in ids:
-        part = rows.filter(F.col("window_id") == i)
-        fitted = models.train_models(part.filter("role = 'train'"), FEATURES, "direction", specs)
-        scored = models.score(fitted, part.filter("role = 'test'"))
-        long = scored.select("window_id", "ret", F.col("direction").alias("y"), *[F.col(f"pred_{n}").alias(n) for n in fitted])
-        long = long.unpivot(["window_id", "ret", "y"], list(fitted), "model", "prediction")
-        out = long if out is None else out.unionByName(long)
-    x = F.when(F.col("prediction") == 1, F.col("ret")).otherwise(0.0)
-    per_window = out.groupBy("model", "window_id").agg(
-        F.avg(x).alias("total_return"),
-        F.coalesce(F.try_divide(F.avg(x), F.stddev_samp(x)), F.lit(0.0)).alias("sharpe_ratio"),
-        F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy"),
-    )
-    return wf.aggregate_windows(per_window)
-
-
-register("p04_walk_forward", _walk)

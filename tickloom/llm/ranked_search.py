@@ -134,7 +134,9 @@ def build_index(docs: DataFrame) -> Index:
     forward = forward.withColumn("m", F.expr(f"100 - {B_SHARE} + (({B_SHARE} * n * {n_docs}) div {max(n_terms, 1)})"))
     # a stratum may hold any share of the documents: it is cut into slices by the postings it has, one row a stratum tells how many
     slices = stage(forward.groupBy("m").agg(F.ceil(F.sum(F.size("terms")) / BLOCK_POSTINGS).alias("slices")), "slices")
-    dealt = forward.join(slices, "m").withColumn("slice", F.pmod(F.xxhash64("doc_id", "terms"), F.col("slices")))
+    # by row number, so that repeated rows part, too; the staged files give a row the same number each time
+    numbered = forward.withColumn("number", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = numbered.join(slices, "m").withColumn("slice", F.pmod("number", F.col("slices")))
     dealt = dealt.repartition(shuffle_tasks(docs.sparkSession), "m", "slice").sortWithinPartitions("m", "slice")
     sorted_rows = dealt.select("doc_id", "m", "terms", "tfs")
     kinds = "m long, docs array<long>, terms array<string>, term_ends array<int>, tfs array<int>, tf_ends array<int>, members array<int>"

@@ -202,9 +202,9 @@ def test_stale_alert(spark):
 
     quiet = bars(spark, [10.0, 10.0], "quiet")
     busy = bars(spark, [10.0] * 12, "busy")
-    path, schema = st.replay(quiet.union(busy), parts=3)
+    fed = st.replay(quiet.union(busy), parts=3)
     with online.rocksdb_state(spark):
-        out = st.run(online.online_alerts(st.file_stream(spark, path, schema, files_per_trigger=1)), "alerts")
+        out = st.run(online.online_alerts(st.file_stream(spark, fed.path, fed.schema)), "alerts", feed=fed.feed)
     assert [(r.symbol, r.alert) for r in out.collect()] == [("quiet", "stale")]
 
 
@@ -219,33 +219,82 @@ def test_simplex_equals_the_filtered_product():
     assert len(simplex(10)) == 92_378
 
 
-def test_all_online_alerts_are_returned(spark, sf):
-    """t06_online_all_alerts next to timers worked out by hand over the three batches."""
+def test_late_bars_are_folded_in_order_and_too_late_ones_counted(spark):
+    """Bars of three batches, most out of order; one comes after the watermark has passed it."""
     import datetime as dt
-    from collections import defaultdict
-
-    import __spark_entry__ as entry
-    from tickloom.plans.fixtures import hour_bars
-
-    hour, ms = dt.timedelta(hours=1), dt.timedelta(milliseconds=1)
-    rows = sorted((r.ts.replace(tzinfo=None), r.symbol, r.close) for r in hour_bars(spark, sf).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "close").collect())
-    t0, t1 = rows[0][0], rows[-1][0]
-    batches = [[r for r in rows if min(int((r[0] - t0) / ((t1 - t0) / 3)), 2) == i] for i in range(3)] + [[]]
-    mark, timer, last, want = dt.datetime(1970, 1, 1), {}, {}, defaultdict(set)
-    for batch in batches:
-        for t, symbol, close in batch:
-            if symbol in last:
-                before, price = last[symbol]
-                if abs(close / price - 1) > 2.0:
-                    want["jump"].add((symbol, t))
-                if t - before > 2 * hour:
-                    want["gap"].add((symbol, t))
-            last[symbol] = t, close
-        timer |= {s: max(last[s][0] + 6 * hour, mark + ms) for _, s, _ in batch}
-        due = [s for s in timer if timer[s] <= mark]
-        want["stale"] |= {(s, timer.pop(s)) for s in due}
-        mark = max([mark, *(t - hour for t, _, _ in batch)])
-    got = defaultdict(set)
-    for r in entry.queries()["t06_online_all_alerts"](spark, sf).collect():
-        got[r.alert].add((r.symbol, r.ts))
-    assert got == want and want["stale"]
+
+    from tickloom.streaming import bars as st, online
+
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    # (batch, day, close): day 2 comes in the second batch, day 1 when day 9 was seen and two days of delay are over
+    rows = [(0, 3, 30.0), (0, 0, 10.0), (1, 2, 25.0), (1, 9, 9.0), (1, 4, 35.0), (2, 1, 99.0), (2, 8, 50.0)]
+    d = spark.createDataFrame([("s", day(k), c, c, c, c, 1.0, b) for b, k, c in rows], "symbol string, ts timestamp, open double, high double, low double, close double, volume double, b int")
+    fed = st.replay(d, part=F.col("b"))
+    with online.rocksdb_state(spark):
+        stream, folder = st.closing(st.file_stream(spark, fed.path, fed.schema))
+        out = st.run(online.online_drawdown(stream, 0.5, delay="2 days"), "drawdown", feed=fed.feed, close=folder).collect()
+    got = sorted((r.ts, r.peak) for r in out if r.symbol is not None)
+    assert got == [(day(0), 10.0), (day(2), 25.0), (day(3), 30.0), (day(4), 35.0), (day(8), 50.0), (day(9), 50.0)]
+
+
+def test_sessions_of_a_table_and_of_a_stream(spark):
+    import datetime as dt
+
+    from tickloom.streaming import bars as st
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = [("a", at(m), float(m), 1.0) for m in (0, 20, 39, 100, 129)] + [("b", at(39), 5.0, 2.0)]
+    d = spark.createDataFrame(rows, "symbol string, ts timestamp, price double, size double")
+    want = {("a", at(0), at(69), 3, 0.0, 39.0), ("a", at(100), at(159), 2, 100.0, 129.0), ("b", at(39), at(69), 1, 5.0, 5.0)}
+    fed = st.replay(d, parts=2)
+    stream, folder = st.closing(st.file_stream(spark, fed.path, fed.schema))
+    streamed = st.run(st.stream_sessions(stream), "sessions", feed=fed.feed, close=folder)
+    for out in (st.stream_sessions(d), streamed):
+        assert {(r.symbol, r.ts, r.end, r.ticks, r.open, r.close) for r in out.collect() if r.symbol} == want
+
+
+def test_resting_orders_fill_at_the_first_bar_that_reaches_them(spark):
+    import random
+
+    from tickloom.operators import ledger
+
+    rng = random.Random(4)
+    series = {s: [round(rng.uniform(5, 15), 1) for _ in range(60)] for s in ("p", "q")}
+    b = spark.createDataFrame([(s, k, None if k == 7 else c) for s, cs in series.items() for k, c in enumerate(cs)], "symbol string, ts long, close double")
+    rows = []
+    for i in range(400):
+        kind, side, x = rng.choice(["market", "limit", "stop"]), rng.choice(["buy", "sell"]), rng.choice([None, *(round(rng.uniform(4, 16), 1) for _ in range(9))])
+        rows.append((i, rng.choice(["p", "q", "r"]), rng.randint(-2, 62), side, kind, x if kind == "limit" else None, x if kind == "stop" else None))
+    o = spark.createDataFrame(rows, "id long, symbol string, ts long, side string, type string, limit_price double, stop_price double")
+
+    def first(symbol, ts, side, kind, li, st):
+        for k, c in enumerate(series.get(symbol, [])):
+            if k < ts or k == 7:
+                continue
+            if kind == "market":
+                return k, c
+            if kind == "limit" and li is not None and (c <= li if side == "buy" else c >= li):
+                return k, li
+            if kind == "stop" and st is not None and (c >= st if side == "buy" else c <= st):
+                return k, c
+        return None, None
+
+    got = {r.id: (r.fill_ts, r.fill_price) for r in ledger.fill_resting(o.repartition(3), b.repartition(3)).collect()}
+    assert got == {i: first(*rest) for i, *rest in rows}
+
+
+def test_auc_of_crowded_scores_spreads_over_tasks(spark):
+    import random
+
+    from tickloom.operators import prediction
+
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 1), round(rng.random() * 1e-6, 9) if i % 100 else rng.random() * 1e6) for i in range(3000)] + [(1, None), (None, 0.5)]
+    d = spark.createDataFrame(rows, "y int, score double")
+    known = [(y, x) for y, x in rows if y is not None and x is not None]
+    p, q = [x for y, x in known if y], [x for y, x in known if not y]
+    want = sum((a > b) + (a == b) / 2 for a in p for b in q) / (len(p) * len(q))
+    assert abs(prediction.roc_auc(d).first().auc - want) < 1e-12
+    parts = prediction.score_ranges(d.filter("y IS NOT NULL AND score IS NOT NULL").groupBy(F.col("score").alias("_s")).agg(F.count("y").alias("_q")), (), 8)
+    sizes = [r["count"] for r in parts.groupBy("_cell").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 3 * sum(sizes) / len(sizes)

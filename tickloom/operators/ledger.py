@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import div, share
 from .series import Blocks, By, affine, prepared, rolling, running, staged
@@ -239,6 +244,81 @@ def fill_orders(orders: DataFrame, bars: DataFrame, *, by: By = ("symbol",), ts:
     return d.withColumn("fill_price", fill).drop("close")
 
 
+class Book:
+    """Orders of a series that wait for a price: two heaps, the next to be reached on top."""
+
+    def __init__(self) -> None:
+        self.up: list[tuple] = []  # waits for a close of at least the price
+        self.down: list[tuple] = []  # waits for a close of at most the price: negated
+        self.market: list[dict] = []
+        self.n = 0
+
+    def add(self, order: dict) -> bool:
+        """False if the order can never fill: its price is missing."""
+        buy, kind = order["side"] == "buy", order["type"]
+        if kind == "market":
+            self.market.append(order)
+            return True
+        price = order["limit_price"] if kind == "limit" else order["stop_price"] if kind == "stop" else None
+        if price is None:
+            return False
+        self.n += 1
+        up = buy == (kind == "stop")
+        heapq.heappush(self.up if up else self.down, (price if up else -price, self.n, order))
+        return True
+
+    def fill(self, close: float) -> Iterator[tuple[dict, float]]:
+        """The orders that a bar fills, and their prices: limits at the limit, the others at the close."""
+        yield from ((o, close) for o in self.market)
+        self.market = []
+        for heap, level in ((self.up, close), (self.down, -close)):
+            while heap and heap[0][0] <= level:
+                order = heapq.heappop(heap)[2]
+                yield order, order["limit_price"] if order["type"] == "limit" else close
+
+    def rest(self) -> list[dict]:
+        return [*self.market, *(x[2] for x in (*self.up, *self.down))]
+
+
+def fill_resting(orders: DataFrame, bars: DataFrame, *, by: By = ("symbol",), ts: str = "ts") -> DataFrame:
+    """Orders that rest until a bar reaches them: adds ``fill_ts`` and ``fill_price`` (NULL: never filled).
+
+    The first bar from the order's time on whose close satisfies ``fill_orders``' rules fills it. Orders and bars of a series are
+    swept once in order of time, with a book of the waiting orders: no order meets a bar that does not fill it. A task holds the open
+    orders of one series, not its bars or its filled orders.
+    """
+    kinds, given = orders.schema, orders.columns
+    out = StructType([*kinds, StructField("fill_ts", kinds[ts].dataType), StructField("fill_price", DoubleType())])
+    ticks = bars.filter(F.col("close").isNotNull()).select(
+        *[F.col(c).cast(kinds[c].dataType).alias(c) if c in (*by, ts) else F.lit(None).cast(kinds[c].dataType).alias(c) for c in given],
+        F.col("close").cast("double").alias("close_"),
+    )
+    d = orders.withColumn("close_", F.lit(None).cast("double")).unionByName(ticks)
+    d = d.repartition(*by).sortWithinPartitions(*by, ts, F.col("close_").isNotNull())  # orders before the bar of their time
+
+    def run(batches):
+        key, book, schema = None, Book(), None
+        for b in batches:
+            schema = pa.schema([*(b.schema.field(c) for c in given), ("fill_ts", b.schema.field(ts).type), ("fill_price", pa.float64())])
+            done = []
+            for row in b.to_pylist():
+                at = tuple(row[c] for c in by)
+                if at != key:
+                    done += book.rest()
+                    key, book = at, Book()
+                close = row.pop("close_")
+                if close is None:
+                    if not book.add(row):
+                        done.append(row)
+                else:
+                    done += (o | {"fill_ts": row[ts], "fill_price": p} for o, p in book.fill(close))
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
+        if schema is not None:
+            yield pa.RecordBatch.from_pylist(book.rest(), schema=schema)
+
+    return d.mapInArrow(run, out)
+
+
 def compare_strategies(metrics: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
     """Metric rows of the strategies with the benchmark's rows below; both have the same columns."""
     return metrics if benchmark is None else metrics.unionByName(benchmark, allowMissingColumns=True)

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import attach, div, share
+from ..functions.columns import div, share
+from ..session import cut
 from .series import By, rolling
 
 
@@ -76,20 +77,26 @@ def classification_metrics(df: DataFrame, y: str = "y", p: str = "prediction", *
     )
 
 
-def roc_auc(df: DataFrame, y: str = "y", score: str = "score", *, by: By = (), ranges: int = 1024) -> DataFrame:
+def score_ranges(scores: DataFrame, by: By, parts: int) -> DataFrame:
+    """Stored rows with ``_cell``, the number of the range of (by, _s) they lie in; ranges hold about equal numbers of rows.
+
+    Ranges come from a sample of the rows themselves, so crowded scores get more of them.
+    """
+    return cut(scores.repartitionByRange(parts, *by, "_s").withColumn("_cell", F.spark_partition_id()))
+
+
+def roc_auc(df: DataFrame, y: str = "y", score: str = "score", *, by: By = ()) -> DataFrame:
     """Area under the ROC curve of a 0/1 label by the rank sum with mid-ranks for ties.
 
-    Rows collapse to counts per distinct score first. The scores are then numbered in two levels (equal-width
-    ranges, then inside a range), so no task sorts all of them.
+    Rows collapse to counts per distinct score first. These are dealt by ranges of score and ranked in two levels, the ranges
+    below and the rows inside, so no task sorts more than its share however the scores are spread. Rows without label or score
+    do not count.
     """
-    s = df.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(
-        F.sum((F.col(y) == 1).cast("long")).alias("_p"), F.sum((F.col(y) == 0).cast("long")).alias("_q")
-    )
-    limits = s.groupBy(*by).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-    d = s.join(limits, [*by]) if by else attach(s, limits)
-    cell = F.coalesce(F.floor(div(F.col("_s") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * ranges), F.lit(0))
-    d = d.withColumn("_cell", cell.cast("int")).drop("_lo", "_hi")
+    s = df.filter(F.col(y).isNotNull()).select(*by, F.col(y).alias("_y"), F.col(score).cast("double").alias("_s")).filter("_s IS NOT NULL")
+    s = s.groupBy(*by, "_s").agg(F.sum((F.col("_y") == 1).cast("long")).alias("_p"), F.sum((F.col("_y") == 0).cast("long")).alias("_q"))
+    d = score_ranges(s, by, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     below = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per key and range
     cells = d.groupBy(*by, "_cell").agg(F.sum("_q").alias("_c")).select(
         *by, "_cell", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_off")
     )

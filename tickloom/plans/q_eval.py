@@ -698,7 +698,7 @@ register(
 
 # --- I: the whole feature frame, next to the SQL of each of its columns
 
-NUDGE = 1e-8  # the engines round halves differently: off the halves before rounding
+NUDGE = 1.3e-7  # the engines round halves differently: off the halves before rounding
 FRAME_COLUMNS: dict[str, tuple[str, int | None]] = {}  # column -> (query that checks it, its digits)
 for _query, (_digits, _) in COLUMNS.items():
     if _query[0] in "fgh" and _query != "g15_intraday":

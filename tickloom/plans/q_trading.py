@@ -393,6 +393,29 @@ register(
     + " FROM o",
 )
 
+
+
+def _resting(s, d):
+    """An order a day, far from the price: limits and stops that wait, and some that never fill."""
+    b = supp_bars(s, d)
+    far, near = F.col("open") * 2.5, F.col("open") * 0.4
+    buy = F.col("side") == "buy"
+    o = _orders(s, d).select(*KEYS, "side", "type").join(b.select(*KEYS, "open"), list(KEYS))
+    return o.select(*KEYS, "side", "type", F.when(buy, near).otherwise(far).alias("limit_price"), F.when(buy, far).otherwise(near).alias("stop_price"))
+
+
+register(
+    "l14_resting_orders",
+    lambda s, d: show(ledger.fill_resting(_resting(s, d), supp_bars(s, d)), [*KEYS, "side", "type", "fill_ts"], 6, ["fill_price"], ["fill_price"]),
+    f"WITH {SUPP}, o AS (SELECT *, CASE WHEN month(ts) % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, "
+    "CASE day(ts) % 3 WHEN 0 THEN 'market' WHEN 1 THEN 'limit' ELSE 'stop' END AS type FROM bars), "
+    "q AS (SELECT symbol, ts, side, type, CASE side WHEN 'buy' THEN open * 0.4 ELSE open * 2.5 END AS li, CASE side WHEN 'buy' THEN open * 2.5 ELSE open * 0.4 END AS sp FROM o), "
+    "m AS (SELECT q.symbol, q.ts, min(b.ts) AS hit FROM q JOIN bars b ON b.symbol = q.symbol AND b.ts >= q.ts AND "
+    "(type = 'market' OR (type = 'limit' AND CASE side WHEN 'buy' THEN close <= li ELSE close >= li END) OR (type = 'stop' AND CASE side WHEN 'buy' THEN close >= sp ELSE close <= sp END)) GROUP BY 1, 2) "
+    "SELECT q.symbol, q.ts, side, type, hit AS fill_ts, CAST(CASE type WHEN 'limit' THEN CASE WHEN hit IS NOT NULL THEN li END ELSE close END AS DOUBLE) AS fill_price "
+    "FROM q LEFT JOIN m USING (symbol, ts) LEFT JOIN bars b ON b.symbol = q.symbol AND b.ts = hit",
+)
+
 # --- M: metrics of bar returns per supplier
 
 RETS = f"{SUPP}, r AS (SELECT *, {pct('close')} AS x FROM bars), k AS (SELECT * FROM r WHERE x IS NOT NULL)"

@@ -298,3 +298,28 @@ def test_auc_of_crowded_scores_spreads_over_tasks(spark):
     parts = prediction.score_ranges(d.filter("y IS NOT NULL AND score IS NOT NULL").groupBy(F.col("score").alias("_s")).agg(F.count("y").alias("_q")), (), 8)
     sizes = [r["count"] for r in parts.groupBy("_cell").count().collect()]
     assert len(sizes) > 4 and max(sizes) < 3 * sum(sizes) / len(sizes)
+
+
+def test_products_stay_in_range_over_many_periods(spark):
+    import math
+
+    from tickloom.operators import indicators, ledger, metrics
+
+    n = 20_000
+    d = spark.range(n).select(F.lit("s").alias("symbol"), F.col("id").alias("ts"), F.lit(0.1).alias("ret"))
+    m = metrics.return_metrics(d).first()
+    assert m.final_value is None and m.total_return is None and abs(m.log_return - n * math.log(1.1)) < 1e-6
+    signs = spark.createDataFrame([("a", -3.0), ("a", -0.5), ("b", -1.0), ("b", 4.0), ("c", -2.0), ("c", None)], "symbol string, ret double")
+    got = {r.symbol: (r.final_value, r.log_return) for r in metrics.return_metrics(signs).collect()}
+    assert got["a"][0] == -1.0 and got["a"][1] is None and got["b"] == (0.0, None) and got["c"] == (-1.0, None)
+    # ten per cent up in every second bar, held then, sold in the other
+    b = spark.range(n).select(
+        F.lit("s").alias("symbol"), F.col("id").alias("ts"), F.pow(F.lit(1.1), F.col("id") % 2).alias("close"), (1 - F.col("id") % 2).cast("int").alias("position"),
+        F.pow(F.lit(1.1), F.col("id") % 2).alias("high"), F.lit(0.5).alias("low"), F.lit(1.0).alias("open"), (-F.col("id")).cast("double").alias("volume"),
+    )
+    e = ledger.equity_curve(b, commission=0.0, fraction=1.0, capital=1.0)
+    last = e.orderBy(F.desc("ts")).first()
+    assert last.equity is None and abs(last.log_equity - n / 2 * math.log(1.1)) < 1e-6 and abs(last.ret - 0.1) < 1e-9
+    assert e.filter("log_equity IS NULL OR isnan(ret) OR equity = double('infinity')").count() == 0
+    grows = b.withColumn("close", F.lit(1.0) + F.col("ts")).withColumn("volume", F.lit(1.0))
+    assert indicators.add_cumulative(grows).filter("nvi = double('infinity') OR isnan(nvi)").count() == 0

@@ -6,11 +6,13 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml import Pipeline
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import attach
 from .scale import split_two, time_folds
@@ -85,24 +87,46 @@ def search_weights_mse(wide: DataFrame, models: Sequence[str], y: str = "y", *,
     return attach(grid, moments).select("weight_id", "weights", mse.alias("mse"))
 
 
+#: Products of predictions and weights that a task holds at once.
+CHUNK = 4_000_000
+
+
 def search_weights_sharpe(
     wide: DataFrame, models: Sequence[str], ret: str = "ret", *, step: float = 0.1, min_weight: float = 0.0,
     limit: float = 0.5, prefix: str = "prob_", ppy: int = 252,
 ) -> DataFrame:
     """(weight_id, weights, sharpe) when the row is held if the weighted probability is above the limit.
 
-    The grid is a literal array exploded inside the task that reads a row and combined before the shuffle, which
-    carries one row per task and grid point.
+    Rows with the same predictions are one pattern with its count, sum and squares of returns. Patterns meet the grid as a matrix product
+    inside the tasks, which make the grid by its rule and give one row per grid point; neither the plan nor the shuffle holds rows x grid.
+    A row without return counts as one that earns nothing; one with a missing prediction is not held.
     """
-    grid = simplex(len(models), step, min_weight)
-    points = F.array(*[F.struct(F.lit(i).alias("weight_id"), F.array(*[F.lit(x) for x in v]).alias("weights")) for i, v in enumerate(grid)])
-    d = wide.select(ret, *[f"{prefix}{m}" for m in models], F.explode(points).alias("_g")).select("*", "_g.*")
-    mix: Column = sum((F.col(f"{prefix}{m}") * F.col("weights")[i] for i, m in enumerate(models)), F.lit(0.0))
-    x = F.when(mix > limit, F.col(ret)).otherwise(0.0)
-    std = F.stddev_samp(x)
-    return d.groupBy("weight_id", "weights").agg(
-        F.when(std > 0, F.avg(x) / F.nullif(std, F.lit(0.0)) * math.sqrt(ppy)).otherwise(0.0).alias("sharpe")
-    )
+    k = len(models)
+    p = [F.coalesce(F.col(f"{prefix}{m}").cast("double"), F.lit(float("-inf"))).alias(f"p{i}") for i, m in enumerate(models)]
+    r = F.coalesce(F.col(ret), F.lit(0.0))
+    patterns = wide.select(*p, r.alias("r")).groupBy(*[f"p{i}" for i in range(k)]).agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
+
+    def run(batches):
+        grid = np.array(simplex(k, step, min_weight)).reshape(-1, k)
+        sums, rows = np.zeros((len(grid), 2)), 0
+        width = max(1, CHUNK // max(1, len(grid)))
+        for b in batches:
+            x = np.column_stack([b.column(f"p{i}").to_numpy(zero_copy_only=False) for i in range(k)])
+            earned = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("s", "q")])
+            rows += int(b.column("n").to_numpy(zero_copy_only=False).sum())
+            known = np.isfinite(x).all(axis=1)
+            x, earned = x[known], earned[known]
+            for at in range(0, len(x), width):
+                mix = sum(np.outer(x[at : at + width, i], grid[:, i]) for i in range(k))  # in the order of the models
+                sums += (mix > limit).T.astype(float) @ earned[at : at + width]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grid), dtype=np.int32)), pa.array([rows] * len(grid), pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["weight_id", "n", "s", "q"])
+
+    total = patterns.mapInArrow(run, "weight_id int, n long, s double, q double").groupBy("weight_id").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
+    mean = F.try_divide(F.col("s"), F.col("n"))
+    variance = F.try_divide(F.col("q") - F.col("s") * mean, F.col("n") - 1)
+    sharpe = F.when(variance > 0, mean / F.sqrt(F.when(variance > 0, variance)) * math.sqrt(ppy)).otherwise(0.0)
+    grid = _grid_table(wide.sparkSession, k, step, min_weight)
+    return grid.join(total, "weight_id", "left").select("weight_id", "weights", sharpe.alias("sharpe"))
 
 
 def best_weights(searched: DataFrame, objective: str = "mse") -> DataFrame:

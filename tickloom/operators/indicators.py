@@ -7,12 +7,13 @@ the start of the series and recursive ones have functions of their own below.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import div, safe_sqrt
+from ..functions.columns import div, exp_in_range, safe_sqrt
 from ..schema import OHLCV, require
 from ..session import cut
 from .series import Blocks, By, Frame, Step, ewm, affine, rolling, running
@@ -318,13 +319,14 @@ def add_cumulative(
             "obv": ("sum", F.col("obv_")),
             "ad": ("sum", F.col("ad_")),
             "vpt": ("sum", F.col("vpt_")),
-            "_nvi": ("product", F.col("nvi_")),
+            "_nvi": ("sum", F.when(F.col("nvi_") > 0, F.log("nvi_"))),
         },
         by=by,
         ts=ts,
         blocks=blocks,
     )
-    return d.withColumn("nvi", nvi_start * F.col("_nvi")).drop("obv_", "ad_", "vpt_", "nvi_", "_nvi")
+    # a running product in logarithms: NULL where it leaves the range of doubles, instead of infinite from then on
+    return d.withColumn("nvi", exp_in_range(math.log(nvi_start) + F.col("_nvi"))).drop("obv_", "ad_", "vpt_", "nvi_", "_nvi")
 
 
 # --- recursive indicators -----------------------------------------------------------------------

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.columns import div, share
+from ..functions.columns import div, exp_in_range, share
 from .series import Blocks, By, affine, prepared, rolling, running, staged
 
 FRACTION = 0.95
@@ -47,11 +48,12 @@ def equity_curve(
     ts: str = "ts",
     blocks: Blocks | None = None,
 ) -> DataFrame:
-    """Trades and equity of a ``position`` column: adds side, fill_price, quantity, commission, value, trip, equity, ret.
+    """Trades and equity of a ``position`` column: adds side, fill_price, quantity, commission, value, trip, equity, log_equity, ret.
 
     A trip that starts with equity V and buys fraction f at P0 is worth V * (1 - f*(1+c) + f*P/P0) while open
     and V * (1 - f*(1+c) + f*(1-c)*P1/P0) once closed at P1, so equity is a running product of the factors of
-    closed trips times the factor of the open one. Three window passes over one sort; no row loop.
+    closed trips times the factor of the open one. Three window passes over one sort; no row loop. The product runs in logarithms:
+    ``log_equity`` and ``ret`` are known over any number of trips, amounts are NULL where they are beyond the range of a double.
     A buy that costs more than the cash (f*(1+c) > 1) is never filled.
     """
     f, c = fraction, commission
@@ -77,10 +79,11 @@ def equity_curve(
     gain = F.when(
         F.col("side") == "sell", 1.0 - f * (1.0 + c) + f * (1.0 - c) * F.col("fill_price") / F.col("p0_")
     ).otherwise(1.0)
-    d = staged(running(d, {"closed_": ("product", gain)}, by=by, ts=ts, blocks=blocks), blocks)
+    d = staged(running(d, {"closed_": ("sum", F.log(gain))}, by=by, ts=ts, blocks=blocks), blocks)
+    worth = math.log(capital) + F.col("closed_")
     d = running(
         d,
-        {"q_": ("last", F.when(F.col("side") == "buy", capital * F.col("closed_") * f / F.col("fill_price")))},
+        {"q_": ("last", F.when(F.col("side") == "buy", exp_in_range(worth) * f / F.col("fill_price")))},
         by=by,
         ts=ts,
         blocks=blocks,
@@ -89,14 +92,15 @@ def equity_curve(
     traded = F.col("side").isNotNull()
     d = d.withColumns(
         {
-            "equity": capital * F.col("closed_") * open_factor,
+            "log_equity": worth + F.log(open_factor),
+            "equity": exp_in_range(worth) * open_factor,
             "quantity": F.when(traded, F.col("q_")),
             "value": F.when(traded, F.col("q_") * F.col("fill_price")),
             "commission": F.when(traded, F.col("q_") * F.col("fill_price") * c),
             "trip": F.coalesce("trip", F.lit(0).cast("long")),
         }
     )
-    d = rolling(d, lambda w: {"ret": w.change("equity")}, before=1, by=by, ts=ts, blocks=blocks)
+    d = rolling(d, lambda w: {"ret": F.expm1(F.col("log_equity") - w.lag("log_equity"))}, before=1, by=by, ts=ts, blocks=blocks)
     return d.drop("prev_", "p0_", "closed_", "q_", "_rn", "_blk")
 
 

@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import div, kurt_corrected, share, sharpe, skew_corrected
+from ..functions.columns import div, kurt_corrected, log_product, product, share, sharpe, skew_corrected
 from ..session import cut
 from .series import Blocks, By, islands, rolling, running
 
@@ -24,10 +24,13 @@ def _counted(f, correct, x: str) -> Column:
 
 
 def return_metrics(df: DataFrame, *, ret: str = "ret", ppy: int = PPY, by: By = ("symbol",)) -> DataFrame:
+    """Returns compound by logarithms: ``log_return`` is known over any number of periods (NULL after a total loss), ``final_value`` and
+    ``total_return`` are NULL where they are beyond the range of a double."""
     r = F.col(ret)
     return df.groupBy(*by).agg(
-        (F.product(1.0 + r) - 1.0).alias("total_return"),
-        F.product(1.0 + r).alias("final_value"),
+        (product(1.0 + r) - 1.0).alias("total_return"),
+        product(1.0 + r).alias("final_value"),
+        log_product(1.0 + r).alias("log_return"),
         (F.pow(1.0 + F.avg(r), F.lit(float(ppy))) - 1.0).alias("annualized_return"),
         F.avg(r).alias("mean_return"),
         F.percentile(r, 0.5).alias("median_return"),

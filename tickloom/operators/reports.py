@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import div, share
+from ..functions.columns import div, product, share
 from ..session import cut
 from .metrics import PPY, all_metrics, drawdown_runs, drawdown_series
 from .series import Blocks, By, rolling, running
@@ -161,7 +161,7 @@ def trades_per_day(trades: DataFrame, *, by: By = ("symbol",), ts: str = "ts") -
 
 def monthly_returns(df: DataFrame, *, ret: str = "ret", by: By = ("symbol",), ts: str = "ts") -> DataFrame:
     return df.groupBy(*by, F.year(ts).alias("year"), F.month(ts).alias("month")).agg(
-        (F.product(1.0 + F.col(ret)) - 1.0).alias("monthly_return")
+        (product(1.0 + F.col(ret)) - 1.0).alias("monthly_return")
     )
 
 

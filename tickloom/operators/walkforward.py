@@ -6,12 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import div, share
+from ..functions.columns import MAX_LOG, div, share
 from .scale import fit_scaler, scale
 from .series import Blocks, By, number_rows
 
-MAX_LOG = 709.0  # beyond, the exponential leaves the range of doubles
-
 
 def windows(
     df: DataFrame,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import ensembles, indicators, labels, models, prediction, scale, selection
@@ -126,6 +128,34 @@ register(
     lambda s, d: ensembles.best_weights(
         ensembles.search_weights_mse(wide_predictions(s, d).withColumn("y", (F.col("ret") > 0).cast("double")), _NAMES, min_weight=0.2)
     ).select("weight_id", F.round("mse", 6).alias("mse")),
+    f"WITH {_WIDE_SQL}, g AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, {a}, {b}, {c})" for i, (a, b, c) in enumerate(ensembles.simplex(3, 0.1, 0.2)))
+    + ") AS t(weight_id, w1, w2, w3)), m AS (SELECT CAST(weight_id AS INTEGER) AS weight_id, avg(pow(y - (w1 * a + w2 * b + w3 * c), 2)) AS mse FROM k, g GROUP BY 1) "
+    "SELECT weight_id, round(mse, 6) AS mse FROM m ORDER BY m.mse, weight_id LIMIT 1",
+)
+# ten models, the whole grid of 92,378 points: seven of the ten repeat the first three, shifted
+_TEN = [f"m{i}" for i in range(10)]
+
+
+def _ten(s, d):
+    w = wide_predictions(s, d)
+    return w.select("ret", *[(F.col(f"pred_{_NAMES[i % 3]}") * (1.0 - i / 20)).alias(f"pred_{m}") for i, m in enumerate(_TEN)])
+
+
+_TEN_GRID = ", ".join("[" + ", ".join(map(str, v)) + "]" for v in ensembles.simplex(10, 0.25))
+register(
+    "q08_weights_sharpe_ten",
+    lambda s, d: show(ensembles.search_weights_sharpe(_ten(s, d), _TEN, step=0.25, limit=0.4137, prefix="pred_"), ["weight_id"], 6, ["sharpe"]),
+    f"WITH {_WIDE_SQL}, g AS (SELECT unnest(range(len(w))) AS weight_id, unnest(w) AS w FROM (SELECT [{_TEN_GRID}] AS w)), "
+    "p AS (SELECT a, b, c, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM k GROUP BY ALL), "
+    "x AS (SELECT weight_id, n, CASE WHEN " + " + ".join(f"w[{i + 1}] * ({'abc'[i % 3]} * {1.0 - i / 20})" for i in range(10)) + " > 0.4137 THEN 1 ELSE 0 END AS held, s, q FROM p, g), "
+    "t AS (SELECT weight_id, sum(n) AS n, sum(held * s) AS s, sum(held * q) AS q FROM x GROUP BY 1) SELECT CAST(weight_id AS INTEGER) AS weight_id, "
+    f"round(CASE WHEN q - s * s / n > 0 THEN s / n / sqrt((q - s * s / n) / (n - 1)) * {math.sqrt(252)!r} ELSE 0 END, 6) AS sharpe FROM t",
+)
+# ten models on the whole grid of tenths: 92,378 points
+register(
+    "q08_best_of_ten",
+    lambda s, d: ensembles.best_weights(ensembles.search_weights_sharpe(_ten(s, d), _TEN, limit=0.4137, prefix="pred_"), "sharpe").select("weight_id", F.round("sharpe", 6).alias("sharpe")),
 )
 
 

@@ -259,7 +259,7 @@ register(
 )
 register(
     "l06_equity",
-    lambda s, d: show(equity(s, d).withColumn("log_equity", F.ln("equity")), [*KEYS, "position", "trip"], 6, ["log_equity", "ret"]),
+    lambda s, d: show(equity(s, d), [*KEYS, "position", "trip"], 6, ["log_equity", "ret"]),
     f"WITH {CHAIN_SQL} SELECT symbol, ts, CAST(position AS INTEGER) AS position, trip, {rr(6, log_equity='ln(equity)', ret='ret')} FROM eq",
 )
 register(
@@ -439,7 +439,7 @@ def metric_query(name, compute, columns, *, digits=6, ctes=(), source="k", ints=
     )
 
 
-metric_query("m01_total_return", lambda s, d: metrics.return_metrics(known(s, d)), {"total_return": "product(1 + x) - 1", "final_value": "product(1 + x)"})
+metric_query("m01_total_return", lambda s, d: metrics.return_metrics(known(s, d)), {"total_return": "product(1 + x) - 1", "final_value": "product(1 + x)", "log_return": "ln(product(1 + x))"})
 metric_query("m02_annualized", lambda s, d: metrics.return_metrics(known(s, d), ppy=4), {"annualized_return": "pow(1 + avg(x), 4) - 1"}, digits=4)
 metric_query(
     "m03_means",

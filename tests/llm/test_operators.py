@@ -144,7 +144,13 @@ def test_subtrees_meet_and_bounds_hold():
         both = len(np.intersect1d(x, y))
         assert np.minimum(jaccard_join.count_vector(x), jaccard_join.count_vector(y)).sum() >= both
         if both < max(len(x), len(y)) and rule.linked(len(x), len(y), both):
-            assert len(np.intersect1d(jaccard_join.subtree_keys(x, rule), jaccard_join.subtree_keys(y, rule)))
+            for salt in (0, 7):  # any common order of the contents will do
+                first = []
+                for z in (x, y):
+                    parts = jaccard_join.contents(z, rule)
+                    order = [sorted(part.tolist(), key=lambda v: hash((v, salt)))[: rule.reach(len(z)) + 1] for part in parts[:2]]
+                    first.append({*order[0], *order[1], *parts[2].tolist()})
+                assert first[0] & first[1]
 
 
 def test_count_tree_loses_no_pair():
@@ -448,3 +454,49 @@ def test_class_lm_knows_the_end_of_very_long_texts(spark):
     (r,) = class_lm.score(d, settings).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (101, 101, 101)
     assert r.base_score == pytest.approx(100 * math.log10(51 / 105) + math.log10(2 / 105))
+
+
+def test_common_line_in_half_of_all_texts_makes_no_pairs(spark, monkeypatch):
+    """2,000 short texts, half of them with the same line, a few of them near copies: links by brute force, and few candidates."""
+    rng = random.Random(12)
+    v = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choice(v) for _ in range(25))
+    rows = []
+    for i in range(2000):
+        own = " ".join(rng.choice(v) for _ in range(rng.randint(8, 40)))
+        if i >= 1900:
+            words = rows[i - 1900][1].split(" ")
+            words[-1] = "changed"
+            own = " ".join(words)
+        elif i % 2:
+            own = f"{own} {line}"
+        rows.append((i, own))
+    rule = jaccard_join.Rule(4, 85)
+    sets = [frozenset(zip(*(t.split(" ")[k:] for k in range(4)))) for _, t in rows]
+    by = defaultdict(set)
+    for i, x in enumerate(sets):
+        for sh in x:
+            by[sh].add(i)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for i, x in enumerate(sets):
+        for j, both in Counter(j for sh in x if len(by[sh]) < 200 for j in by[sh] if j < i).items():
+            both = len(x & sets[j])
+            if 100 * both >= 85 * (len(x) + len(sets[j]) - both):
+                links += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_components(d, rule).collect()}
+    assert got == {i: find(i) for i in range(len(rows))} and links >= 50
+    kinds = "id long, n long, s1 long, s2 long, k long, keys array<long>, next array<long>, least array<long>"
+    s = d.select(F.col("doc_id").alias("id"), "text").mapInArrow(lambda it: jaccard_join._set_batches(it, rule), kinds)
+    found = jaccard_join.subtrees(s, s.select("id", "s1").limit(0))
+    pairs = found.groupBy("key").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    assert pairs < 20_000  # all texts with the line would make half a million

@@ -2,8 +2,10 @@
 
 A set's shingles are hashed into groups; the group counts are a point, and the sum of coordinate minima bounds the
 overlap of two sets from above, for two boxes by their upper corners. Boxes over unrelated long texts all overlap,
-so the tree's upper level is exact routing: sets within reach of each other differ in at most k shingles, so of the first k + 1
-filled ranges of hash space at least one has the same content in both. Each such content is a subtree.
+so the tree's upper level is exact routing: sets within reach of each other differ in at most k shingles, so at most k of the
+filled ranges of hash space differ in content. Whatever common order the contents have, the first that both sets share is among the
+k + 1 first of each; the order is by how many sets hold a content, rare ones first, so a line that many texts share leads
+nowhere unless the texts hardly have anything else. Each content that several sets hold among their first is a subtree.
 
 1. Equal sets are one class, named by its smallest doc_id.
 2. Every class is compared with the smallest class that it shares a subtree with, pruned by the bound and verified on the texts.
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickloom.session import stage
 
@@ -35,7 +37,11 @@ LEAF, FAN = 32, 8
 SLICE = 256  # comparisons of one class beyond which they are dealt out
 BLOCK = 2048  # classes of a subtree that one task joins with as many others
 
-SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+SPARE = 5  # ranges: a fourth more than a set of the size class may differ in, so that common contents can be passed over
+
+SETS = pa.schema(
+    [("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("k", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("keys", "next", "least"))]
+)
 POINTS = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("point", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -65,26 +71,25 @@ def shingle_sets(batch: pa.RecordBatch, rule: Rule, hashes: WordHashes) -> list[
     return out
 
 
-def subtree_keys(x: np.ndarray, rule: Rule) -> np.ndarray:
-    """Subtrees of a set. Two different sets that link have one in common.
+def contents(x: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contents of the filled ranges of a set: in its size class, in the next one if a larger partner may be there, and its smallest shingles.
 
-    Sizes fall into classes of a factor of two, each with its own ranges; a set also enters the next class if a larger partner
-    may be there. A set with no more filled ranges than it may differ in adds the subtrees of its smallest shingles.
+    Sizes fall into classes of a factor of two, each with its own ranges. The smallest shingles are given if in some class no more
+    ranges are filled than the set may differ in; a set that no other can be linked with has nothing.
     """
     n, k = len(x), rule.reach(len(x))
-    if k == 0:
-        return np.zeros(0, dtype=np.uint64)  # a different set is out of reach
-    c = n.bit_length()
-    out = []
-    for at in (c, c + 1) if 100 * n // rule.percent >= 1 << c else (c,):
-        ranges = rule.reach((1 << at) - 1) + 1
-        g = (x >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        content = np.add.reduceat(mix64(x), starts)[: k + 1]
-        out.append(mix64(content ^ mix64(g[starts[: k + 1]] * np.uint64(64) + np.uint64(at))))
-        if len(starts) <= k:
-            out.append(mix64(x[: n - -(-rule.percent * n // 100) + 1] ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.unique(np.concatenate(out))
+    out = [np.zeros(0, dtype=np.uint64) for _ in range(3)]
+    if k:
+        c = n.bit_length()
+        for i, at in enumerate((c, c + 1) if 100 * n // rule.percent >= 1 << c else (c,)):
+            ranges = (rule.reach((1 << at) - 1) + 1) * SPARE // (SPARE - 1)
+            g = (x >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            content = np.add.reduceat(mix64(x), starts)
+            out[i] = mix64(content ^ mix64(g[starts] * np.uint64(64) + np.uint64(at)))
+            if len(starts) <= k:
+                out[2] = mix64(x[: n - -(-rule.percent * n // 100) + 1] ^ np.uint64(0x5851F42D4C957F2D))
+    return tuple(out)
 
 
 def count_vector(x: np.ndarray) -> np.ndarray:
@@ -143,10 +148,13 @@ def _set_batches(batches, rule: Rule):
     for batch in batches:
         own = shingle_sets(batch, rule, hashes)
         s1, s2 = ([int(mix64(x ^ salt).sum().view(np.int64)) for x in own] for salt in (np.uint64(0), other))
-        keys = [subtree_keys(x, rule).view(np.int64) for x in own]
-        ends = np.cumsum([0, *map(len, keys)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.int64)])))
-        yield record(SETS, batch.column("id"), list(map(len, own)), s1, s2, lists)
+        keys = [contents(x, rule) for x in own]
+        lists = []
+        for part in range(3):
+            flat = [x[part].view(np.int64) for x in keys]
+            ends = np.cumsum([0, *map(len, flat)])
+            lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, dtype=np.int64)]))))
+        yield record(SETS, batch.column("id"), list(map(len, own)), s1, s2, [rule.reach(len(x)) for x in own], *lists)
 
 
 def _point_batches(batches, rule: Rule):
@@ -261,6 +269,25 @@ def _united(comps: DataFrame, links: DataFrame) -> DataFrame:
     return stage(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
 
 
+def subtrees(sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """(key, rep): the subtrees of each set that is not a copy of another. A set has the k + 1 rarest of its contents in each size class.
+
+    Contents that no other set has lead nowhere, but count among the rarest. Sets are told apart by (id, s1), as an id may have several texts.
+    """
+    firsts = sets.filter("k > 0").join(stage(copies.distinct(), "copies"), ["id", "s1"], "left_anti")
+    part = lambda c, kind: F.transform(c, lambda x: F.struct(x.alias("key"), F.lit(kind).alias("kind"), F.size(c).alias("filled")))
+    entries = firsts.select("id", "s1", "k", F.explode(F.concat(part("keys", 0), part("next", 1), part("least", 2))).alias("e"))
+    entries = entries.select("id", "s1", "k", "e.*")
+    common = entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    # sort-merge: neither side has a size bound, and skewed partitions can be split
+    found = entries.join(common.hint("merge"), "key")
+    own = W.partitionBy("id", "s1", "kind")
+    nth = F.row_number().over(own.orderBy("held", "key"))
+    alone = F.col("filled") - F.count(F.lit(1)).over(own)
+    first = found.select("key", "id", "kind", "k", nth.alias("nth"), alone.alias("alone"))
+    return first.filter((F.col("kind") == 2) | (F.col("nth") + F.col("alone") <= F.col("k") + 1)).select("key", F.col("id").alias("rep")).distinct()
+
+
 def similar_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, n_shingles, component_id): every row, its set's size and the smallest doc_id that links lead to, itself included.
 
@@ -271,14 +298,11 @@ def similar_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     tasks = shuffle_tasks(docs.sparkSession)
     d = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = stage(d.mapInArrow(lambda it: _set_batches(it, rule), "id long, n long, s1 long, s2 long, keys array<long>"), "sets")
+    kinds = "id long, n long, s1 long, s2 long, k long, keys array<long>, next array<long>, least array<long>"
+    sets = stage(d.mapInArrow(lambda it: _set_batches(it, rule), kinds), "sets")
     classes = sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    members = stage(sets.join(classes, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
-    keys = sets.select(F.explode("keys").alias("key"), "id")
-    shared = keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("key")
-    # sort-merge: neither side has a size bound, and skewed partitions can be split
-    found = keys.join(shared.hint("merge"), "key").join(members.select("id", "rep").distinct(), "id").select("key", "rep").distinct()
-    buckets = stage(found, "subtrees")
+    members = stage(sets.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("id", "n", "s1", F.coalesce("rep", "id").alias("rep")), "members")
+    buckets = stage(subtrees(sets, members.filter("id <> rep").select("id", "s1")), "subtrees")
     centres = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("key", "a")
     star = stage(buckets.join(centres, "key").select("key", F.col("rep").alias("id"), "a"), "stars")
     nearest = stage(star.filter("id > a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "pairs")
@@ -296,6 +320,6 @@ def similar_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     survivors = dealt.mapInArrow(lambda it: _tree_batches(it, rule), "a long, b long").distinct()
     survivors = stage(survivors.join(nearest.unionByName(others), ["a", "b"], "left_anti"), "survivors")
     comps = _united(comps, stage(_verify(survivors, held, rule), "links"))
-    out = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    out = members.drop("s1").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))

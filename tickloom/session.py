@@ -57,4 +57,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and go on from the files, with pruning and statistics."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_in = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a staged table once everything that reads it has itself been written."""
+    sc = staged.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(staged.staged_in)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

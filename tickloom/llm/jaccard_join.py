@@ -25,14 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tickloom.session import stage
+from tickloom.session import discard, stage
 
 from .common import WordHashes, grams, mix64, record, shuffle_tasks, texts
 from .graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 NULL_ID = -(1 << 63)
-COORDINATES = 64
+COORDINATES = 256
 LEAF, FAN = 32, 8
 SLICE = 256  # comparisons of one class beyond which they are dealt out
 BLOCK = 2048  # classes of a subtree that one task joins with as many others
@@ -190,7 +190,7 @@ def _verify_batches(batches, rule: Rule):
 
 
 def _tree_batches(batches, rule: Rule):
-    """Rows come sorted by (key, p, q): join block p with block q, between components."""
+    """Rows come sorted by (key, p, q): join block p with block q, between components. A pair is given in its smallest common subtree."""
     held: list[tuple] = []
     at = None
 
@@ -201,11 +201,12 @@ def _tree_batches(batches, rule: Rule):
             if not own:
                 return
             ids, comps, sizes = (np.array([r[k] for r in own], dtype=np.int64) for k in (1, 2, 3))
-            sides.append((ids, comps, CountTree(np.array([np.frombuffer(r[4], dtype="<i4") for r in own], dtype=np.int64), sizes)))
-        (ia, ca, ta), (ib, cb, tb) = sides
+            points = np.array([np.frombuffer(r[4], dtype="<i4") for r in own], dtype=np.int64)
+            sides.append((ids, comps, [set(r[5]) for r in own], CountTree(points, sizes)))
+        (ia, ca, ka, ta), (ib, cb, kb, tb) = sides
         for x, y in ta.join(tb, rule):
-            apart = ca[x] != cb[y]
-            a, b = ia[x[apart]], ib[y[apart]]
+            here = [i for i in np.flatnonzero(ca[x] != cb[y]).tolist() if min(ka[x[i]] & kb[y[i]]) == at[0]]
+            a, b = ia[x[here]], ib[y[here]]
             if len(a):
                 yield record(LINKS, np.minimum(a, b), np.maximum(a, b))
 
@@ -233,7 +234,7 @@ def _verify(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
-    """(key, p, q, side, id, comp, n, point): the rows of each subtree in blocks, and the pairs of blocks that hold different components.
+    """(key, p, q, side, id, comp, n, point, keys): the rows of each subtree in blocks, and the pairs of blocks that hold different components.
 
     A component of more than BLOCK rows has blocks of its own, which need no comparison among each other.
     """
@@ -248,7 +249,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     pairs = p.join(q, "key").filter((F.col("p") < F.col("q")) & ~(F.col("p.c").isNotNull() & F.col("p.c").eqNullSafe(F.col("q.c"))) | (F.col("p") == F.col("q")) & (F.col("kinds") > 1))
     pairs = pairs.select("key", "p", "q")
     fields = ["key", F.to_json("p").alias("p"), F.to_json("q").alias("q")]
-    side = lambda s, c: pairs.join(d.withColumnRenamed("block", c), ["key", c]).select(*fields, F.lit(s).alias("side"), "id", "comp", "n", "point")
+    side = lambda s, c: pairs.join(d.withColumnRenamed("block", c), ["key", c]).select(*fields, F.lit(s).alias("side"), "id", "comp", "n", "point", "keys")
     return side(0, "p").unionByName(side(1, "q"))
 
 
@@ -272,20 +273,24 @@ def _united(comps: DataFrame, links: DataFrame) -> DataFrame:
 def subtrees(sets: DataFrame, copies: DataFrame) -> DataFrame:
     """(key, rep): the subtrees of each set that is not a copy of another. A set has the k + 1 rarest of its contents in each size class.
 
-    Contents that no other set has lead nowhere, but count among the rarest. Sets are told apart by (id, s1), as an id may have several texts.
+    Contents that no other set has lead nowhere, but count among the rarest.
     """
     firsts = sets.filter("k > 0").join(stage(copies.distinct(), "copies"), ["id", "s1"], "left_anti")
-    part = lambda c, kind: F.transform(c, lambda x: F.struct(x.alias("key"), F.lit(kind).alias("kind"), F.size(c).alias("filled")))
-    entries = firsts.select("id", "s1", "k", F.explode(F.concat(part("keys", 0), part("next", 1), part("least", 2))).alias("e"))
-    entries = entries.select("id", "s1", "k", "e.*")
+    # kind, k and number of contents in one long: this table is the largest that is shuffled. Texts of one id that agree in all
+    # three are ranked together, which never keeps less than ranking them apart.
+    place = lambda c, kind: F.shiftleft(F.lit(kind).cast("long"), 60).bitwiseOR(F.shiftleft("k", 30)).bitwiseOR(F.size(c).cast("long"))
+    part = lambda c, kind: F.transform(c, lambda x: F.struct(x.alias("key"), place(c, kind).alias("place")))
+    entries = firsts.select("id", F.explode(F.concat(part("keys", 0), part("next", 1), part("least", 2))).alias("e")).select("id", "e.*")
     common = entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     # sort-merge: neither side has a size bound, and skewed partitions can be split
     found = entries.join(common.hint("merge"), "key")
-    own = W.partitionBy("id", "s1", "kind")
+    own = W.partitionBy("id", "place")
     nth = F.row_number().over(own.orderBy("held", "key"))
-    alone = F.col("filled") - F.count(F.lit(1)).over(own)
-    first = found.select("key", "id", "kind", "k", nth.alias("nth"), alone.alias("alone"))
-    return first.filter((F.col("kind") == 2) | (F.col("nth") + F.col("alone") <= F.col("k") + 1)).select("key", F.col("id").alias("rep")).distinct()
+    low = F.lit((1 << 30) - 1).cast("long")
+    alone = F.col("place").bitwiseAND(low) - F.count(F.lit(1)).over(own)
+    first = found.select("key", F.col("id").alias("rep"), "place", nth.alias("nth"), alone.alias("alone"))
+    k, kind = F.shiftright("place", 30).bitwiseAND(low), F.shiftright("place", 60)
+    return first.filter((kind == 2) | (F.col("nth") + F.col("alone") <= k + 1)).select("key", "rep").distinct()
 
 
 def similar_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -303,6 +308,7 @@ def similar_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     classes = sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     members = stage(sets.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("id", "n", "s1", F.coalesce("rep", "id").alias("rep")), "members")
     buckets = stage(subtrees(sets, members.filter("id <> rep").select("id", "s1")), "subtrees")
+    discard(sets)
     centres = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("key", "a")
     star = stage(buckets.join(centres, "key").select("key", F.col("rep").alias("id"), "a"), "stars")
     nearest = stage(star.filter("id > a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "pairs")
@@ -315,7 +321,8 @@ def similar_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     comps = _united(comps, stage(_verify(others, held, rule), "links"))
     crowd = _apart(crowd.filter("m > 2").select("key", "id"), comps, "open")
     points = held.join(crowd.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(lambda it: _point_batches(it, rule), "id long, n int, point binary")
-    rows = crowd.select("key", "id", "comp").join(points, "id")
+    # the open subtrees of each class: at most as many as it has contents
+    rows = crowd.select("key", "id", "comp").join(points, "id").join(crowd.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
     dealt = _block_pairs(rows).repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q")
     survivors = dealt.mapInArrow(lambda it: _tree_batches(it, rule), "a long, b long").distinct()
     survivors = stage(survivors.join(nearest.unionByName(others), ["a", "b"], "left_anti"), "survivors")

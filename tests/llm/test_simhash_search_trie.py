@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tickloom.llm import prefix_trie, ranked_search, simhash
+from tickloom.llm import nn_graph, prefix_trie, ranked_search, simhash
 
 CLASH = ("fp", "group", "seg", "key", "h1", "n", "m", "item", "pos", "ids", "chars", "end_id", "slice", "terms")
 
@@ -262,3 +262,35 @@ def test_empty_tables(spark, docs):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     trie = prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.coded_turns(empty)))
     assert trie.nodes.collect() == [] and prefix_trie.end_digests(trie.ends).collect() == []
+
+
+def clustered(rng, n, dim):
+    centres = rng.normal(size=(40, dim))
+    x = centres[rng.integers(0, 40, n)] + 0.4 * rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("norms", ["outlier", "lognormal", "wide", "beyond float"])
+def test_neighbours_are_found_whatever_the_norms(spark, norms):
+    rng = np.random.default_rng(3)
+    x = clustered(rng, 1500, 24)
+    scale = {
+        "outlier": np.where(np.arange(1500) == 77, 10_000.0, 1.0), "lognormal": np.exp(rng.normal(0, 1, 1500)),
+        "wide": 10.0 ** rng.uniform(-6, 6, 1500), "beyond float": np.where(np.arange(1500) % 50 == 7, 1e120, 1e-30),
+    }[norms]
+    x = x * scale[:, None]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    settings = nn_graph.Settings(few=50, block=24 * 8 * 30)  # several graphs, and small bands in several blocks
+    got = defaultdict(list)
+    for r in nn_graph.nearest(d, settings=settings).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 1500, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = set(np.argsort(-s, kind="stable")[:20].tolist())
+        rows = sorted(got[q])
+        assert [r for r, _, _ in rows] == list(range(1, 21)) and all(np.isclose(v, s[i], rtol=1e-12) for _, i, v in rows)
+        assert all((a[2], -a[1]) >= (b[2], -b[1]) for a, b in zip(rows, rows[1:]))
+        hits += len(best & {i for _, i, _ in rows})
+    assert hits / (75 * 20) >= 0.9

@@ -6,8 +6,9 @@ near_duplicates of each group of linked documents (five-word shingles, similarit
 mixture         each source's documents are repeated or thinned to its target; a document taken k times is k rows
 byte_bpe        the token ids of what is left, and the decoded text
 
-Null ids and texts, empty tables and further columns pass through as the operators define. Rows that share a doc_id stand or
-fall together in near_duplicates, and rows that are equal in all of doc_id and text are one document there.
+Null ids and texts, empty tables and further columns pass through as the operators define. In the last three stages a document is
+told by a 64-bit hash of its doc_id and text, so rows that share an id, or have none, are judged each; rows that are equal in both are copies
+of one document, of which one row stays. Of linked documents with one doc_id the one of the smallest hash stays, of null ids only if there is no other.
 """
 
 from __future__ import annotations
@@ -29,18 +30,32 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.filter_lines(docs, bitmaps).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with ``row_key_``, a hash of id and text."""
+    return docs.withColumn("row_key_", F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.similar_components(docs, jaccard_join.Rule(words=5, percent=80))
-    # the ids that go: bounded by nothing, so a sort-merge join
-    go = found.filter("doc_id IS NOT NULL AND (component_id IS NULL OR component_id <> doc_id)").select("doc_id").distinct()
-    return docs.join(go.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    found = jaccard_join.similar_components(rows.select(F.col("row_key_").alias("doc_id"), "text"), jaccard_join.Rule(words=5, percent=80))
+    found = stage(found.select(F.col("doc_id").alias("row_key_"), F.col("component_id").alias("component")).distinct(), "components")
+    ids = stage(rows.select("row_key_", "doc_id"), "row-keys")
+    order = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("row_key_").alias("key"))
+    stays = ids.join(found, "row_key_").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.key").alias("row_key_"))
+    # what goes is bounded by nothing, so sort-merge joins
+    go = found.select("row_key_").join(stays.hint("merge"), "row_key_", "left_anti")
+    left = rows.join(go.hint("merge"), "row_key_", "left_anti")
+    again = stage(ids.groupBy("row_key_").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row_key_"), "copies")
+    once = left.join(again, "row_key_", "left_anti").unionByName(left.join(again, "row_key_", "left_semi").dropDuplicates(["row_key_"]))
+    return once.select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    took = mixing.mix(docs, weights=(5, 2, 1), max_repeat=3).filter("copies > 0")
-    took = took.groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "t_id")
-    d = docs.join(took.hint("merge"), F.col("doc_id").eqNullSafe(F.col("t_id")))
-    return d.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_")).drop("copy_")
+    rows = keyed(docs)
+    took = mixing.mix(rows.select(F.col("row_key_").alias("doc_id"), "text", "source"), weights=(5, 2, 1), max_repeat=3).filter("copies > 0")
+    took = took.groupBy("doc_id").agg(F.max("copies").alias("copies")).select(F.col("doc_id").alias("row_key_"), F.col("copies").alias("row_copies_"))
+    d = rows.join(took.hint("merge"), "row_key_")
+    return d.select(*docs.columns, F.explode(F.sequence(F.lit(1), "row_copies_")).alias("copy_")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,10 +45,16 @@ def source_targets(sizes: dict[str | None, int], weights: Sequence[float] = (5,
     return out
 
 
+#: Sums that the exchange of documents looks at on each side of the budget; all that matter while the largest size is under 180.
+WINDOW = 1 << 17
+
+
 def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many documents of each size to take so that their sizes add up to ``budget`` or, failing that, come near it.
+    """How many documents of each size to take so that their sizes add up to ``budget`` or, failing that, come nearest to it.
 
-    Work and memory follow the number of distinct sizes and the largest size, not the number of documents.
+    A proportional start is filled up by a bounded knapsack over additions. If that misses the budget, a second one over additions and
+    removals looks for the nearest sum: some best choice differs from any start near the budget in at most 4 M + 1 documents, M the
+    largest size, since in a longer exchange some part sums to zero. Work and memory follow the sizes, not the number of documents.
     """
     total = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if total <= budget:
@@ -60,13 +66,37 @@ def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list
         more = min(counts[i] - take[i], left // sizes[i])
         take[i] += more
         left -= more * sizes[i]
-    # one step back for each size keeps the rest solvable: give back a document of the largest size taken
-    for i in order:
-        if left and take[i]:
-            take[i] -= 1
-            left += sizes[i]
-            break
-    return _knapsack(sizes, counts, take, left)
+    filled = _knapsack(sizes, counts, list(take), left)
+    rest = budget - sum(s * t for s, t in zip(sizes, filled, strict=True))
+    return filled if not rest else _exchange(sizes, counts, filled, rest)
+
+
+def _exchange(sizes: Sequence[int], counts: Sequence[int], take: list[int], left: int) -> list[int]:
+    """Additions and removals that bring the sum nearest to ``left`` more than it is, on a bit set of changes around zero."""
+    most = max(sizes)
+    around = min(4 * most * (most + 1), WINDOW) + abs(left)
+    steps, reach, goal = [], 1 << around, around + left
+    mask = (1 << (2 * around + 1)) - 1
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
+        for sign, free in ((1, counts[i] - take[i]), (-1, take[i])):
+            free, chunk = min(free, 4 * most + 1, around // sizes[i]), 1
+            while free > 0 and not reach >> goal & 1:
+                k = min(chunk, free)
+                move = k * sizes[i]
+                grown = (reach | (reach << move if sign > 0 else reach >> move)) & mask
+                if grown != reach:
+                    steps.append((i, sign * k, reach))
+                    reach = grown
+                free, chunk = free - k, chunk * 2
+    below = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = reach >> goal
+    over = goal + (above & -above).bit_length() - 1 if above else None
+    at = below if over is None or 0 <= goal - below <= over - goal else over
+    for i, k, before in reversed(steps):
+        if not before >> at & 1:
+            take[i] += k
+            at -= k * sizes[i]
+    return take
 
 
 def _knapsack(sizes: Sequence[int], counts: Sequence[int], take: list[int], left: int) -> list[int]:

@@ -22,7 +22,7 @@ from .common import int_lists, record
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 DECODED = pa.schema([*ENCODED, ("decoded", pa.binary())])
-PORTION = 24_000_000  # characters of text whose pieces are one corpus; a longer text is a corpus of its own
+PORTION = 12_000_000  # characters of text whose pieces are one corpus; a longer text is a corpus of its own
 LONG = 64  # bytes; longer pieces are replayed one by one
 ROWS = 512  # documents handed on at a time
 

@@ -44,10 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = ids.join(found, "row_key_").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.key").alias("row_key_"))
     # what goes is bounded by nothing, so sort-merge joins
     go = found.select("row_key_").join(stays.hint("merge"), "row_key_", "left_anti")
-    left = rows.join(go.hint("merge"), "row_key_", "left_anti")
-    again = stage(ids.groupBy("row_key_").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row_key_"), "copies")
-    once = left.join(again, "row_key_", "left_anti").unionByName(left.join(again, "row_key_", "left_semi").dropDuplicates(["row_key_"]))
-    return once.select(docs.columns)
+    # equal rows are one before anything is dealt, and the join finds them dealt by its key: documents move once
+    return rows.dropDuplicates(["row_key_"]).join(go.hint("merge"), "row_key_", "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

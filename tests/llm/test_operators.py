@@ -335,7 +335,7 @@ def test_class_lm(spark, docs, empty):
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     c = Counter(w for d, ws in toks if not held(d) for w in ws)
     n, v = c.total(), len(c)
-    settings = class_lm.Settings(classes=6, tails=4, cluster=40, lookup=200, rounds=4)
+    settings = class_lm.Settings(classes=6, tails=4, cluster=40, lookup=200)
     want = Counter((d, held(d), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for d, ws in toks)
     got = class_lm.score(docs, settings).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
@@ -458,7 +458,7 @@ def test_class_lm_clusters_words_below_the_share(spark):
     nouns, verbs = ([f"{x}{i}zz" for i in range(40)] for x in "nv")
     texts = [" ".join(rng.choice(verbs if j % 2 else nouns) for j in range(30)) for _ in range(150)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    settings = class_lm.Settings(classes=4, tails=2, cluster=20, lookup=50, rounds=1)
+    settings = class_lm.Settings(classes=4, tails=2, cluster=20, lookup=50)
     model, counts = class_lm.train(d.filter(~class_lm.held_out(F.col("doc_id"))), settings)
     kinds = {bytes(w): model.class_of(bytes(w)) for w, _ in counts.collect()}
     assert len(set(kinds.values())) > 2  # all 80 words shared one tail class

@@ -3,7 +3,8 @@
 Counts of all words and of all neighbouring pairs come from all training documents. All words seen ``least`` times are clustered
 by exchange: each round counts every word's neighbours by class, and words move to the class that raises the likelihood most.
 Words above a share of all tokens make the first classes by themselves; then the others, begun in classes by their last bytes, take
-part and all go on until few move. Classes are a table, joined to the pairs each round. Words seen less often stay in the class of their last bytes.
+part and all go on until few move. Words lie in shards by hash, and pairs in chunks by the shards of both words, as arrays: a round reads the chunks
+with the classes of two shards each, and shuffles sums by word and class only. Words seen less often stay in the class of their last bytes.
 Scoring resolves the words above a smaller share by a broadcast dictionary, bounded by it; the others' counts and classes come by a join.
 """
 
@@ -19,16 +20,25 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tickloom.session import stage
+from tickloom.session import discard, stage
 
 from .common import LOWER_BYTES, record, texts
 
 END = b""  # closes every text; no word is empty
+SHARD, SHARDS = 1 << 16, 256  # words of a shard, as long as there are no more than so many shards
+SUB = 1 << 13  # words of a shard whose neighbours one task sums up
+CHUNK = 1 << 16  # pairs of a row
+PHASE = 12  # bits of a class; the phase of its word lies above
+SYMBOL = 1 << 62  # from here on, symbols of words that have no number yet
 COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-MOVES = pa.schema([("w", pa.int64()), ("to", pa.int32())])
+CHUNKS = pa.schema([("sa", pa.int32()), ("sub", pa.int32()), ("sb", pa.int32()), *((c, pa.binary()) for c in ("a", "b", "n"))])
+CLASSES = pa.schema([("shard", pa.int32()), ("of", pa.binary()), ("moved", pa.int64())])
+NEAR = pa.schema([("shard", pa.int32()), ("sub", pa.int32()), *((c, pa.binary()) for c in ("own", "codes", "n")), ("m", pa.list_(pa.int64()))])
+MOVES = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("to", pa.binary())])
+NAMED = pa.schema([("id", pa.int64()), ("c", pa.int32())])
 RARE = pa.struct([("word", pa.binary()), ("at", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
 SCORED = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -39,8 +49,8 @@ FOUND = pa.schema([("row", pa.int64()), ("known", pa.int64()), ("counted", pa.fl
 
 @dataclass(frozen=True)
 class Settings:
-    """``classes`` by exchange and ``tails`` by last bytes; words seen ``least`` times or with one token in ``cluster`` are clustered. The
-    latter make the first classes in ``rounds`` rounds; then all move between all classes, the others from their tail class, until under
+    """``classes`` by exchange and ``tails`` (at most 256) by last bytes, together below 4,096; words seen ``least`` times or with one token in ``cluster`` are
+    clustered. The latter make the first classes; then all move between all classes, the others from their tail class. Both go on until under
     ``delta`` of them do in three rounds or the likelihood no longer rises. Words with one token in ``lookup``, at most that many, are resolved without a join. ``pull`` is the weight of a
     class's own share in its transitions."""
 
@@ -48,7 +58,6 @@ class Settings:
     tails: int = 32
     cluster: int = 8192
     lookup: int = 1 << 17
-    rounds: int = 9
     pull: float = 10.0
     least: int = 5
     delta: float = 0.02
@@ -87,13 +96,13 @@ def tail_column(settings: Settings) -> Column:
 
 
 def symbol(word: bytes, settings: Settings) -> int:
-    """Number of a word below the lookup share: past those above it, 56 bits of a hash and the tail class."""
-    return settings.lookup + 2 + (int.from_bytes(hashlib.md5(word).digest()[:7], "big") * settings.tails + zlib.crc32(word[-2:]) % settings.tails)
+    """Symbol of a word below the lookup share: 54 bits of a hash and the tail class."""
+    return SYMBOL + (int.from_bytes(hashlib.md5(word).digest()[:7], "big") >> 2) * settings.tails + zlib.crc32(word[-2:]) % settings.tails
 
 
 def symbol_column(settings: Settings) -> Column:
-    bits = F.conv(F.substring(F.md5("word"), 1, 14), 16, 10).cast("long")
-    return bits * settings.tails + (tail_column(settings) - settings.classes) + (settings.lookup + 2)
+    bits = F.shiftright(F.conv(F.substring(F.md5("word"), 1, 14), 16, 10).cast("long"), 2)
+    return bits * settings.tails + (tail_column(settings) - settings.classes) + SYMBOL
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -135,22 +144,6 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def mover(matrix: np.ndarray, classes: int):
-    """For each word (w, own, its neighbours) the class that raises the likelihood most."""
-
-    def moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = batch.column("near")
-                side, c, n = (near.flatten().field(k).to_numpy() for k in range(3))
-                ends = np.cumsum([0, *near.value_lengths().to_pylist()]).tolist()
-                ws, owns = batch.column("w").to_pylist(), batch.column("own").to_pylist()
-                to = [best_class(own, side[a:b], c[a:b], n[a:b], matrix, classes) for own, a, b in zip(owns, ends, ends[1:])]
-                yield record(MOVES, ws, to)
-
-    return moves
-
-
 def best_class(own: int, side: np.ndarray, c: np.ndarray, n: np.ndarray, matrix: np.ndarray, classes: int) -> int:
     """The class that raises the likelihood most, of a word with ``n`` neighbours in ``c`` after (side 1) or before it (0); side 2: pairs
     of the word with itself."""
@@ -176,98 +169,180 @@ def best_class(own: int, side: np.ndarray, c: np.ndarray, n: np.ndarray, matrix:
     return to if gain[to] > gain[own] + 1e-6 else own
 
 
-def exchange(pairs: DataFrame, classes: list[int], settings: Settings) -> list[int]:
-    """The class of each word above the first share. ``pairs`` has (a, b, n); symbols past ``classes`` are tail classes.
+def place_column(column: str) -> tuple[Column, Column]:
+    """(shard, place in it) of a resolved symbol; tail classes are the shard TAILS, told by a null here."""
+    x = F.col(column)
+    return F.when(x >= 0, F.shiftright(x, 32).cast("int")), F.when(x >= 0, x.bitwiseAND(F.lit((1 << 32) - 1))).otherwise(-1 - x).cast("long")
 
-    Word 0 is the end of a text and keeps class 0 to itself. A third of the words may move in a round, so neighbours seldom move at once.
-    """
-    spark = pairs.sparkSession
-    k = settings.classes
-    size = k + settings.tails
-    at = list(classes)
-
-    def lookup() -> DataFrame:
-        return spark.createDataFrame([(w, c) for w, c in enumerate([*at, *range(k, size)])], "w int, c int")
-
-    def matrix() -> np.ndarray:
-        a, b = lookup().toDF("a", "ca"), lookup().toDF("b", "cb")
-        m = np.zeros((size, size))
-        for x, y, n in pairs.join(F.broadcast(a), "a").join(F.broadcast(b), "b").groupBy("ca", "cb").agg(F.sum("n")).collect():
-            m[x, y] = n
-        return m
-
-    for turn in range(settings.rounds if len(at) > 1 else 0):
-        now = matrix()
-        own = lookup().filter((F.col("w") > 0) & (F.col("w") < len(at)) & (F.pmod(F.xxhash64("w"), F.lit(3)) == turn % 3)).toDF("w", "own")
-        by = lookup().toDF("v", "c")
-        side = lambda w, v, s: (
-            pairs.filter("a <> b").select(F.col(w).alias("w"), F.col(v).alias("v"), "n").join(F.broadcast(own), "w").join(F.broadcast(by), "v")
-            .groupBy("w", "own", "c").agg(F.sum("n").alias("n")).select("w", "own", F.lit(s).alias("side"), "c", "n")
-        )
-        self_ = pairs.filter("a = b").select(F.col("a").alias("w"), "n").join(F.broadcast(own), "w").select("w", "own", F.lit(2).alias("side"), F.col("own").alias("c"), "n")
-        context = side("a", "b", 1).unionByName(side("b", "a", 0)).unionByName(self_)
-        for w, to in moved(context, now, k).collect():
-            at[w] = to
-    return at
-
-
-def moved(context: DataFrame, matrix: np.ndarray, classes: int) -> DataFrame:
-    """(w, to) of all words in ``context`` (w, own, side, c, n), a row for each class beside a word."""
-    near = context.groupBy("w", "own").agg(F.collect_list(F.struct(F.col("side").cast("int"), F.col("c").cast("int"), "n")).alias("near"))
-    return near.select(F.col("w").cast("long"), "own", "near").mapInArrow(mover(matrix, classes), "w long, to int")
+
+def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (sa, sub, sb): packs the pairs of each into rows of CHUNK at most."""
+    at, held, size = None, [], 0
+
+    def packed():
+        a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[order]
+        for i in range(0, len(a), CHUNK):
+            part = slice(i, i + CHUNK)
+            yield record(CHUNKS, *([x] for x in at), *([x[part].astype(t).tobytes()] for x, t in ((a, "<u2"), (b, "<u4"), (n, "<i8"))))
+
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("sa", "sub", "sb")], axis=1)
+        a, b, n = (batch.column(c).to_numpy() for c in ("la", "lb", "n"))
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+            if j > i:
+                key = tuple(keys[i].tolist())
+                if key != at or size > 16 * CHUNK:
+                    if held:
+                        yield from packed()
+                    at, held, size = key, [], 0
+                held.append((a[i:j], b[i:j], n[i:j]))
+                size += j - i
+    if held:
+        yield from packed()
+
+
+def class_batches(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (shard, place): the classes of each shard's words as one row, with the phase in which they may move."""
+    at, held = None, []
+    for batch in batches:
+        for shard, c, phase in zip(*(batch.column(x).to_pylist() for x in ("shard", "c", "phase")), strict=True):
+            if shard != at:
+                if held:
+                    yield record(CLASSES, [at], [np.array(held, dtype="<u2").tobytes()], [0])
+                at, held = shard, []
+            held.append(phase << PHASE | c)
+    if held:
+        yield record(CLASSES, [at], [np.array(held, dtype="<u2").tobytes()], [0])
+
+
+def movable(of: np.ndarray, places: np.ndarray, phase: int, turn: int) -> np.ndarray:
+    """Which words may move: those of the phase and earlier ones, a third in each round. Phase 0 never moves."""
+    own = of[places] >> PHASE
+    return (own > 0) & (own <= phase) & (places % 3 == turn % 3)
+
+
+def near_batches(batches: Iterator[pa.RecordBatch], size: int, phase: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """Sums over chunks with the classes of both sides: (shard, sub, own, codes, n), a code being word x place of a class beside it; and the
+    counts of neighbouring classes, one row a task. Places: classes after the word, classes before it, the word itself."""
+    width, mask = 2 * size + 1, (1 << PHASE) - 1
+    matrix = np.zeros(size * size)
+
+    def sums(shard: int, of: np.ndarray, code: np.ndarray, n: np.ndarray):
+        names, inverse = np.unique(code, return_inverse=True)
+        total = np.bincount(inverse, n, len(names)).astype("<i8")
+        subs = names // (SUB * width)
+        for sub in np.unique(subs).tolist():
+            i, j = np.searchsorted(subs, (sub, sub + 1))
+            own = of[sub * SUB : (sub + 1) * SUB]
+            yield shard, sub, own.tobytes(), (names[i:j] - sub * SUB * width).astype("<u4").tobytes(), total[i:j].tobytes(), None
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            sa, sub, sb, *blobs = (batch.column(c)[r].as_py() for c in ("sa", "sub", "sb", "a", "b", "n", "of_a", "of_b"))
+            a, b, n, of_a, of_b = (np.frombuffer(x, dtype=t) for x, t in zip(blobs, ("<u2", "<u4", "<i8", "<u2", "<u2"), strict=True))
+            a, b = a.astype(np.int64) + sub * SUB, b.astype(np.int64)
+            ca, cb = (of_a[a] & mask).astype(np.int64), (of_b[b] & mask).astype(np.int64)
+            matrix += np.bincount(ca * size + cb, n, size * size)
+            self_ = (a == b) & (sa == sb)
+            out = []
+            for shard, of, x, code, which in (
+                (sa, of_a, a, np.where(self_, 2 * size, cb), movable(of_a, a, phase, turn)),
+                (sb, of_b, b, size + ca, movable(of_b, b, phase, turn) & ~self_),
+            ):
+                if which.any():
+                    out += sums(shard, of, x[which] * width + code[which], n[which])
+            if out:
+                yield record(NEAR, *zip(*out, strict=True))
+    yield record(NEAR, [None], [None], [None], [None], [None], [matrix.astype(np.int64)])
+
+
+def move_batches(batches: Iterator[pa.RecordBatch], matrix: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (shard, sub): the words of each that move, and where to."""
+    size = len(matrix)
+    width, mask = 2 * size + 1, (1 << PHASE) - 1
+    at, own, held = None, None, []
+
+    def moves():
+        code, inverse = np.unique(np.concatenate([np.frombuffer(c, dtype="<u4") for c, _ in held]).astype(np.int64), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([np.frombuffer(x, dtype="<i8") for _, x in held]), len(code))
+        word, place = np.divmod(code, width)
+        side, c = np.where(place < size, 1, np.where(place < 2 * size, 0, 2)), place % size
+        edges = [0, *(np.flatnonzero(word[1:] != word[:-1]) + 1).tolist(), len(word)]
+        ids, to = [], []
+        for i, j in zip(edges, edges[1:]):
+            was = int(own[word[i]]) & mask
+            best = best_class(was, side[i:j], c[i:j], n[i:j], matrix, classes)
+            if best != was:
+                ids.append(int(word[i]) + at[1] * SUB)
+                to.append(best)
+        if ids:
+            yield record(MOVES, [at[0]], [np.array(ids, dtype="<i8").tobytes()], [np.array(to, dtype="<u2").tobytes()])
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            key = tuple(batch.column(c)[r].as_py() for c in ("shard", "sub"))
+            if key != at:
+                if held:
+                    yield from moves()
+                at, own, held = key, np.frombuffer(batch.column("own")[r].as_py(), dtype="<u2"), []
+            held.append(tuple(batch.column(c)[r].as_py() for c in ("codes", "n")))
+    if held:
+        yield from moves()
+
+
+def apply_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes of each shard after its moves."""
+    mask = (1 << PHASE) - 1
+    for batch in batches:
+        for shard, of, moves in zip(*(batch.column(c).to_pylist() for c in ("shard", "of", "moves")), strict=True):
+            of, n = np.frombuffer(of, dtype="<u2").copy(), 0
+            for m in moves or []:
+                ids, to = np.frombuffer(m["ids"], dtype="<i8"), np.frombuffer(m["to"], dtype="<u2")
+                of[ids] = of[ids] & ~np.uint16(mask) | to
+                n += len(ids)
+            yield record(CLASSES, [shard], [of.tobytes()], [n])
 
 
 def likelihood(m: np.ndarray) -> float:
     return float(xlogx(m).sum() - xlogx(m.sum(axis=1)).sum() - xlogx(m.sum(axis=0)).sum())
 
 
-def settle(pairs: DataFrame, at: DataFrame, settings: Settings) -> tuple[DataFrame, np.ndarray]:
-    """(class of each word, counts of neighbouring classes), moved until few words move. ``at`` has (w, c), with tail classes at first for words outside
-    the first classes, ``pairs`` has (a, b, n); a negative symbol stands for a tail class. Word 0 is the end of a text and keeps its class.
+def settle(chunks: DataFrame, of: DataFrame, words: tuple[int, int], settings: Settings) -> tuple[DataFrame, np.ndarray]:
+    """(classes of each shard, counts of neighbouring classes) by exchange, first of the ``words[0]`` most frequent words among themselves, then of all.
 
-    A third of the words may move in a round. Words above the lookup share are joined by broadcast, the others by a sort-merge join.
+    A third of the words may move in a round, so neighbours seldom move at once. A phase ends when under ``delta`` of its words moved in three
+    rounds or the likelihood did not rise in them. A chunk meets the classes of its two shards by plain joins, so Spark
+    broadcasts them below its threshold and sorts beyond it.
     """
     size = settings.classes + settings.tails
-
-    def classed(d: DataFrame, v: str) -> DataFrame:
-        """``d`` with the class c of the word ``v``."""
-        of = at.withColumnRenamed("w", "v_")
-        first = d.filter(F.col(v).between(0, settings.lookup + 1)).join(F.broadcast(of.filter(F.col("v_") <= settings.lookup + 1)), F.col(v) == F.col("v_"))
-        rest = d.filter(F.col(v) > settings.lookup + 1).join(of.filter(F.col("v_") > settings.lookup + 1).hint("merge"), F.col(v) == F.col("v_"))
-        tail = d.filter(F.col(v) < 0).withColumn("c", (settings.classes - 1 - F.col(v)).cast("int"))
-        return first.drop("v_").unionByName(rest.drop("v_")).unionByName(tail)
-
-    def counted(turn: int) -> tuple[DataFrame, np.ndarray]:
-        right = classed(pairs, "b").groupBy("a", "c").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("own_n"))
-        right = stage(right.withColumnRenamed("c", "cb"), f"right-{turn}")
-        m = np.zeros((size, size))
-        for x, y, n in classed(right, "a").groupBy("c", "cb").agg(F.sum("n")).collect():
-            m[x, y] = n
-        return right, m
-
-    turn, changes, before, words = 0, [], [], at.count()
-    while True:
-        right, m = counted(turn)
-        before.append(likelihood(m))
-        full = turn >= 6 and turn % 3 == 0
-        if words < 2 or full and (sum(changes[-3:]) <= settings.delta * words or before[-1] <= before[-4]):
-            return at, m
-        third = lambda w: (F.col(w) > 0) & (F.pmod(F.xxhash64(w), F.lit(3)) == turn % 3)
-        r = right.filter(third("a"))
-        left = classed(pairs.filter(third("b") & (F.col("a") != F.col("b"))), "a").groupBy("b", "c").agg(F.sum("n").alias("n"))
-        near = (
-            r.select(F.col("a").alias("w"), F.lit(1).alias("side"), F.col("cb").alias("c"), (F.col("n") - F.col("own_n")).alias("n"))
-            .unionByName(r.select(F.col("a").alias("w"), F.lit(2).alias("side"), F.col("cb").alias("c"), F.col("own_n").alias("n")))
-            .filter("n > 0")
-            .unionByName(left.select(F.col("b").alias("w"), F.lit(0).alias("side"), "c", "n"))
-        )
-        context = near.join(at.select("w", F.col("c").alias("own")).hint("merge"), "w")
-        to = stage(moved(context, m, size), f"moves-{turn}")
-        at = at.join(to.hint("merge"), "w", "left").select("w", "c", F.coalesce("to", "c").alias("to"))
-        at = stage(at.select("w", F.col("to").alias("c"), (F.col("c") != F.col("to")).alias("moved")), f"classes-{turn}")
-        changes.append(at.filter("moved").count())
-        at = at.select("w", "c")
-        turn += 1
+    for phase in (1, 2):
+        turn, changes, values = 0, [], []
+        while True:
+            d = chunks.join(of.select(F.col("shard").alias("sa"), F.col("of").alias("of_a")), "sa").join(of.select(F.col("shard").alias("sb"), F.col("of").alias("of_b")), "sb")
+            near = d.mapInArrow(lambda it, p=phase, t=turn: near_batches(it, size, p, t), "shard int, sub int, own binary, codes binary, n binary, m array<long>")
+            near = stage(near, "near")
+            m = np.zeros(size * size)
+            for i, x in near.filter("shard is null").select(F.posexplode("m")).groupBy("pos").agg(F.sum("col")).collect():
+                m[i] = x
+            m = m.reshape(size, size)
+            values.append(likelihood(m))
+            full = turn >= 3 and turn % 3 == 0
+            if words[phase - 1] < 2 or full and (sum(changes[-3:]) <= settings.delta * words[phase - 1] or values[-1] <= values[-4]):
+                discard(near)
+                break
+            dealt = near.filter("shard is not null").select("shard", "sub", "own", "codes", "n").repartition("shard", "sub").sortWithinPartitions("shard", "sub")
+            moves = dealt.mapInArrow(lambda it, m=m, k=settings.classes if phase == 1 else size: move_batches(it, m, k), "shard int, ids binary, to binary")
+            moves = moves.groupBy("shard").agg(F.collect_list(F.struct("ids", "to")).alias("moves"))
+            then = stage(of.join(moves, "shard", "left").select("shard", "of", "moves").mapInArrow(apply_batches, "shard int, of binary, moved long"), "classes")
+            discard(near)
+            discard(of)
+            of = then
+            changes.append(of.agg(F.sum("moved")).first()[0] or 0)
+            turn += 1
+    return of, m
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, DataFrame]:
@@ -275,47 +350,49 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(count_batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stage(counts, "word-counts")
-    tokens, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
-    # bounded: no more than ``lookup`` words can have one token in ``lookup``; the end of a text is among them always
-    often = counts.filter((F.col("n") * settings.lookup >= tokens) | (F.col("word") == F.lit(bytearray(END)))).collect()
+    end = F.col("word") == F.lit(bytearray(END))
+    tokens, distinct, clustered = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1)), F.count_if((F.col("n") >= settings.least) | end)).first())
     k, tails = settings.classes, settings.tails
-    clustered = lambda n: n >= settings.least or n * settings.cluster >= tokens
-    ranked = sorted(((bytes(w), n) for w, n in often if w != END), key=lambda x: (-x[1], x[0]))
-    number = {END: 0} | {w: i + 1 if clustered(n) else k - 1 - tail_class(w, settings) for i, (w, n) in enumerate(ranked)}
-    n_first = 1 + sum(n * settings.cluster >= tokens for _, n in ranked)
-    # words by number; null for those that stay in tail classes
-    named = spark.createDataFrame([(w, i) for w, i in number.items()], "word binary, w long")
-    enough = (F.col("n") >= settings.least) | (F.col("n") * settings.cluster >= tokens)
-    lexicon = counts.join(F.broadcast(named), "word", "left").withColumn("w", F.when(enough | (F.col("w") == 0), F.coalesce("w", symbol_column(settings))))
-    lexicon = stage(lexicon.withColumn("tail", tail_column(settings)), "lexicon")
+    # words by shard and place in it; none for those that stay in tail classes
+    first = (F.col("n") * settings.cluster >= tokens) | end
+    taking = first | (F.col("n") >= settings.least)
+    shards = max(1, min(SHARDS, -(-clustered // SHARD)))
+    lexicon = counts.withColumn("tail", tail_column(settings)).withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int"))
+    nth = F.row_number().over(W.partitionBy("shard").orderBy("word")) - 1
+    placed = lexicon.filter(taking).withColumn("id", F.shiftleft(F.col("shard").cast("long"), 32) + nth).withColumn("phase", F.when(end, 0).when(first, 1).otherwise(2))
+    lexicon = stage(placed.unionByName(lexicon.filter(~taking), allowMissingColumns=True).withColumn("w", symbol_column(settings)), "lexicon")
+    # bounded: no more than ``lookup`` words can have one token in ``lookup``; the end of a text is among them always
+    often = [(bytes(w), n, i, t) for w, n, i, t in lexicon.filter((F.col("n") * settings.lookup >= tokens) | end).select("word", "n", "id", "tail").collect()]
+    number = {END: -1} | {w: k - 1 - t if i is None else i for w, _, i, t in often}
     pairs = docs.select("text").mapInArrow(lambda it: pair_batches(it, number, settings), "a long, b long, n long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    enrolled = lexicon.filter(F.col("w") > settings.lookup + 1).select(F.col("w").alias("e")).distinct()
-    for x in ("a", "b"):
-        # words seen too seldom become their tail class
-        above = pairs.filter(F.col(x) > settings.lookup + 1).join(enrolled.hint("merge"), F.col(x) == F.col("e"), "left")
-        tail = -1 - F.pmod(F.col(x) - (settings.lookup + 2), F.lit(tails))
-        above = above.withColumn(x, F.when(F.col("e").isNotNull(), F.col(x)).otherwise(tail)).drop("e")
-        pairs = stage(pairs.filter(F.col(x) <= settings.lookup + 1).unionByName(above).groupBy("a", "b").agg(F.sum("n").alias("n")), f"pairs-{x}")
-    first = [0, *(1 + i % (k - 1) for i in range(n_first - 1))]
-    tail_of = lexicon.filter(F.col("w") >= n_first).groupBy("w").agg(F.min("tail").alias("tail"))
-    near = pairs
+    pairs = stage(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    # words below the lookup share by a sort-merge join; those seen too seldom become their tail class
+    numbered = lexicon.filter("id is not null").groupBy("w").agg(F.min("id").alias("id"))
     for x in ("a", "b"):
-        # for the first classes all other words are their tail class
-        inside = near.filter(F.col(x).between(0, n_first - 1)).withColumn(x, F.col(x).cast("int"))
-        ranked_ = near.filter(F.col(x).between(n_first, settings.lookup + 1)).join(F.broadcast(tail_of.filter(F.col("w") <= settings.lookup + 1)), F.col(x) == F.col("w"))
-        ranked_ = ranked_.withColumn(x, (F.col("tail") - k + n_first).cast("int")).drop("w", "tail")
-        rest = near.filter((F.col(x) < 0) | (F.col(x) > settings.lookup + 1))
-        symbol_ = F.when(F.col(x) < 0, -1 - F.col(x)).otherwise(F.pmod(F.col(x) - (settings.lookup + 2), F.lit(tails)))
-        near = inside.unionByName(ranked_).unionByName(rest.withColumn(x, (symbol_ + n_first).cast("int"))).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    near = stage(near, "first-pairs")
-    classes = exchange(near, first, settings)
-    begun = spark.createDataFrame(list(enumerate(classes)), "w long, c int").unionByName(tail_of.select("w", F.col("tail").alias("c")))
-    at, m = settle(pairs, stage(begun, "classes"), settings)
-    lexicon = lexicon.join(at.hint("merge"), "w", "left").select("word", "n", F.coalesce("c", "tail").alias("c"))
+        above = pairs.filter(F.col(x) >= SYMBOL).join(numbered.hint("merge"), F.col(x) == F.col("w"), "left")
+        above = above.withColumn(x, F.coalesce("id", -1 - F.pmod(F.col(x) - SYMBOL, F.lit(tails)))).select("a", "b", "n")
+        then = stage(pairs.filter(F.col(x) < SYMBOL).unionByName(above), f"pairs-{x}")
+        discard(pairs)
+        pairs = then
+    (sa, la), (sb, lb) = place_column("a"), place_column("b")
+    d = pairs.select(F.coalesce(sa, F.lit(shards)).alias("sa"), la.alias("la"), F.coalesce(sb, F.lit(shards)).alias("sb"), lb.alias("lb"), "n")
+    d = d.select("sa", F.floor(F.col("la") / SUB).cast("int").alias("sub"), "sb", F.pmod("la", F.lit(SUB)).alias("la"), "lb", "n")
+    d = d.repartition("sa", "sub", "sb").sortWithinPartitions("sa", "sub", "sb")
+    chunks = stage(d.mapInArrow(chunk_batches, "sa int, sub int, sb int, a binary, b binary, n binary"), "chunks")
+    discard(pairs)
+    # the first words begin dealt out over the classes, the others in their tail class; the end of a text has class 0
+    begun = F.when(end, 0).when(first, 1 + F.pmod(F.xxhash64(F.lit(1), "word"), F.lit(max(1, k - 1)))).otherwise(F.col("tail"))
+    of = lexicon.filter("id is not null").select("shard", "id", begun.cast("int").alias("c"), "phase").repartition("shard").sortWithinPartitions("id")
+    of = of.mapInArrow(lambda it: class_batches(it, settings), "shard int, of binary, moved long")
+    fixed = spark.createDataFrame([(shards, bytearray((k + np.arange(tails)).astype("<u2").tobytes()), 0)], "shard int, of binary, moved long")
+    n_first = lexicon.filter("phase = 1").count()
+    of, m = settle(chunks, stage(of.unionByName(fixed), "classes"), (n_first, clustered), settings)
+    discard(chunks)
+    at = of.filter(F.col("shard") < shards).mapInArrow(named_batches, "id long, c int")
+    lexicon = lexicon.join(at.hint("merge"), "id", "left").select("word", "n", F.coalesce("c", "tail").alias("c"))
     lexicon = stage(lexicon, "word-classes")
     heavy = lexicon.filter(F.col("n") * settings.lookup >= tokens).select("word", "c").collect()
-    model = Model(settings, tokens, distinct, {bytes(w): n for w, n in often}, {END: 0} | {bytes(w): c for w, c in heavy}, lexicon=lexicon)
+    model = Model(settings, tokens, distinct, {w: n for w, n, _, _ in often}, {END: 0} | {bytes(w): c for w, c in heavy}, lexicon=lexicon)
     into = m.sum(axis=0)
     own = (into + 1) / (into.sum() + len(into))
     model.step = np.log10((m + settings.pull * own[None]) / (m.sum(axis=1, keepdims=True) + settings.pull))
@@ -327,6 +404,14 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     return model, counts
 
 
+def named_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, class) of all words of each shard."""
+    for batch in batches:
+        for shard, of in zip(batch.column("shard").to_pylist(), batch.column("of").to_pylist(), strict=True):
+            c = np.frombuffer(of, dtype="<u2") & ((1 << PHASE) - 1)
+            yield record(NAMED, (shard << 32) + np.arange(len(c)), c.astype(np.int32))
+
+
 def score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """All of a text's score but what words below the lookup share add; each is listed with its place and the classes beside it, -1 for such a word."""
     row = TaskContext.get().partitionId() << 40

@@ -57,7 +57,7 @@ class Settings:
     classes: int = 64
     tails: int = 32
     cluster: int = 8192
-    lookup: int = 1 << 17
+    lookup: int = 1 << 19
     pull: float = 10.0
     least: int = 5
     delta: float = 0.02
@@ -136,7 +136,7 @@ def pair_batches(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], se
         names, flat = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
         code, n = np.unique(flat[:-1] * len(names) + flat[1:], return_counts=True)
         yield record(PAIRS, names[code // len(names)], names[code % len(names)], n)
-        if len(known) > 500_000:
+        if len(known) > len(number) + 500_000:
             known = dict(number)
 
 
@@ -144,29 +144,56 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+class Gains:
+    """What moves add to the likelihood of a matrix of class counts."""
+
+    def __init__(self, matrix: np.ndarray, classes: int) -> None:
+        self.classes = classes
+        # by rows and by columns, so that both kinds of neighbours are gathered as rows
+        self.m, self.t = matrix, np.ascontiguousarray(matrix.T)
+        self.f, self.ft = xlogx(self.m), xlogx(self.t)
+        self.r, self.k = matrix.sum(axis=1), matrix.sum(axis=0)
+
+    def _side(self, m: np.ndarray, f: np.ndarray, own: int, near: np.ndarray, back: np.ndarray, self_: float) -> np.ndarray:
+        """For each class: the gain by neighbours ``near`` (rows of ``m``), once the word and its neighbours ``back`` on the other side have left ``own``."""
+        some = np.flatnonzero(near)
+        x, was, add = m[some, : self.classes], f[some, : self.classes], near[some, None]
+        if own < self.classes:
+            x[:, own] -= near[some]
+        p = np.flatnonzero(some == own)
+        if len(p):
+            x[p] -= back[: self.classes]
+            if own < self.classes:
+                x[p, own] -= self_
+            was[p] = xlogx(x[p])
+        if own < self.classes:
+            was[:, own] = xlogx(x[:, own])
+        x += add  # one at least
+        return np.einsum("ij,ij->j", x, np.log(x)) - was.sum(axis=0)
+
+    def best(self, own: int, side: np.ndarray, c: np.ndarray, n: np.ndarray) -> int:
+        """The class that raises the likelihood most, of a word with ``n`` neighbours in ``c`` after (side 1) or before it (0); side 2: pairs
+        of the word with itself."""
+        size = len(self.m)
+        right, left = (np.bincount(c[side == s], n[side == s], size) for s in (1, 0))
+        self_ = float(n[side == 2].sum())
+        n_right, n_left = right.sum() + self_, left.sum() + self_
+        r, k, d = self.r.copy(), self.k.copy(), self.m.diagonal().copy()
+        # what leaves the word's class leaves its row and column, and no other's sums
+        r[own] -= n_right
+        k[own] -= n_left
+        d[own] -= right[own] + left[own] + self_
+        gain = self._side(self.t, self.ft, own, right, left, self_) + self._side(self.m, self.f, own, left, right, self_)
+        b = slice(0, self.classes)
+        r, k, d, right, left = r[b], k[b], d[b], right[b], left[b]
+        gain += xlogx(d + right + left + self_) - xlogx(d + right) - xlogx(d + left) + xlogx(d)
+        gain -= xlogx(r + n_right) - xlogx(r) + xlogx(k + n_left) - xlogx(k)
+        to = int(np.argmax(gain))
+        return to if gain[to] > gain[own] + 1e-6 else own
+
+
 def best_class(own: int, side: np.ndarray, c: np.ndarray, n: np.ndarray, matrix: np.ndarray, classes: int) -> int:
-    """The class that raises the likelihood most, of a word with ``n`` neighbours in ``c`` after (side 1) or before it (0); side 2: pairs
-    of the word with itself."""
-    size = len(matrix)
-    right, left = (np.bincount(c[side == s], n[side == s], size) for s in (1, 0))
-    self_ = float(n[side == 2].sum())
-    m = matrix.copy()
-    m[own] -= right
-    m[:, own] -= left
-    m[own, own] -= self_
-    n_right, n_left = right.sum() + self_, left.sum() + self_
-    r, k = matrix.sum(axis=1), matrix.sum(axis=0)
-    # what leaves the word's class leaves its row and column, and no other's sums
-    r[own] -= n_right
-    k[own] -= n_left
-    some_r, some_l, b = np.flatnonzero(right), np.flatnonzero(left), np.arange(classes)
-    gain = (xlogx(m[:classes, some_r] + right[some_r]) - xlogx(m[:classes, some_r])).sum(axis=1)
-    gain += (xlogx(m[some_l, :classes] + left[some_l, None]) - xlogx(m[some_l, :classes])).sum(axis=0)
-    d = m[b, b]
-    gain += xlogx(d + right[b] + left[b] + self_) - xlogx(d + right[b]) - xlogx(d + left[b]) + xlogx(d)
-    gain -= xlogx(r[b] + n_right) - xlogx(r[b]) + xlogx(k[b] + n_left) - xlogx(k[b])
-    to = int(np.argmax(gain))
-    return to if gain[to] > gain[own] + 1e-6 else own
+    return Gains(matrix, classes).best(own, side, c, n)
 
 
 def place_column(column: str) -> tuple[Column, Column]:
@@ -262,7 +289,7 @@ def near_batches(batches: Iterator[pa.RecordBatch], size: int, phase: int, turn:
 def move_batches(batches: Iterator[pa.RecordBatch], matrix: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (shard, sub): the words of each that move, and where to."""
     size = len(matrix)
-    width, mask = 2 * size + 1, (1 << PHASE) - 1
+    width, mask, gains = 2 * size + 1, (1 << PHASE) - 1, Gains(matrix, classes)
     at, own, held = None, None, []
 
     def moves():
@@ -274,7 +301,7 @@ def move_batches(batches: Iterator[pa.RecordBatch], matrix: np.ndarray, classes:
         ids, to = [], []
         for i, j in zip(edges, edges[1:]):
             was = int(own[word[i]]) & mask
-            best = best_class(was, side[i:j], c[i:j], n[i:j], matrix, classes)
+            best = gains.best(was, side[i:j], c[i:j], n[i:j])
             if best != was:
                 ids.append(int(word[i]) + at[1] * SUB)
                 to.append(best)

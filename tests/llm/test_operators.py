@@ -523,3 +523,29 @@ def test_common_line_in_half_of_all_texts_makes_no_pairs(spark, monkeypatch):
     found = jaccard_join.subtrees(s, s.select("id", "s1").limit(0))
     pairs = found.groupBy("key").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
     assert pairs < 20_000  # all texts with the line would make half a million
+
+
+def test_class_lm_over_several_shards(spark, monkeypatch):
+    """The transitions are those that the texts have under the classes found, though words and pairs lie in many shards."""
+    monkeypatch.setattr(class_lm, "SHARD", 16)
+    rng = random.Random(5)
+    v = [f"w{i}" for i in range(90)]
+    texts = [" ".join(rng.choice(v) for _ in range(25)) for _ in range(60)] + ["w1 w1 w1 once", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    settings = class_lm.Settings(classes=5, tails=3, cluster=30, lookup=60)
+    model, _ = class_lm.train(d, settings)
+    size = settings.classes + settings.tails
+    m = np.zeros((size, size))
+    for t in texts:
+        c = [model.class_of(w) for w in (b"", *(t or "").encode().split(), b"")]
+        np.add.at(m, (c[:-1], c[1:]), 1)
+    own = (m.sum(axis=0) + 1) / (m.sum() + size)
+    want = (m + settings.pull * own) / (m.sum(axis=1, keepdims=True) + settings.pull)
+    assert np.allclose(10**model.step, want)
+
+
+def test_class_lm_without_training_rows(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    d = spark.createDataFrame([(i, t) for i, t in zip(held, ["a b a", None, "", "c"])], "doc_id long, text string")
+    got = {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in class_lm.score(d).collect()}
+    assert got == {i: (True, n, 0, 0, 0.0) for i, n in zip(held, [4, 1, 1, 2])}

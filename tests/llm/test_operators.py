@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -549,3 +550,38 @@ def test_class_lm_without_training_rows(spark):
     d = spark.createDataFrame([(i, t) for i, t in zip(held, ["a b a", None, "", "c"])], "doc_id long, text string")
     got = {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in class_lm.score(d).collect()}
     assert got == {i: (True, n, 0, 0, 0.0) for i, n in zip(held, [4, 1, 1, 2])}
+
+
+def test_class_lm_sums_over_chunks(monkeypatch):
+    """Sums by word and class and the matrix, over several sub-shards and chunks, equal those of the plain pairs."""
+    monkeypatch.setattr(class_lm, "SUB", 4)
+    monkeypatch.setattr(class_lm, "CHUNK", 8)
+    rng = np.random.default_rng(9)
+    size, length = 5, (11, 9)
+    of = [rng.integers(0, size, k) | 1 << class_lm.PHASE for k in length]
+    pairs = [(sa, a, sb, b, int(rng.integers(1, 9))) for sa in (0, 1) for a in range(length[sa]) for sb in (0, 1) for b in range(length[sb]) if rng.random() < 0.4]
+    rows = sorted((sa, a // 4, sb, a % 4, b, n) for sa, a, sb, b, n in pairs)
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 7]), kinds)], ["sa", "sub", "sb", "la", "lb", "n"]) for i in range(0, len(rows), 7)]
+    chunks = list(class_lm.chunk_batches(iter(batches)))
+    blobs = [x.astype("<u2").tobytes() for x in of]
+    joined = [c.append_column("of_a", pa.array([blobs[s] for s in c.column("sa").to_pylist()])).append_column("of_b", pa.array([blobs[s] for s in c.column("sb").to_pylist()])) for c in chunks]
+    c_of = lambda s, x: int(of[s][x]) & ((1 << class_lm.PHASE) - 1)
+    for turn in range(3):
+        want, m = Counter(), np.zeros((size, size))
+        for sa, a, sb, b, n in pairs:
+            m[c_of(sa, a), c_of(sb, b)] += n
+            same = (sa, a) == (sb, b)
+            if a % 3 == turn:
+                want[sa, a, 2 * size if same else c_of(sb, b)] += n
+            if b % 3 == turn and not same:
+                want[sb, b, size + c_of(sa, a)] += n
+        got, matrix = Counter(), None
+        for batch in class_lm.near_batches(iter(joined), size, 1, turn):
+            for r in batch.to_pylist():
+                if r["m"] is not None:
+                    matrix = np.array(r["m"]).reshape(size, size)
+                    continue
+                for code, n in zip(np.frombuffer(r["codes"], "<u4").tolist(), np.frombuffer(r["n"], "<i8").tolist()):
+                    got[r["shard"], r["sub"] * 4 + code // (2 * size + 1), code % (2 * size + 1)] += n
+        assert got == want and np.array_equal(matrix, m)

@@ -5,8 +5,10 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom import session
 from tickloom.llm import byte_bpe, class_lm, common, graph, jaccard_join, line_dedup, mixing, nn_graph, packing, quality_rules, repeated_phrases, token_counts
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -585,3 +588,35 @@ def test_class_lm_sums_over_chunks(monkeypatch):
                 for code, n in zip(np.frombuffer(r["codes"], "<u4").tolist(), np.frombuffer(r["n"], "<i8").tolist()):
                     got[r["shard"], r["sub"] * 4 + code // (2 * size + 1), code % (2 * size + 1)] += n
         assert got == want and np.array_equal(matrix, m)
+
+
+def shuffle_files(spark) -> set:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    before, own = shuffle_files(spark), spark.conf.get(session.SHUFFLE_CLEANUP)
+    out = session.stage(spark.range(2000).repartition(4).groupBy((F.col("id") % 50).alias("k")).agg(F.sum("id").alias("s")), "kept")
+    for _ in range(50):  # removal runs beside
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(session.SHUFFLE_CLEANUP) == own
+    assert out.count() == 50
+
+
+def test_near_copies_leave_only_the_tables_that_the_result_reads(spark, monkeypatch):
+    d = spark.createDataFrame([(i, " ".join(f"w{(i // 2) * 50 + j}" for j in range(40)) + (" x" if i % 2 else "")) for i in range(40)], "doc_id long, text string")
+    made = []
+
+    def stage(df, name):
+        made.append((name, session.stage(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(jaccard_join, "stage", stage)
+    out = jaccard_join.similar_components(d, jaccard_join.Rule(5, 80))
+    kept = {name for name, x in made if Path(x.staged_in.removeprefix("file:")).exists()}
+    assert "members" in kept and not kept & {"sets", "copies", "subtrees", "stars", "texts", "crowd", "open", "survivors", "pairs"}, kept
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: i // 2 * 2 for i in range(40)}

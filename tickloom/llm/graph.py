@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.session import stage
+from tickloom.session import discard, stage
 
 
 def _tally(edges: DataFrame) -> tuple:
@@ -26,9 +26,11 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m"))
         large = both.join(least, "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
         large = stage(large, "edges")
+        discard(edges)
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         edges = stage(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        discard(large)
         after = _tally(edges)
         if after == before:
             break

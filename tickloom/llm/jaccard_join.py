@@ -260,7 +260,9 @@ def _apart(found: DataFrame, comps: DataFrame, name: str) -> DataFrame:
     least = F.min(F.struct("id", "comp")).alias("least")
     several = d.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), least, F.count(F.lit(1)).alias("m")).filter("x < y")
     several = several.select("key", F.col("least.comp").alias("centre"), F.col("least.id").alias("centre_id"), "m")
-    return stage(d.join(several, "key"), name)
+    out = stage(d.join(several, "key"), name)
+    discard(d)
+    return out
 
 
 def _united(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -275,22 +277,26 @@ def subtrees(sets: DataFrame, copies: DataFrame) -> DataFrame:
 
     Contents that no other set has lead nowhere, but count among the rarest.
     """
-    firsts = sets.filter("k > 0").join(stage(copies.distinct(), "copies"), ["id", "s1"], "left_anti")
+    firsts = sets.filter("k > 0").join(copies, ["id", "s1"], "left_anti")
     # kind, k and number of contents in one long: this table is the largest that is shuffled. Texts of one id that agree in all
     # three are ranked together, which never keeps less than ranking them apart.
     place = lambda c, kind: F.shiftleft(F.lit(kind).cast("long"), 60).bitwiseOR(F.shiftleft("k", 30)).bitwiseOR(F.size(c).cast("long"))
     part = lambda c, kind: F.transform(c, lambda x: F.struct(x.alias("key"), place(c, kind).alias("place")))
     entries = firsts.select("id", F.explode(F.concat(part("keys", 0), part("next", 1), part("least", 2))).alias("e")).select("id", "e.*")
-    common = entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    # each step is staged, so that the shuffle files of the one before are gone: counts, then entries by content, then those found by set
+    common = stage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "common")
     # sort-merge: neither side has a size bound, and skewed partitions can be split
-    found = entries.join(common.hint("merge"), "key")
+    found = stage(entries.join(common.hint("merge"), "key"), "entries")
+    discard(common)
     own = W.partitionBy("id", "place")
     nth = F.row_number().over(own.orderBy("held", "key"))
     low = F.lit((1 << 30) - 1).cast("long")
     alone = F.col("place").bitwiseAND(low) - F.count(F.lit(1)).over(own)
     first = found.select("key", F.col("id").alias("rep"), "place", nth.alias("nth"), alone.alias("alone"))
     k, kind = F.shiftright("place", 30).bitwiseAND(low), F.shiftright("place", 60)
-    return first.filter((kind == 2) | (F.col("nth") + F.col("alone") <= k + 1)).select("key", "rep").distinct()
+    out = stage(first.filter((kind == 2) | (F.col("nth") + F.col("alone") <= k + 1)).select("key", "rep").distinct(), "subtrees")
+    discard(found)
+    return out
 
 
 def similar_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -307,26 +313,33 @@ def similar_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     sets = stage(d.mapInArrow(lambda it: _set_batches(it, rule), kinds), "sets")
     classes = sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     members = stage(sets.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("id", "n", "s1", F.coalesce("rep", "id").alias("rep")), "members")
-    buckets = stage(subtrees(sets, members.filter("id <> rep").select("id", "s1")), "subtrees")
+    copies = stage(members.filter("id <> rep").select("id", "s1").distinct(), "copies")
+    buckets = subtrees(sets, copies)
     discard(sets)
+    discard(copies)
     centres = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("key", "a")
     star = stage(buckets.join(centres, "key").select("key", F.col("rep").alias("id"), "a"), "stars")
+    discard(buckets)
     nearest = stage(star.filter("id > a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     held = stage(d.join(star.select("id").distinct().hint("merge"), "id", "left_semi").distinct(), "texts")
     comps = stage(components(stage(_verify(nearest, held, rule), "links")), "components")
     # subtrees that are not one component yet
     crowd = _apart(star.select("key", "id"), comps, "crowd")
+    discard(star)
     others = crowd.filter("comp <> centre").select(F.col("centre_id").alias("a"), F.col("id").alias("b")).distinct()
     others = stage(others.join(nearest, ["a", "b"], "left_anti"), "pairs")
     comps = _united(comps, stage(_verify(others, held, rule), "links"))
-    crowd = _apart(crowd.filter("m > 2").select("key", "id"), comps, "open")
-    points = held.join(crowd.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(lambda it: _point_batches(it, rule), "id long, n int, point binary")
+    open_ = _apart(crowd.filter("m > 2").select("key", "id"), comps, "open")
+    discard(crowd)
+    points = held.join(open_.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(lambda it: _point_batches(it, rule), "id long, n int, point binary")
     # the open subtrees of each class: at most as many as it has contents
-    rows = crowd.select("key", "id", "comp").join(points, "id").join(crowd.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+    rows = open_.select("key", "id", "comp").join(points, "id").join(open_.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
     dealt = _block_pairs(rows).repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q")
     survivors = dealt.mapInArrow(lambda it: _tree_batches(it, rule), "a long, b long").distinct()
     survivors = stage(survivors.join(nearest.unionByName(others), ["a", "b"], "left_anti"), "survivors")
     comps = _united(comps, stage(_verify(survivors, held, rule), "links"))
+    for x in (nearest, others, open_, survivors, held):
+        discard(x)
     out = members.drop("s1").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))

@@ -620,3 +620,34 @@ def test_near_copies_leave_only_the_tables_that_the_result_reads(spark, monkeypa
     kept = {name for name, x in made if Path(x.staged_in.removeprefix("file:")).exists()}
     assert "members" in kept and not kept & {"sets", "copies", "subtrees", "stars", "texts", "crowd", "open", "survivors", "pairs"}, kept
     assert {r.doc_id: r.component_id for r in out.collect()} == {i: i // 2 * 2 for i in range(40)}
+
+
+def test_class_lm_lookup_finds_all_and_only_its_hashes():
+    rng = np.random.default_rng(4)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2), np.uint64(2**64 - 1) - np.arange(40, dtype=np.uint64), np.arange(1, 30, dtype=np.uint64)]))
+    at = class_lm.Lookup(keys)  # two runs of neighbours crowd the first and the last slots
+    assert at.find(keys).tolist() == list(range(len(keys)))
+    others = np.setdiff1d(np.concatenate([keys + np.uint64(1), np.uint64(2**64 - 1) - np.arange(40, 60, dtype=np.uint64)]), keys)
+    assert (at.find(others) == -1).all() and (class_lm.Lookup(keys[:0]).find(keys) == -1).all()
+
+
+def test_class_lm_rounds_do_not_move_the_pairs(spark, monkeypatch):
+    """The classes of all words are broadcast whatever Spark's threshold, and the most frequent words, up to a bound, need no join."""
+    plans = {}
+
+    def stage(df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        return session.stage(df, name)
+
+    monkeypatch.setattr(class_lm, "stage", stage)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(8)
+        d = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 60)}" for _ in range(30))) for i in range(60)], "doc_id long, text string")
+        model, _ = class_lm.train(d, class_lm.Settings(classes=4, tails=2, cluster=30, lookup=20))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    physical = plans["near"][plans["near"].index("== Physical Plan") :]
+    assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical
+    assert 0 < len(model.often.lookup.keys) - 1 <= 20 and model.least > 1

@@ -5,7 +5,7 @@ by exchange: each round counts every word's neighbours by class, and words move
 Words above a share of all tokens make the first classes by themselves; then the others, begun in classes by their last bytes, take
 part and all go on until few move. Words lie in shards by hash, and pairs in chunks by the shards of both words, as arrays: a round reads the chunks
 with the classes of two shards each, and shuffles sums by word and class only. Words seen less often stay in the class of their last bytes.
-Scoring resolves the words above a smaller share by a broadcast dictionary, bounded by it; the others' counts and classes come by a join.
+The most frequent words, up to a bound, are resolved by a broadcast table of hashes; the others' counts and classes come by a join.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickloom.session import discard, stage
 
-from .common import LOWER_BYTES, record, texts
+from .common import LOWER_BYTES, WordHashes, record, texts
 
 END = b""  # closes every text; no word is empty
 SHARD, SHARDS = 1 << 16, 256  # words of a shard, as long as there are no more than so many shards
 SUB = 1 << 13  # words of a shard whose neighbours one task sums up
 CHUNK = 1 << 16  # pairs of a row
+PIECE = 1 << 21  # bytes of text whose words are hashed at once
 PHASE = 12  # bits of a class; the phase of its word lies above
 SYMBOL = 1 << 62  # from here on, symbols of words that have no number yet
 COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -51,25 +52,103 @@ FOUND = pa.schema([("row", pa.int64()), ("known", pa.int64()), ("counted", pa.fl
 class Settings:
     """``classes`` by exchange and ``tails`` (at most 256) by last bytes, together below 4,096; words seen ``least`` times or with one token in ``cluster`` are
     clustered. The latter make the first classes; then all move between all classes, the others from their tail class. Both go on until under
-    ``delta`` of them do in three rounds or the likelihood no longer rises. Words with one token in ``lookup``, at most that many, are resolved without a join. ``pull`` is the weight of a
-    class's own share in its transitions."""
+    ``delta`` of them do in three rounds or the likelihood no longer rises. The most frequent words, at most ``lookup`` and the end of a text, are resolved without a
+    join. ``pull`` is the weight of a class's own share in its transitions."""
 
     classes: int = 64
     tails: int = 32
     cluster: int = 8192
-    lookup: int = 1 << 19
+    lookup: int = 1 << 20
     pull: float = 10.0
     least: int = 5
     delta: float = 0.02
 
 
+class Lookup:
+    """Places of 64-bit hashes in ``keys``, by open addressing over whole arrays."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.concatenate([keys, np.zeros(1, dtype=np.uint64)])  # the last one is read for an empty slot
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, dtype=np.int32)
+        left = np.arange(len(keys), dtype=np.int32)
+        at = self._slots(keys)
+        while len(left):
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]
+            lost = self.table[at] != left
+            left, at = left[lost], at[lost] + 1 & self.mask
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> self.shift).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """-1 for a hash that is not among the keys."""
+        at = self._slots(hashes)
+        out = self.table[at]
+        some = np.flatnonzero((out >= 0) & (self.keys[out] != hashes))
+        at = at[some]
+        while len(some):
+            at = at + 1 & self.mask
+            got = self.table[at]
+            out[some] = got
+            on = (got >= 0) & (self.keys[got] != hashes[some])
+            some, at = some[on], at[on]
+        return out
+
+
+@dataclass
+class Often:
+    """The most frequent words by hash, in the order of ``lookup``; the end of a text comes after them, in the last place of ``n`` and ``c``."""
+
+    lookup: Lookup
+    id: np.ndarray  # number of the word, or of its tail class
+    n: np.ndarray
+    c: np.ndarray = field(default=None)  # classes, known once the exchange is over
+
+    @property
+    def end(self) -> int:
+        return len(self.n) - 1
+
+    def places(self, batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+        """(row, texts, places, ends) of pieces of a batch: the place of each word, -1 for one that is not here, and of the end that follows
+        each text; where each text's end stands."""
+        hashes, held, size, row = WordHashes(), [], 0, 0
+        for i, t in enumerate(low := [t.translate(LOWER_BYTES) for t in texts(batch)]):
+            held.append(t)
+            size += len(t) + 1
+            if size >= PIECE or i + 1 == len(low):
+                flat, begins = hashes.of(held)
+                ends = begins[1:] + np.arange(len(held))
+                out = np.full(len(flat) + len(held), self.end, dtype=np.int64)
+                word = np.ones(len(out), dtype=bool)
+                word[ends] = False
+                out[word] = self.lookup.find(flat)
+                yield row, held, out, ends
+                held, size, row = [], 0, i + 1
+
+
+def not_found(held: list[bytes], places: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(where, words, text, place in it) of the words that have no place."""
+    where = np.flatnonzero(places < 0)
+    of = np.searchsorted(ends, where)
+    at = where - np.concatenate([[0], ends[:-1] + 1])[of]
+    words, last, own = [], -1, []
+    for t, i in zip(of.tolist(), at.tolist(), strict=True):
+        if t != last:
+            last, own = t, held[t].split()
+        words.append(own[i])
+    return where, words, of, at
+
+
 @dataclass
 class Model:
     settings: Settings
     tokens: int
     distinct: int
-    count: dict[bytes, int]  # words above the lookup share
-    of: dict[bytes, int]  # their classes
+    often: Often
+    least: int  # count from which words are in ``often``
     step: np.ndarray = field(default=None)  # log10 P(class | class before)
     mass: np.ndarray = field(default=None)  # log10 of a class's tokens + distinct words + 1
     lexicon: DataFrame = field(default=None)  # (word, n, c) of all words; stays on the driver
@@ -78,12 +157,10 @@ class Model:
         return self.__dict__ | {"lexicon": None, "rest_": None}
 
     def class_of(self, word: bytes) -> int:
-        """For a look at the model on the driver, where the first word below the lookup share fetches their classes; scoring joins them."""
-        c = self.of.get(word)
-        if c is None and word not in self.count and self.lexicon is not None:
-            if self.__dict__.get("rest_") is None:
-                self.rest_ = {bytes(w): c for w, c in self.lexicon.filter(F.col("c") != tail_column(self.settings)).select("word", "c").toLocalIterator()}
-            c = self.rest_.get(word)
+        """For a look at the model on the driver, where the first word fetches the classes that are not tail classes; scoring joins them."""
+        if self.__dict__.get("rest_") is None and self.lexicon is not None:
+            self.rest_ = {bytes(w): c for w, c in self.lexicon.filter(F.col("c") != tail_column(self.settings)).select("word", "c").toLocalIterator()}
+        c = 0 if word == END else (self.rest_ or {}).get(word)
         return tail_class(word, self.settings) if c is None else c
 
 
@@ -96,7 +173,7 @@ def tail_column(settings: Settings) -> Column:
 
 
 def symbol(word: bytes, settings: Settings) -> int:
-    """Symbol of a word below the lookup share: 54 bits of a hash and the tail class."""
+    """Symbol of a word that is not among the most frequent: 54 bits of a hash and the tail class."""
     return SYMBOL + (int.from_bytes(hashlib.md5(word).digest()[:7], "big") >> 2) * settings.tails + zlib.crc32(word[-2:]) % settings.tails
 
 
@@ -122,22 +199,22 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield record(COUNTS, list(own.keys()), list(own.values()))
 
 
-def pair_batches(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], settings: Settings) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring symbols: the number of a word in ``number``, or its ``symbol``."""
-    known = dict(number)
+def pair_batches(batches: Iterator[pa.RecordBatch], often: Often, settings: Settings) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbouring symbols: the number of a word in ``often``, or its ``symbol``."""
     for batch in batches:
-        ids: list[int] = [number[END]]
-        for t in texts(batch):
-            own = words_of(t)
-            for w in set(own).difference(known):
-                known[w] = symbol(w, settings)
-            ids += map(known.__getitem__, own)
-            ids.append(number[END])
-        names, flat = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
-        code, n = np.unique(flat[:-1] * len(names) + flat[1:], return_counts=True)
-        yield record(PAIRS, names[code // len(names)], names[code % len(names)], n)
-        if len(known) > len(number) + 500_000:
-            known = dict(number)
+        found, new, names = [np.array([often.end])], {}, []
+        for _, held, places, ends in often.places(batch):
+            where, words, _, _ = not_found(held, places, ends)
+            for w in words:
+                if w not in new:
+                    new[w] = len(often.n) + len(new)
+                    names.append(symbol(w, settings))
+            places[where] = [new[w] for w in words]
+            found.append(places)
+        x = np.concatenate(found)
+        code, n = np.unique(x[:-1] << 32 | x[1:], return_counts=True)
+        number = np.concatenate([often.id, np.array(names, dtype=np.int64)])
+        yield record(PAIRS, number[code >> 32], number[code & 0xFFFFFFFF], n)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -341,14 +418,16 @@ def settle(chunks: DataFrame, of: DataFrame, words: tuple[int, int], settings: S
     """(classes of each shard, counts of neighbouring classes) by exchange, first of the ``words[0]`` most frequent words among themselves, then of all.
 
     A third of the words may move in a round, so neighbours seldom move at once. A phase ends when under ``delta`` of its words moved in three
-    rounds or the likelihood did not rise in them. A chunk meets the classes of its two shards by plain joins, so Spark
-    broadcasts them below its threshold and sorts beyond it.
+    rounds or the likelihood did not rise in them. A chunk meets the classes of its two shards by joins: broadcast, two bytes a word,
+    as long as the words fill SHARDS shards of SHARD at most, so that no round moves the chunks; sort-merge beyond.
     """
     size = settings.classes + settings.tails
+    how = "broadcast" if words[1] <= SHARD * SHARDS else "merge"
     for phase in (1, 2):
         turn, changes, values = 0, [], []
         while True:
-            d = chunks.join(of.select(F.col("shard").alias("sa"), F.col("of").alias("of_a")), "sa").join(of.select(F.col("shard").alias("sb"), F.col("of").alias("of_b")), "sb")
+            side = lambda s, c, of=of: of.select(F.col("shard").alias(s), F.col("of").alias(c)).hint(how)
+            d = chunks.join(side("sa", "of_a"), "sa").join(side("sb", "of_b"), "sb")
             near = d.mapInArrow(lambda it, p=phase, t=turn: near_batches(it, size, p, t), "shard int, sub int, own binary, codes binary, n binary, m array<long>")
             near = stage(near, "near")
             m = np.zeros(size * size)
@@ -372,6 +451,39 @@ def settle(chunks: DataFrame, of: DataFrame, words: tuple[int, int], settings: S
     return of, m
 
 
+def most_frequent(lexicon: DataFrame, settings: Settings) -> tuple[Often, int]:
+    """The words seen as often as the second value or more, at most ``lookup`` of them, and the end of a text."""
+    many, least = 0, 1
+    # one row for each count that occurs: no more than the square root of twice the tokens
+    for n, words in sorted(lexicon.filter(F.col("word") != F.lit(bytearray(END))).groupBy("n").agg(F.count(F.lit(1))).collect(), reverse=True):
+        many += words
+        if many > settings.lookup:
+            least = n + 1
+            break
+    t = lexicon.filter((F.col("n") >= least) | (F.col("word") == F.lit(bytearray(END)))).select("word", "n", F.coalesce("id", settings.classes - 1 - F.col("tail")).alias("id")).toArrow()
+    hashes, n, number = hashed(t), t.column("n").to_numpy(), t.column("id").to_numpy()
+    own, first = np.unique(hashes[hashes > 0], return_index=True)
+    at = np.flatnonzero(hashes > 0)[first]
+    end = hashes == 0
+    return Often(Lookup(own), np.append(number[at], number[end][0] if end.any() else -1), np.append(n[at], n[end].sum())), least
+
+
+def hashed(words: pa.Table) -> np.ndarray:
+    """Hashes of the column ``word``; 0 for the end of a text."""
+    names = [bytes(w) for w in words.column("word").to_pylist()]
+    out = np.zeros(len(names), dtype=np.uint64)
+    some = [i for i, w in enumerate(names) if w != END]
+    out[some] = WordHashes().of([names[i] for i in some])[0]
+    return out
+
+
+def classes_of(lexicon: DataFrame, often: Often, least: int) -> np.ndarray:
+    t = lexicon.filter((F.col("n") >= least) & (F.col("word") != F.lit(bytearray(END)))).select("word", "c").toArrow()
+    out = np.zeros(len(often.n), dtype=np.int64)
+    out[often.lookup.find(hashed(t))] = t.column("c").to_numpy()
+    return out
+
+
 def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, DataFrame]:
     """The model and (word, n), the counts of all words in ``docs``. No documents at all make a model that knows nothing."""
     spark = docs.sparkSession
@@ -388,12 +500,11 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     nth = F.row_number().over(W.partitionBy("shard").orderBy("word")) - 1
     placed = lexicon.filter(taking).withColumn("id", F.shiftleft(F.col("shard").cast("long"), 32) + nth).withColumn("phase", F.when(end, 0).when(first, 1).otherwise(2))
     lexicon = stage(placed.unionByName(lexicon.filter(~taking), allowMissingColumns=True).withColumn("w", symbol_column(settings)), "lexicon")
-    # bounded: no more than ``lookup`` words can have one token in ``lookup``; the end of a text is among them always
-    often = [(bytes(w), n, i, t) for w, n, i, t in lexicon.filter((F.col("n") * settings.lookup >= tokens) | end).select("word", "n", "id", "tail").collect()]
-    number = {END: -1} | {w: k - 1 - t if i is None else i for w, _, i, t in often}
-    pairs = docs.select("text").mapInArrow(lambda it: pair_batches(it, number, settings), "a long, b long, n long")
+    often, least = most_frequent(lexicon, settings)
+    shared = spark.sparkContext.broadcast(often)
+    pairs = docs.select("text").mapInArrow(lambda it: pair_batches(it, shared.value, settings), "a long, b long, n long")
     pairs = stage(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
-    # words below the lookup share by a sort-merge join; those seen too seldom become their tail class
+    # words below the most frequent by a sort-merge join; those seen too seldom become their tail class
     numbered = lexicon.filter("id is not null").groupBy("w").agg(F.min("id").alias("id"))
     for x in ("a", "b"):
         above = pairs.filter(F.col(x) >= SYMBOL).join(numbered.hint("merge"), F.col(x) == F.col("w"), "left")
@@ -418,8 +529,8 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     at = of.filter(F.col("shard") < shards).mapInArrow(named_batches, "id long, c int")
     lexicon = lexicon.join(at.hint("merge"), "id", "left").select("word", "n", F.coalesce("c", "tail").alias("c"))
     lexicon = stage(lexicon, "word-classes")
-    heavy = lexicon.filter(F.col("n") * settings.lookup >= tokens).select("word", "c").collect()
-    model = Model(settings, tokens, distinct, {w: n for w, n, _, _ in often}, {END: 0} | {bytes(w): c for w, c in heavy}, lexicon=lexicon)
+    often.c = classes_of(lexicon, often, least)
+    model = Model(settings, tokens, distinct, often, least, lexicon=lexicon)
     into = m.sum(axis=0)
     own = (into + 1) / (into.sum() + len(into))
     model.step = np.log10((m + settings.pull * own[None]) / (m.sum(axis=1, keepdims=True) + settings.pull))
@@ -440,31 +551,31 @@ def named_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """All of a text's score but what words below the lookup share add; each is listed with its place and the classes beside it, -1 for such a word."""
+    """All of a text's score but what words that are looked up by a join add; each is listed with its place and the classes beside it, -1 for such a word."""
     row = TaskContext.get().partitionId() << 40
     unit = math.log10(model.tokens + model.distinct + 1)
-    step, mass, class_of = model.step, model.mass, model.class_of
-    often = {w: (class_of(w), math.log10(n + 1)) for w, n in model.count.items()}
-    end_class = class_of(END)
-    end = (end_class, math.log10(model.count.get(END, 0) + 1))
-    unknown = (-1, 0.0)
+    step, mass, often = model.step, model.mass, model.often
+    log, c_of = np.append(np.log10(often.n + 1.0), 0.0), np.append(often.c, -1)  # the last for a word that is not there
+    known = np.append(often.n > 0, False)
     for batch in batches:
-        out = []
-        ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-        for d, h, t in zip(ids, held, texts(batch), strict=True):
-            own = words_of(t)
-            pairs = [*(often.get(w, unknown) for w in own), end]
-            c = np.array([end_class, *(x for x, _ in pairs)])
-            counted = math.fsum(x for _, x in pairs)
-            n, rare = len(pairs), np.flatnonzero(c[1:] < 0).tolist()
-            both = (c[:-1] >= 0) & (c[1:] >= 0)
-            score = counted + float(step[c[:-1][both], c[1:][both]].sum()) - float(mass[c[1:][c[1:] >= 0]].sum())
-            n_known = n - len(rare) - (END not in often)
-            listed = [{"word": own[i], "at": i, "left": l, "right": r} for i, l, r in zip(rare, c[:-2][rare].tolist(), c[2:][rare].tolist())] if rare else []
-            out.append((row, d, h, n, n_known, counted - n * unit, score, listed))
-            row += 1
-        if out:
-            yield record(SCORED, *zip(*out, strict=True))
+        ids, held_out_ = batch.column("doc_id"), batch.column("held_out")
+        for first, held, places, ends in often.places(batch):
+            c = c_of[places]
+            before = np.concatenate([c_of[[often.end]], c[:-1]])
+            counted = log[places]
+            both = (c >= 0) & (before >= 0)
+            more = counted - np.where(c >= 0, mass[c], 0.0) + np.where(both, step[before, c], 0.0)
+            begins = np.concatenate([[0], ends[:-1] + 1])
+            n = ends - begins + 1
+            total, unigram = np.add.reduceat(more, begins), np.add.reduceat(counted, begins)
+            where, words, of, at = not_found(held, places, ends)
+            listed = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(at, pa.int32()), pa.array(before[where], pa.int32()), pa.array(c[where + 1], pa.int32())], fields=list(RARE))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(held) + 1)), pa.int32()), listed)
+            rows = row + np.arange(len(held))
+            n_known = np.add.reduceat(known[places].astype(np.int64), begins)
+            part = slice(first, first + len(held))
+            yield record(SCORED, rows, ids[part], held_out_[part], n, n_known, unigram - n * unit, total, lists.cast(SCORED.field("rare").type))
+            row += len(held)
 
 
 def rare_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -503,7 +614,7 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,at:int,left:int,right:int>>"
     part = stage(d.mapInArrow(lambda it: score_batches(it, shared.value), schema), "scored")
     rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.*")
-    below = model.lexicon.filter(F.col("n") * settings.lookup < model.tokens)
+    below = model.lexicon.filter(F.col("n") < model.least)
     # sort-merge: neither side has a size bound
     rare = rare.join(below.hint("merge"), "word", "left").select(
         "row", F.struct("at", "left", "right", F.coalesce("c", tail_column(settings)).alias("c"), F.coalesce("n", F.lit(0)).alias("n")).alias("r")

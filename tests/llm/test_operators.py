@@ -651,3 +651,25 @@ def test_class_lm_rounds_do_not_move_the_pairs(spark, monkeypatch):
     physical = plans["near"][plans["near"].index("== Physical Plan") :]
     assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical
     assert 0 < len(model.often.lookup.keys) - 1 <= 20 and model.least > 1
+
+
+@pytest.mark.parametrize("classes", [7, 5])
+def test_class_lm_weighs_many_words_as_it_does_one(classes):
+    rng = np.random.default_rng(6)
+    v, size = 40, 7
+    pairs = rng.integers(0, 5, (v, v)) * (rng.random((v, v)) < 0.3)
+    of = rng.integers(0, classes, v)
+    m = np.zeros((size, size))
+    np.add.at(m, (np.repeat(of, v), np.tile(of, v)), pairs.ravel())
+    gains, rows = class_lm.Gains(m, classes), Counter()
+    for a in range(v):
+        for b in range(v):
+            if a == b:
+                rows[a, 2, of[a]] += int(pairs[a, a])
+            else:
+                rows[a, 1, of[b]] += int(pairs[a, b])
+                rows[b, 0, of[a]] += int(pairs[a, b])
+    word, side, c, n = np.array([(*key, x) for key, x in sorted(rows.items()) if x]).T
+    want = [gains.best(int(of[w]), side[word == w], c[word == w], n[word == w]) for w in range(v)]
+    assert gains.bests(of, word, side, c, n).tolist() == want
+    assert want != of.tolist()

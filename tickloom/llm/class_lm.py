@@ -30,6 +30,7 @@ END = b""  # closes every text; no word is empty
 SHARD, SHARDS = 1 << 16, 256  # words of a shard, as long as there are no more than so many shards
 SUB = 1 << 13  # words of a shard whose neighbours one task sums up
 CHUNK = 1 << 16  # pairs of a row
+AT_ONCE = 256  # words whose moves are weighed at once
 PIECE = 1 << 21  # bytes of text whose words are hashed at once
 PHASE = 12  # bits of a class; the phase of its word lies above
 SYMBOL = 1 << 62  # from here on, symbols of words that have no number yet
@@ -269,6 +270,50 @@ class Gains:
         return to if gain[to] > gain[own] + 1e-6 else own
 
 
+    def bests(self, own: np.ndarray, word: np.ndarray, side: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """``best`` for many words at once: ``own`` classes of the words, and rows (word, side, class, count), at most one of a word, side and class."""
+        size, k, rows = len(self.m), self.classes, np.arange(len(own))
+        near = np.zeros((2, len(own), size))  # before, after
+        both = side < 2
+        near[side[both], word[both], c[both]] = n[both]
+        left, right = near
+        self_ = np.bincount(word[~both], n[~both], len(own))
+        n_right, n_left = right.sum(axis=1) + self_, left.sum(axis=1) + self_
+        gain = self._sides(self.t, self.ft, own, right, left, self_) + self._sides(self.m, self.f, own, left, right, self_)
+        r, q, d = (np.repeat(x[None], len(own), axis=0) for x in (self.r, self.k, self.m.diagonal()))
+        r[rows, own] -= n_right
+        q[rows, own] -= n_left
+        d[rows, own] -= right[rows, own] + left[rows, own] + self_
+        r, q, d, right, left = (x[:, :k] for x in (r, q, d, right, left))
+        self_, n_right, n_left = self_[:, None], n_right[:, None], n_left[:, None]
+        gain += xlogx(d + right + left + self_) - xlogx(d + right) - xlogx(d + left) + xlogx(d)
+        gain -= xlogx(r + n_right) - xlogx(r) + xlogx(q + n_left) - xlogx(q)
+        to = gain.argmax(axis=1)
+        # no gain is known for a class that words can't move to
+        return np.where(gain[rows, to] > np.where(own < k, gain[rows, np.minimum(own, k - 1)], np.inf) + 1e-6, to, own)
+
+    def _sides(self, m: np.ndarray, f: np.ndarray, own: np.ndarray, near: np.ndarray, back: np.ndarray, self_: np.ndarray) -> np.ndarray:
+        """``_side`` of many words: one row for each word and class beside it, summed up by word."""
+        k, out = self.classes, np.zeros((len(own), self.classes))
+        w, some = np.nonzero(near)
+        add, at = near[w, some], own[w]
+        x, was = m[some, :k], f[some, :k]
+        e = np.flatnonzero(at < k)
+        x[e, at[e]] -= add[e]
+        p = np.flatnonzero(some == at)
+        x[p] -= back[w[p], :k]
+        q = p[at[p] < k]
+        x[q, at[q]] -= self_[w[q]]
+        was[p] = xlogx(x[p])
+        was[e, at[e]] = xlogx(x[e, at[e]])
+        x += add[:, None]
+        x = x * np.log(x) - was
+        if len(w):
+            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            out[w[first]] = np.add.reduceat(x, first, axis=0)
+        return out
+
+
 def best_class(own: int, side: np.ndarray, c: np.ndarray, n: np.ndarray, matrix: np.ndarray, classes: int) -> int:
     return Gains(matrix, classes).best(own, side, c, n)
 
@@ -374,14 +419,16 @@ def move_batches(batches: Iterator[pa.RecordBatch], matrix: np.ndarray, classes:
         n = np.bincount(inverse, np.concatenate([np.frombuffer(x, dtype="<i8") for _, x in held]), len(code))
         word, place = np.divmod(code, width)
         side, c = np.where(place < size, 1, np.where(place < 2 * size, 0, 2)), place % size
-        edges = [0, *(np.flatnonzero(word[1:] != word[:-1]) + 1).tolist(), len(word)]
         ids, to = [], []
-        for i, j in zip(edges, edges[1:]):
-            was = int(own[word[i]]) & mask
-            best = gains.best(was, side[i:j], c[i:j], n[i:j])
-            if best != was:
-                ids.append(int(word[i]) + at[1] * SUB)
-                to.append(best)
+        names, nth = np.unique(word, return_inverse=True)
+        edges = np.searchsorted(nth, np.arange(0, len(names) + AT_ONCE, AT_ONCE))
+        for k, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+            some = names[k * AT_ONCE : (k + 1) * AT_ONCE]
+            was = (own[some] & mask).astype(np.int64)
+            best = gains.bests(was, nth[i:j] - k * AT_ONCE, side[i:j], c[i:j], n[i:j])
+            moved = np.flatnonzero(best != was)
+            ids += (some[moved] + at[1] * SUB).tolist()
+            to += best[moved].tolist()
         if ids:
             yield record(MOVES, [at[0]], [np.array(ids, dtype="<i8").tobytes()], [np.array(to, dtype="<u2").tobytes()])
 
@@ -504,16 +551,15 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     shared = spark.sparkContext.broadcast(often)
     pairs = docs.select("text").mapInArrow(lambda it: pair_batches(it, shared.value, settings), "a long, b long, n long")
     pairs = stage(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
-    # words below the most frequent by a sort-merge join; those seen too seldom become their tail class
+    # words below the most frequent by sort-merge joins; those seen too seldom become their tail class. Pairs without such words pass by
+    above = (F.col("a") >= SYMBOL) | (F.col("b") >= SYMBOL)
     numbered = lexicon.filter("id is not null").groupBy("w").agg(F.min("id").alias("id"))
+    joined = pairs.filter(above)
     for x in ("a", "b"):
-        above = pairs.filter(F.col(x) >= SYMBOL).join(numbered.hint("merge"), F.col(x) == F.col("w"), "left")
-        above = above.withColumn(x, F.coalesce("id", -1 - F.pmod(F.col(x) - SYMBOL, F.lit(tails)))).select("a", "b", "n")
-        then = stage(pairs.filter(F.col(x) < SYMBOL).unionByName(above), f"pairs-{x}")
-        discard(pairs)
-        pairs = then
+        joined = joined.join(numbered.hint("merge"), F.col(x) == F.col("w"), "left").withColumn(x, F.when(F.col(x) < SYMBOL, F.col(x)).otherwise(F.coalesce("id", -1 - F.pmod(F.col(x) - SYMBOL, F.lit(tails))))).select("a", "b", "n")
+    found = pairs.filter(~above).unionByName(joined)
     (sa, la), (sb, lb) = place_column("a"), place_column("b")
-    d = pairs.select(F.coalesce(sa, F.lit(shards)).alias("sa"), la.alias("la"), F.coalesce(sb, F.lit(shards)).alias("sb"), lb.alias("lb"), "n")
+    d = found.select(F.coalesce(sa, F.lit(shards)).alias("sa"), la.alias("la"), F.coalesce(sb, F.lit(shards)).alias("sb"), lb.alias("lb"), "n")
     d = d.select("sa", F.floor(F.col("la") / SUB).cast("int").alias("sub"), "sb", F.pmod("la", F.lit(SUB)).alias("la"), "lb", "n")
     d = d.repartition("sa", "sub", "sb").sortWithinPartitions("sa", "sub", "sb")
     chunks = stage(d.mapInArrow(chunk_batches, "sa int, sub int, sb int, a binary, b binary, n binary"), "chunks")

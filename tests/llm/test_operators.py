@@ -673,3 +673,78 @@ def test_class_lm_weighs_many_words_as_it_does_one(classes):
     want = [gains.best(int(of[w]), side[word == w], c[word == w], n[word == w]) for w in range(v)]
     assert gains.bests(of, word, side, c, n).tolist() == want
     assert want != of.tolist()
+
+
+def unpacked(chunks, shards: int) -> list[tuple[int, int, int]]:
+    """(number, number, count) of all pairs in rows of chunks."""
+    out = []
+    for batch in chunks:
+        for r in batch.to_pylist():
+            a, b, n = (np.frombuffer(r[c], t).tolist() for c, t in (("a", "<u2"), ("b", "<u4"), ("n", "<i8")))
+            name = lambda s, x: -1 - x if s == shards else s << 32 | x
+            out += [(name(r["sa"], x + r["sub"] * class_lm.SUB), name(r["sb"], y), k) for x, y, k in zip(a, b, n)]
+    return out
+
+
+def test_class_lm_sums_up_arrays_of_pairs():
+    rng = np.random.default_rng(12)
+    shards, slices, rows, want = 3, 2, [], Counter()
+    words = np.array([*(s << 32 | x for s in range(shards) for x in (0, 1, 7, class_lm.SUB, 3 * class_lm.SUB + 5)), -1, -2, -30])
+    for _ in range(4):  # batches that share most of their pairs
+        a, b, n = rng.choice(words, 200), rng.choice(words, 200), rng.integers(1, 1 << 33, 200)
+        want += Counter(dict.fromkeys(zip(a.tolist(), b.tolist()), 0))
+        for x, y, k in zip(a.tolist(), b.tolist(), n.tolist()):
+            want[x, y] += k
+        for r in class_lm.dealt(a, b, n, shards, slices):
+            rows += r.to_pylist()
+    rows.sort(key=lambda r: tuple(r[c] for c in ("sa", "sub", "sb", "slice")))
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 9], class_lm.DEALT) for i in range(0, len(rows), 9)]
+    batches = [b.slice(2) if i else b for i, b in enumerate([batches[0], *(pa.RecordBatch.from_pylist(rows[i - 2 : i + 9], class_lm.DEALT) for i in range(9, len(rows), 9))])]
+    got = unpacked(class_lm.chunk_batches(iter(batches)), shards)
+    assert len(got) == len({g[:2] for g in got}) and {g[:2]: g[2] for g in got} == want
+    assert list(class_lm.dealt(*(np.zeros(0, dtype=np.int64),) * 3, shards, slices)) == []
+
+
+def test_class_lm_first_phase_reads_sums_by_tail_class():
+    rng = np.random.default_rng(13)
+    shards, settings = 2, class_lm.Settings(classes=4, tails=3)
+    phase = [rng.integers(0, 3, 40) for _ in range(shards)]
+    of = [(np.where(p == 2, 4 + rng.integers(0, 3, 40), rng.integers(0, 4, 40)) | p << class_lm.PHASE).astype("<u2") for p in phase] + [np.array([4, 5, 6], dtype="<u2")]
+    numbers = np.array([s << 32 | x for s in range(shards) for x in range(40)] + [-1, -2, -3])
+    a, b = (x.ravel() for x in np.meshgrid(numbers, numbers))
+    n = rng.integers(1, 100, len(a))
+    rows = sorted((r for x in class_lm.dealt(a, b, n, shards, 1) for r in x.to_pylist()), key=lambda r: (r["sa"], r["sub"], r["sb"]))
+    chunks = list(class_lm.chunk_batches(iter([pa.RecordBatch.from_pylist(rows, class_lm.DEALT)])))
+    joined = [c.append_column("of_a", pa.array([of[s].tobytes() for s in c.column("sa").to_pylist()])).append_column("of_b", pa.array([of[s].tobytes() for s in c.column("sb").to_pylist()])) for c in chunks]
+    rows = sorted((r for x in class_lm.first_batches(iter(joined), shards, settings) for r in x.to_pylist()), key=lambda r: (r["sa"], r["sub"], r["sb"]))
+    got = unpacked(class_lm.chunk_batches(iter([pa.RecordBatch.from_pylist(rows, class_lm.DEALT)])), shards)
+    seen = lambda x: 3 - int(of[x >> 32][x & 0xFFFF] & 15) if x >= 0 and phase[x >> 32][x & 0xFFFF] == 2 else x
+    want = Counter()
+    for x, y, k in zip(a.tolist(), b.tolist(), n.tolist()):
+        want[seen(x), seen(y)] += k
+    assert len(got) == len(want) and {g[:2]: g[2] for g in got} == want
+
+
+def test_class_lm_pairs_of_clustered_words_need_no_rows_and_no_joins(spark, monkeypatch):
+    """With all clustered words among the most frequent, pairs go to their chunks as arrays; the model is that of the joins."""
+    plans = {}
+
+    def stage(df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        return session.stage(df, name)
+
+    monkeypatch.setattr(class_lm, "stage", stage)
+    rng = random.Random(14)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(40)) for _ in range(80)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    models = []
+    for lookup in (10_000, 12):
+        plans.clear()
+        models.append(class_lm.train(d, class_lm.Settings(classes=4, tails=3, cluster=30, lookup=lookup))[0])
+        assert ("pairs" in plans) == (lookup == 12)
+        if lookup > 12:
+            assert "Join" not in plans["chunks"] and "HashAggregate" not in plans["chunks"]
+    assert models[0].least == 1 and models[1].least > 5
+    assert np.array_equal(models[0].step, models[1].step)
+    words = {w.encode() for t in texts for w in t.split()}
+    assert {w: models[0].class_of(w) for w in words} == {w: models[1].class_of(w) for w in words}

@@ -6,6 +6,7 @@ Words above a share of all tokens make the first classes by themselves; then the
 part and all go on until few move. Words lie in shards by hash, and pairs in chunks by the shards of both words, as arrays: a round reads the chunks
 with the classes of two shards each, and shuffles sums by word and class only. Words seen less often stay in the class of their last bytes.
 The most frequent words, up to a bound, are resolved by a broadcast table of hashes; the others' counts and classes come by a join.
+Pairs move as arrays, too: each batch of texts sums up its own, and those of a pair of shards are summed where they meet.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,18 +24,21 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickloom.session import discard, stage
 
-from .common import LOWER_BYTES, WordHashes, record, texts
+from .common import LOWER_BYTES, SPACE_CHARS, WordHashes, record, texts
 
 END = b""  # closes every text; no word is empty
 SHARD, SHARDS = 1 << 16, 256  # words of a shard, as long as there are no more than so many shards
 SUB = 1 << 13  # words of a shard whose neighbours one task sums up
 CHUNK = 1 << 16  # pairs of a row
+SLICE = 1 << 19  # pairs that one task sums up at once, as far as their number is known before
 AT_ONCE = 256  # words whose moves are weighed at once
 PIECE = 1 << 21  # bytes of text whose words are hashed at once
 PHASE = 12  # bits of a class; the phase of its word lies above
 SYMBOL = 1 << 62  # from here on, symbols of words that have no number yet
 COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+DEALT = pa.schema([*((c, pa.int32()) for c in ("sa", "sub", "sb", "slice")), *((c, pa.binary()) for c in ("la", "lb", "n"))])
+DEALT_SCHEMA = "sa int, sub int, sb int, slice int, la binary, lb binary, n binary"
+PAIRS = pa.schema([*DEALT, *((c, pa.int64()) for c in ("a", "b", "k"))])
 CHUNKS = pa.schema([("sa", pa.int32()), ("sub", pa.int32()), ("sb", pa.int32()), *((c, pa.binary()) for c in ("a", "b", "n"))])
 CLASSES = pa.schema([("shard", pa.int32()), ("of", pa.binary()), ("moved", pa.int64())])
 NEAR = pa.schema([("shard", pa.int32()), ("sub", pa.int32()), *((c, pa.binary()) for c in ("own", "codes", "n")), ("m", pa.list_(pa.int64()))])
@@ -183,39 +186,104 @@ def symbol_column(settings: Settings) -> Column:
     return bits * settings.tails + (tail_column(settings) - settings.classes) + SYMBOL
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(LOWER_BYTES).split()
+def pieces(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """Texts of a batch, about PIECE bytes at a time."""
+    held, size = [], 0
+    for t in texts(batch):
+        held.append(t)
+        size += len(t) + 1
+        if size >= PIECE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def word_array(held: list[bytes]) -> pa.Array:
+    """The words of all texts in a row, without a Python object for each."""
+    data = np.frombuffer(b" " + b" ".join(held).translate(LOWER_BYTES) + b" ", dtype=np.uint8)
+    space = np.isin(np.arange(256), list(SPACE_CHARS.encode()))[data]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    ends = np.append(0, np.cumsum(edges[1::2] - edges[::2])).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data[~space])])
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own: Counter = Counter()
     for batch in batches:
-        for t in texts(batch):
-            own.update(words_of(t))
-        own[END] += batch.num_rows
-        if len(own) > 300_000:
-            yield record(COUNTS, list(own.keys()), list(own.values()))
-            own = Counter()
-    if own:
-        yield record(COUNTS, list(own.keys()), list(own.values()))
-
-
-def pair_batches(batches: Iterator[pa.RecordBatch], often: Often, settings: Settings) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring symbols: the number of a word in ``often``, or its ``symbol``."""
+        t = pa.chunked_array(map(word_array, pieces(batch)), pa.binary()).value_counts()
+        yield record(COUNTS, t.field("values"), t.field("counts"))
+        yield record(COUNTS, [END], [batch.num_rows])
+
+
+def pair_batches(batches: Iterator[pa.RecordBatch], often: Often, settings: Settings, joins: bool, shards: int, slices: int) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbouring words, by their numbers in ``often``, as ``dealt`` rows. Other words are their tail class; with ``joins`` they are
+    symbols, whose pairs are rows (a, b, k) by themselves."""
+    own = [] if joins else [-1 - t for t in range(settings.tails)]
     for batch in batches:
-        found, new, names = [np.array([often.end])], {}, []
+        found, new, names = [np.array([often.end], dtype=np.int32)], {}, list(own)
         for _, held, places, ends in often.places(batch):
             where, words, _, _ = not_found(held, places, ends)
-            for w in words:
-                if w not in new:
-                    new[w] = len(often.n) + len(new)
-                    names.append(symbol(w, settings))
-            places[where] = [new[w] for w in words]
-            found.append(places)
+            if joins:
+                for w in words:
+                    if w not in new:
+                        new[w] = len(often.n) + len(new)
+                        names.append(symbol(w, settings))
+                places[where] = [new[w] for w in words]
+            else:
+                places[where] = [len(often.n) + zlib.crc32(w[-2:]) % settings.tails for w in words]
+            found.append(places.astype(np.int32))
         x = np.concatenate(found)
-        code, n = np.unique(x[:-1] << 32 | x[1:], return_counts=True)
+        code = x[:-1].astype(np.int64) << 32
+        code |= x[1:]
+        del found, x
+        code.sort()
+        edges = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
+        code, n = code[edges[:-1]], np.diff(edges)
         number = np.concatenate([often.id, np.array(names, dtype=np.int64)])
-        yield record(PAIRS, number[code >> 32], number[code & 0xFFFFFFFF], n)
+        a, b = number[code >> 32], number[code & 0xFFFFFFFF]
+        del code, edges
+        above = (a >= SYMBOL) | (b >= SYMBOL)
+        if above.any():
+            none = [pa.nulls(int(above.sum()), f.type) for f in DEALT]
+            yield record(PAIRS, *none, a[above], b[above], n[above])
+            a, b, n = a[~above], b[~above], n[~above]
+        yield from (record(PAIRS, *r.columns, *(pa.nulls(r.num_rows, pa.int64()) for _ in "abk")) for r in dealt(a, b, n, shards, slices))
+
+
+def deal_batches(batches: Iterator[pa.RecordBatch], shards: int, slices: int) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, k) of resolved pairs as ``dealt`` rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in ("a", "b", "k")])
+        size += batch.num_rows
+        if size >= 2 * SLICE:
+            yield from dealt(*map(np.concatenate, zip(*held, strict=True)), shards, slices)
+            held, size = [], 0
+    if held:
+        yield from dealt(*map(np.concatenate, zip(*held, strict=True)), shards, slices)
+
+
+def dealt(a: np.ndarray, b: np.ndarray, n: np.ndarray, shards: int, slices: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of numbered words, and how often each occurs, as arrays: one row for each pair of shards, part of the first and slice of that part.
+    Tail classes are the shard after the last."""
+    if not len(a):
+        return
+    (sa, la), (sb, lb) = ((np.where(x >= 0, x >> 32, shards).astype(np.int32), np.where(x >= 0, x, -1 - x).astype(np.uint32)) for x in (a, b))  # the lower 32 bits
+    sub = (la // SUB).astype(np.int32)
+    la %= SUB
+    cut = (la % slices).astype(np.int32)
+    key = sa.astype(np.int64)
+    for x, width in ((sub, int(sub.max()) + 1), (sb, shards + 1), (cut, slices)):
+        key *= width
+        key += x
+    # numbers of 16 bits are sorted in linear time
+    order = np.argsort(key.astype(np.uint16) if key.max() < 1 << 16 else key, kind="stable")
+    key = key[order]
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    first = order[edges[:-1]]
+    arrays = (x[order].astype(t) for x, t in ((la, "<u2"), (lb, "<u4"), (n, "<i8")))
+    blobs = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((edges * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in arrays]
+    yield record(DEALT, *(x[first] for x in (sa, sub, sb, cut)), *blobs)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -318,39 +386,62 @@ def best_class(own: int, side: np.ndarray, c: np.ndarray, n: np.ndarray, matrix:
     return Gains(matrix, classes).best(own, side, c, n)
 
 
-def place_column(column: str) -> tuple[Column, Column]:
-    """(shard, place in it) of a resolved symbol; tail classes are the shard TAILS, told by a null here."""
-    x = F.col(column)
-    return F.when(x >= 0, F.shiftright(x, 32).cast("int")), F.when(x >= 0, x.bitwiseAND(F.lit((1 << 32) - 1))).otherwise(-1 - x).cast("long")
+def numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, where each row's begin and the last ends) of a column of numbers, or of arrays of them as bytes."""
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy(), np.arange(len(column) + 1)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32, count=column.offset + len(column) + 1)[column.offset :].astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(kind), (ends - ends[0]) // np.dtype(kind).itemsize
+
+
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, in order, and the sum of its numbers."""
+    code, n = map(np.concatenate, zip(*held, strict=True))
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else order
+    return code[first], np.add.reduceat(n[order], first) if len(code) else n
 
 
 def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (sa, sub, sb): packs the pairs of each into rows of CHUNK at most."""
+    """Rows come sorted by (sa, sub, sb), and by slice: sums up equal pairs of each and packs them into rows of CHUNK at most. Pairs beyond 4 * SLICE
+    that are not summed yet are summed by themselves, as are those that follow; a round adds up what is left apart."""
     at, held, size = None, [], 0
 
-    def packed():
-        a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], n[order]
-        for i in range(0, len(a), CHUNK):
+    def packed(code, n):
+        for i in range(0, len(code), CHUNK):
             part = slice(i, i + CHUNK)
-            yield record(CHUNKS, *([x] for x in at), *([x[part].astype(t).tobytes()] for x, t in ((a, "<u2"), (b, "<u4"), (n, "<i8"))))
+            yield record(CHUNKS, *([x] for x in at), *([x.astype(t).tobytes()] for x, t in ((code[part] >> 32, "<u2"), (code[part] & 0xFFFFFFFF, "<u4"), (n[part], "<i8"))))
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         keys = np.stack([batch.column(c).to_numpy() for c in ("sa", "sub", "sb")], axis=1)
-        a, b, n = (batch.column(c).to_numpy() for c in ("la", "lb", "n"))
-        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
-            if j > i:
-                key = tuple(keys[i].tolist())
-                if key != at or size > 16 * CHUNK:
-                    if held:
-                        yield from packed()
-                    at, held, size = key, [], 0
-                held.append((a[i:j], b[i:j], n[i:j]))
-                size += j - i
+        (a, ends), (b, _), (n, _) = (numbers(batch.column(c), t) for c, t in (("la", "<u2"), ("lb", "<u4"), ("n", "<i8")))
+        edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]]))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            key, part = tuple(keys[i].tolist()), slice(ends[i], ends[j])
+            if held and key != at:
+                yield from packed(*summed(held))
+                held, size = [], 0
+            at = key
+            held.append((a[part].astype(np.int64) << 32 | b[part], n[part]))
+            size += len(held[-1][0])
+            if size > 4 * SLICE:
+                held = [summed(held)]
+                size = len(held[0][0])
+                if size > 2 * SLICE:
+                    yield from packed(*held[0])
+                    held, size = [], 0
     if held:
-        yield from packed()
+        yield from packed(*summed(held))
+
+
+def chunked(pairs: DataFrame) -> DataFrame:
+    """Chunks of ``dealt`` rows."""
+    d = pairs.repartition("sa", "sub", "sb", "slice").sortWithinPartitions("sa", "sub", "sb", "slice")
+    return d.mapInArrow(chunk_batches, "sa int, sub int, sb int, a binary, b binary, n binary")
 
 
 def class_batches(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
@@ -367,6 +458,31 @@ def class_batches(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iter
         yield record(CLASSES, [at], [np.array(held, dtype="<u2").tobytes()], [0])
 
 
+def first_batches(batches: Iterator[pa.RecordBatch], shards: int, settings: Settings) -> Iterator[pa.RecordBatch]:
+    """Pairs of chunks with the classes of both sides as ``dealt`` rows, where all words that move in the second phase only stand as their tail class."""
+    held, size, mask, tails = [], 0, (1 << PHASE) - 1, settings.tails
+    matrix = np.zeros(tails * tails)
+    for batch in batches:
+        for r in range(batch.num_rows):
+            sa, sub, sb, *blobs = (batch.column(c)[r].as_py() for c in ("sa", "sub", "sb", "a", "b", "n", "of_a", "of_b"))
+            a, b, n, of_a, of_b = (np.frombuffer(x, dtype=t) for x, t in zip(blobs, ("<u2", "<u4", "<i8", "<u2", "<u2"), strict=True))
+            of_a, of_b = of_a[sub * SUB :][a], of_b[b]
+            later_a, later_b = (np.full(len(of), True) if s == shards else of >> PHASE == 2 for s, of in ((sa, of_a), (sb, of_b)))
+            tail_a, tail_b = ((of & mask).astype(np.int64) - settings.classes for of in (of_a, of_b))
+            both = later_a & later_b
+            matrix += np.bincount(tail_a[both] * tails + tail_b[both], n[both], tails * tails)
+            code, n = summed([((np.where(later_a, SUB + tail_a, a) << 33 | np.where(later_b, (1 << 32) + tail_b, b))[~both], n[~both])])
+            a, b = code >> 33, code & (1 << 33) - 1
+            held.append((np.where(a < SUB, (sa << 32) + sub * SUB + a, SUB - 1 - a), np.where(b < 1 << 32, (sb << 32) + b, (1 << 32) - 1 - b), n))
+            size += len(n)
+            if size >= 2 * SLICE:
+                yield from dealt(*map(np.concatenate, zip(*held, strict=True)), shards, 1)
+                held, size = [], 0
+    code = np.flatnonzero(matrix)
+    held.append((-1 - code // tails, -1 - code % tails, matrix[code].astype(np.int64)))
+    yield from dealt(*map(np.concatenate, zip(*held, strict=True)), shards, 1)
+
+
 def movable(of: np.ndarray, places: np.ndarray, phase: int, turn: int) -> np.ndarray:
     """Which words may move: those of the phase and earlier ones, a third in each round. Phase 0 never moves."""
     own = of[places] >> PHASE
@@ -461,20 +577,26 @@ def likelihood(m: np.ndarray) -> float:
     return float(xlogx(m).sum() - xlogx(m.sum(axis=1)).sum() - xlogx(m.sum(axis=0)).sum())
 
 
-def settle(chunks: DataFrame, of: DataFrame, words: tuple[int, int], settings: Settings) -> tuple[DataFrame, np.ndarray]:
+def settle(chunks: DataFrame, of: DataFrame, shards: int, words: tuple[int, int], settings: Settings) -> tuple[DataFrame, np.ndarray]:
     """(classes of each shard, counts of neighbouring classes) by exchange, first of the ``words[0]`` most frequent words among themselves, then of all.
 
     A third of the words may move in a round, so neighbours seldom move at once. A phase ends when under ``delta`` of its words moved in three
     rounds or the likelihood did not rise in them. A chunk meets the classes of its two shards by joins: broadcast, two bytes a word,
-    as long as the words fill SHARDS shards of SHARD at most, so that no round moves the chunks; sort-merge beyond.
+    as long as the words fill SHARDS shards of SHARD at most, so that no round moves the chunks; sort-merge beyond. The first phase reads sums
+    of the chunks by the words that move in it and the tail classes of the others, which stay.
     """
     size = settings.classes + settings.tails
     how = "broadcast" if words[1] <= SHARD * SHARDS else "merge"
+
+    def beside(chunks: DataFrame, of: DataFrame) -> DataFrame:
+        side = lambda s, c: of.select(F.col("shard").alias(s), F.col("of").alias(c)).hint(how)
+        return chunks.join(side("sa", "of_a"), "sa").join(side("sb", "of_b"), "sb")
+
+    first = stage(chunked(beside(chunks, of).mapInArrow(lambda it: first_batches(it, shards, settings), DEALT_SCHEMA)), "first-chunks")
     for phase in (1, 2):
         turn, changes, values = 0, [], []
         while True:
-            side = lambda s, c, of=of: of.select(F.col("shard").alias(s), F.col("of").alias(c)).hint(how)
-            d = chunks.join(side("sa", "of_a"), "sa").join(side("sb", "of_b"), "sb")
+            d = beside(first if phase == 1 else chunks, of)
             near = d.mapInArrow(lambda it, p=phase, t=turn: near_batches(it, size, p, t), "shard int, sub int, own binary, codes binary, n binary, m array<long>")
             near = stage(near, "near")
             m = np.zeros(size * size)
@@ -495,6 +617,8 @@ def settle(chunks: DataFrame, of: DataFrame, words: tuple[int, int], settings: S
             of = then
             changes.append(of.agg(F.sum("moved")).first()[0] or 0)
             turn += 1
+        if phase == 1:
+            discard(first)
     return of, m
 
 
@@ -548,29 +672,29 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     placed = lexicon.filter(taking).withColumn("id", F.shiftleft(F.col("shard").cast("long"), 32) + nth).withColumn("phase", F.when(end, 0).when(first, 1).otherwise(2))
     lexicon = stage(placed.unionByName(lexicon.filter(~taking), allowMissingColumns=True).withColumn("w", symbol_column(settings)), "lexicon")
     often, least = most_frequent(lexicon, settings)
+    # without joins if all clustered words are among the most frequent
+    joins = least > max(1, min(settings.least, -(-tokens // settings.cluster)))
+    slices = min(SUB, 1 + tokens // (SLICE * (1 + clustered // SUB) * (shards + 1)))
     shared = spark.sparkContext.broadcast(often)
-    pairs = docs.select("text").mapInArrow(lambda it: pair_batches(it, shared.value, settings), "a long, b long, n long")
-    pairs = stage(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
-    # words below the most frequent by sort-merge joins; those seen too seldom become their tail class. Pairs without such words pass by
-    above = (F.col("a") >= SYMBOL) | (F.col("b") >= SYMBOL)
-    numbered = lexicon.filter("id is not null").groupBy("w").agg(F.min("id").alias("id"))
-    joined = pairs.filter(above)
-    for x in ("a", "b"):
-        joined = joined.join(numbered.hint("merge"), F.col(x) == F.col("w"), "left").withColumn(x, F.when(F.col(x) < SYMBOL, F.col(x)).otherwise(F.coalesce("id", -1 - F.pmod(F.col(x) - SYMBOL, F.lit(tails))))).select("a", "b", "n")
-    found = pairs.filter(~above).unionByName(joined)
-    (sa, la), (sb, lb) = place_column("a"), place_column("b")
-    d = found.select(F.coalesce(sa, F.lit(shards)).alias("sa"), la.alias("la"), F.coalesce(sb, F.lit(shards)).alias("sb"), lb.alias("lb"), "n")
-    d = d.select("sa", F.floor(F.col("la") / SUB).cast("int").alias("sub"), "sb", F.pmod("la", F.lit(SUB)).alias("la"), "lb", "n")
-    d = d.repartition("sa", "sub", "sb").sortWithinPartitions("sa", "sub", "sb")
-    chunks = stage(d.mapInArrow(chunk_batches, "sa int, sub int, sb int, a binary, b binary, n binary"), "chunks")
-    discard(pairs)
+    d = docs.select("text").mapInArrow(lambda it: pair_batches(it, shared.value, settings, joins, shards, slices), f"{DEALT_SCHEMA}, a long, b long, k long")
+    if joins:
+        pairs = stage(d, "pairs")
+        # words below the most frequent by sort-merge joins; those seen too seldom become their tail class. Pairs without such words pass by
+        numbered = lexicon.filter("id is not null").groupBy("w").agg(F.min("id").alias("id"))
+        joined = pairs.filter("k is not null").select("a", "b", "k")
+        for x in ("a", "b"):
+            joined = joined.join(numbered.hint("merge"), F.col(x) == F.col("w"), "left").withColumn(x, F.when(F.col(x) < SYMBOL, F.col(x)).otherwise(F.coalesce("id", -1 - F.pmod(F.col(x) - SYMBOL, F.lit(tails))))).select("a", "b", "k")
+        d = pairs.filter("k is null").select(*DEALT.names).unionByName(joined.mapInArrow(lambda it: deal_batches(it, shards, slices), DEALT_SCHEMA))
+    chunks = stage(chunked(d.select(*DEALT.names)), "chunks")
+    if joins:
+        discard(pairs)
     # the first words begin dealt out over the classes, the others in their tail class; the end of a text has class 0
     begun = F.when(end, 0).when(first, 1 + F.pmod(F.xxhash64(F.lit(1), "word"), F.lit(max(1, k - 1)))).otherwise(F.col("tail"))
     of = lexicon.filter("id is not null").select("shard", "id", begun.cast("int").alias("c"), "phase").repartition("shard").sortWithinPartitions("id")
     of = of.mapInArrow(lambda it: class_batches(it, settings), "shard int, of binary, moved long")
     fixed = spark.createDataFrame([(shards, bytearray((k + np.arange(tails)).astype("<u2").tobytes()), 0)], "shard int, of binary, moved long")
     n_first = lexicon.filter("phase = 1").count()
-    of, m = settle(chunks, stage(of.unionByName(fixed), "classes"), (n_first, clustered), settings)
+    of, m = settle(chunks, stage(of.unionByName(fixed), "classes"), shards, (n_first, clustered), settings)
     discard(chunks)
     at = of.filter(F.col("shard") < shards).mapInArrow(named_batches, "id long, c int")
     lexicon = lexicon.join(at.hint("merge"), "id", "left").select("word", "n", F.coalesce("c", "tail").alias("c"))

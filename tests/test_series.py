@@ -184,3 +184,42 @@ def test_exact_quantiles(spark, hot, leaf):
     for r in skewed.groupBy("symbol").agg(F.percentile("x", list(probs)).alias("q")).collect():
         for p, v in zip(probs, r.q):
             assert math.isclose(got[r.symbol, p], v, rel_tol=1e-9)
+
+
+def plain_ledger(trades, capital=10_000.0):
+    """(symbol, ts) -> holding, average price, realised PnL, cash: one trade after the other."""
+    out = {}
+    for s in {t[0] for t in trades}:
+        q = cost = 0.0
+        cash = capital
+        for _, at, side, x, p, c in sorted(t for t in trades if t[0] == s):
+            entry, pnl = cost / q if q else 0.0, 0.0
+            if side == "buy":
+                q, cost, cash = q + x, cost + x * p, cash - x * p - c
+            else:
+                left = max(q - x, 0.0)
+                q, cost, cash, pnl = left, cost * left / q if left else 0.0, cash + x * p - c, (p - entry) * x - c
+            out[s, at] = q, cost / q if q else None, pnl, cash
+    return out
+
+
+@pytest.mark.parametrize("rows", [20, 64, 10_000])
+def test_ledger_in_blocks_moves_the_trades_once(spark, rows):
+    rng = random.Random(5)
+    trades = [
+        (s, i, rng.choice(["buy", "sell"]) if i % 90 > 45 else "buy", float(rng.randint(1, 50)), rng.uniform(1, 9), 0.25)
+        for s, n in {"hot": 900, "a": 40, "one": 1}.items()
+        for i in range(n)
+    ]
+    d = spark.createDataFrame(trades, "symbol string, ts int, side string, quantity double, price double, commission double").repartition(5)
+    got = ledger.trade_ledger(d, blocks=blocks(rows))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # the trades; the states where there are blocks
+    close(table(got, "holding", "avg_price", "realised_pnl", "cash"), plain_ledger(trades))
+
+
+def test_ledger_with_unknown_quantities(spark):
+    rows = [("x", 1, "buy", None, 5.0, 0.0), ("x", 2, "buy", 10.0, 7.0, 1.0), ("x", 3, "sell", 4.0, None, 1.0), ("x", 4, "sell", 3.0, 9.0, 1.0), (None, 5, "buy", 1.0, 3.0, 0.0)]
+    d = spark.createDataFrame(rows, "symbol string, ts int, side string, quantity double, price double, commission double")
+    for b in (None, Blocks(1, (F.col("ts"),))):
+        r = table(ledger.trade_ledger(d, blocks=b), "holding", "avg_price", "realised_pnl", "cash")
+        assert r == {("x", 1): (None, None, 0.0, None), ("x", 2): (10.0, 7.0, 0.0, 9929.0), ("x", 3): (6.0, 7.0, None, 9929.0), ("x", 4): (3.0, 7.0, 5.0, 9955.0)}

@@ -223,3 +223,16 @@ def test_ledger_with_unknown_quantities(spark):
     for b in (None, Blocks(1, (F.col("ts"),))):
         r = table(ledger.trade_ledger(d, blocks=b), "holding", "avg_price", "realised_pnl", "cash")
         assert r == {("x", 1): (None, None, 0.0, None), ("x", 2): (10.0, 7.0, 0.0, 9929.0), ("x", 3): (6.0, 7.0, None, 9929.0), ("x", 4): (3.0, 7.0, 5.0, 9955.0)}
+
+
+def test_ledger_of_short_accounts_stores_no_trades(spark, monkeypatch):
+    from tickloom.operators import series as core
+
+    stored = []
+    for module, name in ((core, "cut"), (core, "stage"), (ledger, "stage")):
+        monkeypatch.setattr(module, name, lambda d, *a, f=getattr(module, name): stored.append(d.count()) or f(d, *a))
+    d = spark.range(400).selectExpr("cast(id % 40 AS string) AS symbol", "cast(id AS int) AS ts", "if(id % 3 = 0, 'sell', 'buy') AS side", "2.0D AS quantity", "3.0D AS price", "0.0D AS commission")
+    assert ledger.trade_ledger(d, blocks=blocks(20)).count() == 400 and sum(stored) == 0
+    # one account is longer than a block: its trades are cut, the others stay
+    long = d.withColumn("symbol", F.expr("if(ts < 100, 'long', symbol)"))
+    assert ledger.trade_ledger(long, blocks=Blocks(20, (F.floor(F.col("ts") / 10),))).count() == 400 and 100 < sum(stored) < 200

@@ -236,3 +236,14 @@ def test_ledger_of_short_accounts_stores_no_trades(spark, monkeypatch):
     # one account is longer than a block: its trades are cut, the others stay
     long = d.withColumn("symbol", F.expr("if(ts < 100, 'long', symbol)"))
     assert ledger.trade_ledger(long, blocks=Blocks(20, (F.floor(F.col("ts") / 10),))).count() == 400 and 100 < sum(stored) < 200
+
+
+def test_ledger_walks_repeated_trades_in_one_order(spark):
+    trades = [("x", i, "sell" if i % 4 == 3 else "buy", float(1 + i % 5), float(2 + i % 7), 0.5) for i in range(60)]
+    d = spark.createDataFrame([t for t in trades for _ in range(3)], "symbol string, ts int, side string, quantity double, price double, commission double").repartition(7)
+    apart = plain_ledger([(s, 3 * at + k, *rest) for s, at, *rest in trades for k in range(3)])
+    want = sorted((at // 3, *v) for (_, at), v in apart.items())
+    for b in (None, Blocks(20, (F.floor(F.col("ts") / 5),))):
+        got = sorted(tuple(r) for r in ledger.trade_ledger(d, blocks=b).select("ts", "holding", "avg_price", "realised_pnl", "cash").collect())
+        assert [g[0] for g in got] == [x[0] for x in want]
+        assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for g, x in zip(got, want) for x, y in zip(g[1:], x[1:]))
